@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.exact import exact_groups
+from millrace.llm.packing import pack_documents
 from millrace.llm.shared import table
+from millrace.llm.token_files import read_token_files, write_token_files
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    files = write_token_files(docs, path, end_id=2, spaces="dropped")
+    return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, longest=1024, spaces="leading")
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -21,5 +40,9 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_files": op6_token_files,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
+}
 SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
