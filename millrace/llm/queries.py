@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from millrace.llm.exact import exact_groups
 from millrace.llm.packing import pack_documents
 from millrace.llm.shared import table
+from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_files import read_token_files, write_token_files
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     files = write_token_files(docs, path, end_id=2, spaces="dropped")
@@ -41,6 +46,7 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op6_token_files": op6_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
