@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 from millrace.llm.exact import exact_groups
 from millrace.llm.packing import pack_documents
 from millrace.llm.shared import table
+from millrace.llm.pii import find_pii, listed
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_files import read_token_files, write_token_files
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +54,7 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_simhash": op3_simhash,
     "op6_token_files": op6_token_files,
     "op9_exact_dedup": op9_exact_dedup,
