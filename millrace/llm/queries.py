@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.exact import exact_groups
+from millrace.llm.mixing import mix
 from millrace.llm.packing import pack_documents
 from millrace.llm.shared import table
 from millrace.llm.pii import find_pii, listed
@@ -27,6 +28,39 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, source_size * 3.0::DOUBLE AS cap, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
+fill AS (
+  SELECT 0 AS step, (SELECT sum(source_size) FROM s)::DOUBLE / (SELECT sum(weight) FROM w) AS level
+  UNION ALL
+  SELECT step + 1, (SELECT (sum(source_size) - coalesce(sum(cap) FILTER (cap <= weight * level), 0))::DOUBLE / nullif(sum(weight) FILTER (cap > weight * level), 0) FROM w)
+  FROM fill WHERE step < 200 AND level IS NOT NULL),
+t AS (SELECT source, source_size, least(cap, coalesce(weight * (SELECT max(level) FROM fill), cap)) AS target FROM w),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source, d.size > 0 ORDER BY size, coalesce(doc_id, 0) % 64, doc_id) AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (CASE WHEN size > 0 THEN least(3, floor(rate * k + 0.5) - floor(rate * (k - 1) + 0.5)) ELSE 0 END)::BIGINT AS copies FROM r),
+offers AS (SELECT source, length(bin(size)) AS bits, size >> greatest(length(bin(size)) - 3, 0) AS lead, any_value(target) AS target, sum(copies * size) AS taken,
+    max({size: size, id: doc_id}) FILTER (size > 0 AND copies < 3) AS more, max({size: size, id: doc_id}) FILTER (size > 0 AND copies > 0) AS less
+  FROM c GROUP BY ALL),
+each AS (SELECT source, any_value(target) - sum(taken) AS missing, list(more ORDER BY more.size DESC, more.id DESC) FILTER (more IS NOT NULL) AS mores,
+    list(less ORDER BY less.size DESC, less.id DESC) FILTER (less IS NOT NULL) AS lesses FROM offers GROUP BY source),
+pick AS (SELECT source, sign(missing) AS change, unnest(list_reduce(
+    [{rest: x.size::DOUBLE, ids: [x.id]} FOR x IN CASE WHEN missing > 0 THEN mores ELSE lesses END],
+    lambda a, x: CASE WHEN x.rest <= a.rest THEN {rest: a.rest - x.rest, ids: list_concat(a.ids, x.ids)} ELSE a END, {rest: abs(missing)::DOUBLE, ids: []::BIGINT[]}).ids) AS doc_id
+  FROM each)
+SELECT c.doc_id, size, source_size, target, ((copies + coalesce(change, 0)) * size)::BIGINT AS taken
+FROM c LEFT JOIN pick ON c.doc_id = pick.doc_id AND c.source IS NOT DISTINCT FROM pick.source
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     files = write_token_files(docs, path, end_id=2, spaces="dropped")
@@ -56,8 +90,9 @@ FROM d
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
     "op6_token_files": op6_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_exact_dedup": OP9_SQL}
