@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.digests import edited_digests
 from millrace.llm.exact import exact_groups
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack_documents
@@ -15,6 +16,7 @@ from millrace.llm.shared import table
 from millrace.llm.pii import find_pii, listed
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_files import read_token_files, write_token_files
+from millrace.llm.warc import read_warc, write_warc
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,24 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(spark, write_warc(table(spark, sf_dir, "pages")), payloads=False).drop("url", "payload")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS newest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM d
+"""
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -92,7 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op6_token_files": op6_token_files,
+    "op7_warc": op7_warc,
+    "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL}
