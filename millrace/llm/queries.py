@@ -12,6 +12,7 @@ from millrace.llm.digests import edited_digests
 from millrace.llm.exact import exact_groups
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack_documents
+from millrace.llm.quality import classify
 from millrace.llm.shared import table
 from millrace.llm.pii import find_pii, listed
 from millrace.llm.simhash import near_duplicates
@@ -26,6 +27,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -109,6 +114,7 @@ FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op6_token_files": op6_token_files,
