@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ _SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_WS}]", chr(i)
 #: Distinct chunks that a worker remembers; beyond, those met in one batch only are forgotten.
 CHUNKS_KEPT = 700_000
 #: Characters of text that are encoded at once.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 10_000_000
 
 
 class Chunks:
@@ -103,16 +104,17 @@ class Chunks:
     def _look_up(self, chunks: list[str]) -> np.ndarray:
         if len(self.index) > CHUNKS_KEPT:
             self._shrink()
-        new = [c for c in chunks if c not in self.index]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.nonzero(at < 0)[0]
+        if len(unknown):
+            at[unknown] = self._learn([chunks[i] for i in unknown.tolist()])
         self.met[at] += 1
         return at
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks with a special token between them, which the tokenizer keeps apart."""
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Encodes new chunks with a special token between them, which the tokenizer keeps apart; their numbers."""
         sep, sep_id = self.between
+        asked = chunks
         marked = [c for c in chunks if self.special.search(c)] if self.special.search("\n".join(chunks)) else []
         if marked:
             held = set(marked)
@@ -139,6 +141,7 @@ class Chunks:
         self.odd[k:n] = [c[-1:] in _SPACES or (c[1:2] if c[:1] == " " else c[:1]) in _SPACES for c in chunks] if self.spaces == "leading" else False
         self.used += len(flat)
         self.index.update(zip(chunks, range(k, n), strict=True))
+        return np.arange(k, n) if not marked else np.fromiter(map(self.index.__getitem__, asked), np.int64, len(asked))
 
 
 def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
