@@ -16,6 +16,7 @@ from millrace.llm.quality import classify
 from millrace.llm.shared import table
 from millrace.llm.pii import find_pii, listed
 from millrace.llm.simhash import near_duplicates
+from millrace.llm.substring import drop_repeats
 from millrace.llm.token_files import read_token_files, write_token_files
 from millrace.llm.warc import read_warc, write_warc
 
@@ -68,6 +69,11 @@ FROM c LEFT JOIN pick ON c.doc_id = pick.doc_id AND c.source IS NOT DISTINCT FRO
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     files = write_token_files(docs, path, end_id=2, spaces="dropped")
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
