@@ -30,10 +30,12 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
     for term in query.split(" "):
         wanted[term] = wanted.get(term, 0) + 1
     names = list(wanted)
-    terms = F.split(F.coalesce(F.col(text_col), F.lit("")), " ", -1)
-    tfs = F.transform(F.array(*[F.lit(t) for t in names]), lambda q: F.size(F.filter(F.col("terms"), lambda t: t == q)))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(F.struct(terms.alias("terms")))).alias("x")).select("id", F.col("x.terms").alias("terms"))
-    rows = rows.select("id", F.size("terms").cast("double").alias("dl"), F.explode(F.array(tfs)).alias("tf"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Between doubled spaces a term stands apart from its neighbours, so it can be counted by taking it out.
+    apart = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+    count = lambda t: ((F.length(F.col("apart")) - F.length(F.replace(F.col("apart"), F.lit(f" {t} "), F.lit("")))) / (len(t) + 2)).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("double").alias("dl"), F.explode(F.array(apart)).alias("apart"))
+    rows = rows.select("id", "dl", F.explode(F.array(F.array(*[count(t) for t in names]))).alias("tf"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(names))])
     idf = [F.log(F.col("n") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5) for i in range(len(names))]
     counts = stats.first()
