@@ -48,23 +48,19 @@ def delete(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def may_broadcast(table: DataFrame, bytes_a_row: int) -> bool:
-    """Whether the whole (written) table is within ``BROADCAST_BYTES``; one count decides."""
-    return table.count() * bytes_a_row <= BROADCAST_BYTES
+def may_broadcast(table: DataFrame, bytes_a_row: int, more: Column | None = None) -> bool:
+    """Whether the whole (written) table is within ``BROADCAST_BYTES``: its rows are counted, and ``more`` bytes of each added up."""
+    rows, rest = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()
+    return rows * bytes_a_row + rest <= BROADCAST_BYTES
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, bytes_a_row: int) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, bytes_a_row: int, more: Column | None = None) -> DataFrame:
     """Join in which a right side of proven small size is broadcast; a larger one is shuffled.
 
     In the shuffled form both sides get their exchange from the join itself, so adaptive execution can
     split a key that holds many rows of ``left``.
     """
-    return left.join(F.broadcast(right) if may_broadcast(right, bytes_a_row) else right, on, how)
-
-
-def words_of(text: Column) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as an array (null: empty)."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    return left.join(F.broadcast(right) if may_broadcast(right, bytes_a_row, more) else right, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

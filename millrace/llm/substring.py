@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import portions, strings
@@ -138,6 +138,11 @@ def _encoded(rows: pa.RecordBatch, text: int) -> list[bytes]:
     return strings(rows.column(text)).cast(pa.binary()).to_pylist()
 
 
+def _packed(a: Column, n: Column) -> Column:
+    """A stretch of n words from a as one number."""
+    return F.shiftleft(a.cast("long"), 32) + n.cast("long")
+
+
 _ENTRY = "h long, seg long, doc long, a int, n int"
 
 
@@ -164,14 +169,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both hashes of every window of the listed stretches (columns: doc, text, list of (a, n))."""
+    """Both hashes of every window of the listed stretches (columns: doc, text, list of packed (a, n))."""
     for batch in batches:
         for rows in portions(batch, 1):
             words = Words(_encoded(rows, 1))
             lists = rows.column(2)
             text = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
             flat = lists.flatten()
-            a, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            packed = flat.to_numpy(zero_copy_only=False)
+            a, n = packed >> 32, packed & 0xFFFFFFFF
             each = np.concatenate(([0], np.cumsum(n)))
             text, place = np.repeat(text, n), np.repeat(a - each[:-1], n) + np.arange(each[-1])
             start = words.first[text] + place
@@ -181,17 +187,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words of the listed stretches (columns: doc, text, list of (a, n) or null)."""
+    """Texts without the words of the listed stretches (columns: doc, text, list of packed (a, n) or null)."""
     for batch in batches:
         for rows in portions(batch, 1):
             totals, removed, kept = [], [], []
-            for text, gone in zip(_encoded(rows, 1), rows.column(2).to_pylist(), strict=True):
+            for text, gone in zip(_encoded(rows, 1), rows.column(2), strict=True):
                 words = text.split()
-                if gone:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    for x in gone:
-                        change[min(x["a"], len(words))] += 1
-                        change[min(x["a"] + x["n"], len(words))] -= 1
+                if gone.is_valid:
+                    packed = gone.values.to_numpy()
+                    start, end = packed >> 32, (packed >> 32) + (packed & 0xFFFFFFFF)
+                    change = np.bincount(np.minimum(start, len(words)), minlength=len(words) + 1) - np.bincount(np.minimum(end, len(words)), minlength=len(words) + 1)
                     stays = np.cumsum(change[:-1]) == 0
                     rest = [w for w, k in zip(words, stays.tolist(), strict=True) if k]
                 else:
@@ -242,9 +247,9 @@ class SubstringIndex:
         known = firsts.where("c > 1").select("h", "seg", "f")
         late = met.join(known, ["h", "seg"]).where(F.struct("doc", "a") > F.col("f")).select("doc", "a", (F.col("n") + WINDOW - 1).alias("n"))
         unlike = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-        listed = firsts.join(unlike, "h", "left_semi").groupBy("f.doc").agg(F.collect_list(F.struct("f.a", "n")).alias("at"))
+        listed = firsts.join(unlike, "h", "left_semi").groupBy("f.doc").agg(F.collect_list(_packed(F.col("f.a"), F.col("n"))).alias("at"))
         listed = written(listed, "run-unlike")
-        windows = written(joined(self.docs, listed, "doc", "inner", 200).mapInArrow(_windows, "w1 long, w2 long, doc long, a int"), "run-windows")
+        windows = written(joined(self.docs, listed, "doc", "inner", 64, 8 * F.size("at")).mapInArrow(_windows, "w1 long, w2 long, doc long, a int"), "run-windows")
         earliest = written(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "a")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "run-earliest")
         again = windows.join(earliest, ["w1", "w2"]).where((F.struct("doc", "a") > F.col("f")) & batch).select("doc", "a", F.lit(WINDOW).alias("n"))
         repeats = written(own.union(late).union(again), "run-removed")
@@ -281,5 +286,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = index.ingest(batch)
         gone = own if gone is None else gone.union(own)
     index.close()
-    lists = written(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("at")), "removed-lists")
-    return joined(index.docs, lists, "doc", "left", 200).mapInArrow(_without, "_id long, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)
+    lists = written(gone.groupBy("doc").agg(F.collect_list(_packed(F.col("a"), F.col("n"))).alias("at")), "removed-lists")
+    return joined(index.docs, lists, "doc", "left", 64, 8 * F.size("at")).mapInArrow(_without, "_id long, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)
