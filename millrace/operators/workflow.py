@@ -65,11 +65,11 @@ def shared_memory(records: DataFrame, agents: DataFrame) -> DataFrame:
 
 def completion_times(log: DataFrame, task: str = "task_id", kind: str = "event_type", time: str = "timestamp") -> DataFrame:
     """Seconds from each completion back to the task's last assignment before it."""
-    at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     upto = Window.partitionBy(task).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     rows = log.withColumns({"_t": at, "_o": F.when(F.col(kind) == "task_assigned", 0).otherwise(1)})
     rows = rows.withColumn("_a", F.last(F.when(F.col(kind) == "task_assigned", F.col("_t")), ignorenulls=True).over(upto))
-    return rows.where((F.col(kind) == "task_completed") & F.col("_a").isNotNull()).select(task, (F.col("_t") - F.col("_a")).alias("seconds"))
+    return rows.where((F.col(kind) == "task_completed") & F.col("_a").isNotNull()).select(task, ((F.col("_t") - F.col("_a")) / 1e6).alias("seconds"))
 
 
 def kpis(log: DataFrame, roots: DataFrame | None = None, task: str = "task_id", kind: str = "event_type", time: str = "timestamp") -> DataFrame:
