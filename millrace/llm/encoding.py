@@ -7,6 +7,7 @@ apart by Arrow's dictionary encoding; only those not met before reach the tokeni
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -23,9 +24,9 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_WS}]", chr(i)))
 #: Distinct chunks that a worker remembers; beyond, those met in one batch only are forgotten.
-CHUNKS_KEPT = 700_000
-#: Characters of text that are encoded at once.
-CHARS_AT_ONCE = 10_000_000
+CHUNKS_KEPT = 600_000
+#: Bytes of text that a task works on at once, and that are encoded at once (there, fewer distinct chunks come of more).
+AT_ONCE, ENCODED_AT_ONCE = 2_000_000, 7_000_000
 
 
 class Chunks:
@@ -51,8 +52,8 @@ class Chunks:
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.odd, self.met = np.zeros(1 << 14, bool), np.zeros(1 << 14, np.int64)
+        self.first, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.odd, self.met = np.zeros(1 << 14, bool), np.zeros(1 << 14, np.int32)
 
     def _shrink(self) -> None:
         """Forgets chunks, the rarest first, until at most half of ``CHUNKS_KEPT`` are left."""
@@ -63,9 +64,10 @@ class Chunks:
         self._clear()
         self.index = {chunks[k]: i for i, k in enumerate(stay.tolist())}
         before = np.concatenate(([0], np.cumsum(length)))
-        self.pool, self.used = ids[np.repeat(first - before[:-1], length) + np.arange(before[-1])], int(before[-1])
+        before = before.astype(np.int32)
+        self.pool, self.used = ids[np.repeat(first - before[:-1], length) + np.arange(before[-1], dtype=np.int32)], int(before[-1])
         self.pool = np.concatenate((self.pool, np.zeros(1 << 16, np.uint32)))
-        room = np.zeros(1 << 14, np.int64)
+        room = np.zeros(1 << 14, np.int32)
         self.first, self.length, self.met = (np.concatenate((x, room)) for x in (before[:-1], length, met))
         self.odd = np.concatenate((odd, room > 0))
 
@@ -94,17 +96,19 @@ class Chunks:
         ends = np.asarray(lists.offsets)
         words = lists.flatten().dictionary_encode()
         at = self._look_up(words.dictionary.to_pylist())
-        codes = at[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        codes = at[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
         lengths = self.length[codes]
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.pool[np.repeat(self.first[codes] - before[:-1], lengths) + np.arange(before[-1])]
-        odd = np.concatenate(([0], np.cumsum(self.odd[codes])))
-        return ids, np.diff(before[ends - ends[0]]), np.diff(odd[ends - ends[0]]) > 0
+        before = np.concatenate((np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)))
+        places = np.repeat(self.first[codes] - before[:-1], lengths)
+        places += np.arange(before[-1], dtype=np.int32)
+        ids = self.pool[places]
+        odd = np.concatenate((np.zeros(1, np.int32), np.cumsum(self.odd[codes], dtype=np.int32)))
+        return ids, np.diff(before[ends - ends[0]]).astype(np.int64), np.diff(odd[ends - ends[0]]) > 0
 
     def _look_up(self, chunks: list[str]) -> np.ndarray:
         if len(self.index) > CHUNKS_KEPT:
             self._shrink()
-        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int32, len(chunks))
         unknown = np.nonzero(at < 0)[0]
         if len(unknown):
             at[unknown] = self._learn([chunks[i] for i in unknown.tolist()])
@@ -120,7 +124,8 @@ class Chunks:
             held = set(marked)
             chunks = [c for c in chunks if c not in held]
         joint = [sep.join(chunks[i : i + 2000]) + sep for i in range(0, len(chunks), 2000)]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joint, add_special_tokens=False)]
+        # One at a time: what the library returns holds much more than ids.
+        ids = [np.array(self.tokenizer.encode_batch_fast([j], add_special_tokens=False)[0].ids, np.uint32) for j in joint]
         for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False):
             ids.append(np.array([*e.ids, sep_id], np.uint32))
         alone = sum(map(len, ids[: len(joint)]))
@@ -152,12 +157,28 @@ _encoders: dict[tuple[str, str], Chunks] = {}
 
 
 def encoder(path: str, spaces: str) -> Chunks:
-    """The worker's encoder of that file; it stays from task to task."""
-    return _encoders.get((path, spaces)) or _encoders.setdefault((path, spaces), Chunks(path, spaces))
+    """The worker's encoder of that file; it stays from task to task, until another is asked for."""
+    if (path, spaces) not in _encoders:
+        _encoders.clear()
+        _encoders[path, spaces] = Chunks(path, spaces)
+    return _encoders[path, spaces]
 
 
-def portions(batch: pa.RecordBatch, text: int, most: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """A batch in slices whose texts have about ``most`` bytes, one row at least."""
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, where it counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def portions(batch: pa.RecordBatch, text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have about ``most`` bytes, one row at least; memory is released at its end."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
@@ -165,6 +186,7 @@ def portions(batch: pa.RecordBatch, text: int, most: int = CHARS_AT_ONCE) -> Ite
         end = max(start + 1, int(np.searchsorted(sizes, done + most, "right")))
         yield batch.slice(start, end - start)
         start = end
+    release()
 
 
 def strings(column: pa.Array) -> pa.Array:
