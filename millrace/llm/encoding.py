@@ -26,7 +26,7 @@ _SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_WS}]", chr(i)
 #: Distinct chunks that a worker remembers; beyond, those met in one batch only are forgotten.
 CHUNKS_KEPT = 600_000
 #: Bytes of text that a task works on at once, and that are encoded at once (there, fewer distinct chunks come of more).
-AT_ONCE, ENCODED_AT_ONCE = 2_000_000, 7_000_000
+AT_ONCE, ENCODED_AT_ONCE = 2_000_000, 5_000_000
 
 
 class Chunks:
