@@ -96,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounded = written(found.select("_id", "_s", "_none", "size", "source_size", "target", copies.alias("_copies")), "mix-rounded")
     swaps = written(_settled(rounded, cap), "mix-settled")
     settled = joined(rounded, swaps, ["_s", "_none", "size", "_id"], "left", 64)
-    total = F.col("_copies") + F.coalesce(F.col("_change"), F.lit(0))
+    total = F.least(F.lit(cap), F.greatest(F.lit(0), F.col("_copies") + F.coalesce(F.col("_change"), F.lit(0)))).cast("long")  # rows that repeat an id change together
     return settled.select(F.col("_id").alias(id_col), "size", "source_size", "target", total.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 

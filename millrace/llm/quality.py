@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from millrace.llm.encoding import portions, strings
 from millrace.llm.shared import joined, written
 
-#: Shrinkage of the class covariances to the pooled one, and of that to its diagonal; rows a class needs.
-TO_POOLED, TO_DIAGONAL, MINIMUM = 0.02, 0.02, 20
+#: Shrinkage of the class covariances to the pooled one, and of that to its diagonal, at least; rows a class needs.
+TO_POOLED, TO_DIAGONAL, MINIMUM = 0.02, 0.02, 3
+#: Weight of the features' number against a class's rows: few rows are shrunk more.
+FEW_ROWS = 0.3
 #: Log-density differences are divided by this before the logistic, which keeps scores off 0 and 1.
 TEMPERATURE = 2.0
 
@@ -101,7 +103,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / self.temperature, -500, 500)))
 
 
-def fitted(n: np.ndarray, sums: np.ndarray, products: np.ndarray, to_pooled: float = TO_POOLED, to_diagonal: float = TO_DIAGONAL, temperature: float = TEMPERATURE) -> Model:
+def fitted(n: np.ndarray, sums: np.ndarray, products: np.ndarray, to_pooled: float = TO_POOLED, to_diagonal: float = TO_DIAGONAL, temperature: float = TEMPERATURE, few_rows: float = FEW_ROWS) -> Model:
     """The model from each class's number of rows, sum of vectors and sum of outer products."""
     prior = float(n[1] / n.sum()) if n.sum() else 0.5
     if n.min() < MINIMUM:
@@ -113,7 +115,8 @@ def fitted(n: np.ndarray, sums: np.ndarray, products: np.ndarray, to_pooled: flo
     pooled = (1 - to_diagonal) * pooled + to_diagonal * np.diag(np.diag(pooled))
     factors, constants = [], []
     for k in range(2):
-        lower = np.linalg.cholesky((1 - to_pooled) * own[k] + to_pooled * pooled + np.diag(floor))
+        share = max(to_pooled, few_rows * len(floor) / (few_rows * len(floor) + n[k]))
+        lower = np.linalg.cholesky((1 - share) * own[k] + share * pooled + np.diag(floor))
         factors.append(np.linalg.inv(lower))
         constants.append(math.log(n[k] / n.sum()) - np.log(np.diag(lower)).sum())
     return Model(prior, means, np.array(factors), np.array(constants), temperature)

@@ -18,7 +18,8 @@ is indexed and the others are removed at once; afterwards partial sums find the
 the others by a join that adaptive execution can split.
 
 Defined cases: a null text has no words. Rows without an id are returned as they are and lend no window. Rows that repeat an id must
-repeat its text and count as one document, so none of them is removed for another. Texts under WINDOW words stay whole. An
+repeat its text and count as one document, so none of them is removed for another (if their texts differ, nothing fails, but what
+is removed from them is open). Texts under WINDOW words stay whole. An
 empty table gives an empty result.
 """
 
@@ -181,6 +182,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = np.concatenate(([0], np.cumsum(n)))
             text, place = np.repeat(text, n), np.repeat(a - each[:-1], n) + np.arange(each[-1])
             start = words.first[text] + place
+            inside = start + WINDOW <= words.first[text + 1]
+            text, place, start = text[inside], place[inside], start[inside]
             yield pa.RecordBatch.from_arrays([
                 pa.array(words.hashes(start, start + WINDOW, i).view(np.int64)) for i in range(2)
             ] + [rows.column(0).take(pa.array(text)), pa.array(place.astype(np.int32))], names=["w1", "w2", "doc", "a"])
