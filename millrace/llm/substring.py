@@ -13,8 +13,8 @@ different stretches, some windows may still be equal, so the windows of each suc
 hashed one by one (128 bits) from the texts, and of equal ones all but the first are removed. Runs are compacted, when there are more than
 FAN_OUT, into one run that keeps the first occurrence of every stretch.
 
-Hot passages are aggregated before they are shuffled: within a portion of a task's texts only the first occurrence of a stretch
-is indexed and the others are removed at once; afterwards partial sums find the first ones, and they are brought to
+Hot passages are aggregated before they are shuffled: of a stretch that a task meets again only occurrences earlier than
+all it met are indexed, the others are removed at once; afterwards partial sums find the first ones, and they are brought to
 the others by a join that adaptive execution can split.
 
 Defined cases: a null text has no words. Rows without an id are returned as they are and lend no window. Rows that repeat an id must
@@ -147,25 +147,62 @@ def _packed(a: Column, n: Column) -> Column:
 _ENTRY = "h long, seg long, doc long, a int, n int"
 
 
+class _Common:
+    """Stretches that a task met more than once, with their first occurrence so far; it starts afresh beyond MOST."""
+
+    MOST = 200_000
+
+    def __init__(self) -> None:
+        self.h = self.seg = np.zeros(0, np.uint64)
+        self.doc = self.a = np.zeros(0, np.int64)
+
+    def met(self, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of distinct stretches repeat an earlier occurrence, and which are it once more; earlier ones become the first."""
+        if not len(self.h):
+            return np.zeros(len(h), bool), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        known = (self.h[at] == h) & (self.seg[at] == seg)
+        same = known & (doc == self.doc[at]) & (a == self.a[at])
+        after = known & ((doc > self.doc[at]) | ((doc == self.doc[at]) & (a > self.a[at])))
+        before = known & ~after & ~same
+        self.doc[at[before]], self.a[at[before]] = doc[before], a[before]
+        return after, same
+
+    def add(self, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, a: np.ndarray) -> None:
+        new = ~np.isin(h, self.h)  # of a gram's stretches, the one that was common first
+        if not new.any():
+            return
+        if len(self.h) + new.sum() > self.MOST:
+            self.__init__()
+        h, first = np.unique(np.concatenate((self.h, h[new])), return_index=True)
+        self.h, (self.seg, self.doc, self.a) = h, (np.concatenate((x, y[new]))[first] for x, y in ((self.seg, seg), (self.doc, doc), (self.a, a)))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries, and (h null) stretches of n words from a that repeat an earlier one in the same portion."""
+    """Entries, and (h null) stretches of n words from a that repeat an earlier one met by the same task."""
+    common = _Common()
     for batch in batches:
         for rows in portions(batch, 1):
             h, seg, text, a, n = entries(Words(_encoded(rows, 1)))
             doc = rows.column(0).to_numpy(zero_copy_only=False)[text].astype(np.int64)
             order = np.lexsort((a, doc, seg, h))
-            h, seg, doc, a, n = h[order], seg[order], doc[order], a[order], n[order]
+            h, seg, doc, a, n = h[order], seg[order], doc[order], a[order].astype(np.int64), n[order]
             if not len(h):
                 continue
             new = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(seg) != 0)))
-            first = np.nonzero(new)[0][np.cumsum(new) - 1]
+            starts = np.nonzero(new)[0]
+            first = starts[np.cumsum(new) - 1]
             late = (doc != doc[first]) | (a != a[first])
-            gone, start, end = _merged(doc[late], a[late].astype(np.int64), (a + n + WINDOW - 1)[late].astype(np.int64))
-            k = len(gone)
-            empty = pa.nulls(k, pa.int64())
+            again = np.diff(np.concatenate((starts, [len(h)]))) > 1
+            late[starts], same = common.met(h[starts], seg[starts], doc[starts], a[starts])
+            stays = new & ~late
+            stays[starts[same]] = False
+            common.add(*(x[starts[again]] for x in (h, seg, doc, a)))
+            gone, start, end = _merged(doc[late], a[late], (a + n + WINDOW - 1)[late])
+            empty = pa.nulls(len(gone), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.array(h[new].view(np.int64)), empty]), pa.concat_arrays([pa.array(seg[new].view(np.int64)), empty]), pa.array(np.concatenate((doc[new], gone))),
-                pa.array(np.concatenate((a[new], start)).astype(np.int32)), pa.array(np.concatenate((n[new], end - start)).astype(np.int32)),
+                pa.concat_arrays([pa.array(h[stays].view(np.int64)), empty]), pa.concat_arrays([pa.array(seg[stays].view(np.int64)), empty]), pa.array(np.concatenate((doc[stays], gone))),
+                pa.array(np.concatenate((a[stays], start)).astype(np.int32)), pa.array(np.concatenate((n[stays], end - start)).astype(np.int32)),
             ], names=["h", "seg", "doc", "a", "n"])
 
 

@@ -228,8 +228,16 @@ def plain_removal(rows):
     return out
 
 
+@pytest.fixture
+def small_batches(spark):
+    """Python workers get three rows at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize(("batches", "fan_out"), [(1, 4), (2, 4), (5, 1)])
-def test_substring_equals_brute_force(spark, odd, batches, fan_out):
+def test_substring_equals_brute_force(spark, odd, small_batches, batches, fan_out):
     rng = random.Random(2)
     word = lambda: rng.choice(["the", "of", "a", f"x{rng.randint(0, 400)}"])
     passages = [[word() for _ in range(rng.choice([19, 20, 21, 25, 60]))] for _ in range(10)]
@@ -247,10 +255,12 @@ def test_substring_equals_brute_force(spark, odd, batches, fan_out):
     assert sorted((r.n_words, r.n_removed) for r in got if r.doc_id is None) == [(0, 0), (3000, 0)]
 
 
-def test_substring_repeated_rows_and_empty(spark):
+def test_substring_repeated_rows_and_empty(spark, small_batches):
     text = " ".join(f"w{i}" for i in range(40))
-    got = substring.drop_repeats(docs_of(spark, [(1, text), (1, text), (2, text)])).collect()
-    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 40)]
+    rows = [(1, text), (1, text), (2, text), (1, text), (1, text), (2, text), (3, text), (1, text)]
+    for one in (rows, rows[::-1]):
+        got = substring.drop_repeats(docs_of(spark, one).coalesce(1)).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 5 + [(2, 40), (2, 40), (3, 40)]
     unlike = [(1, text), (1, f"z {text} {text}"), (2, text), (1, "short")]
     assert substring.drop_repeats(docs_of(spark, unlike)).count() == 4
     assert substring.drop_repeats(empty(spark)).count() == 0
