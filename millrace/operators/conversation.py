@@ -96,10 +96,9 @@ def last_user_message(messages: DataFrame, key: str = "conv_id", turn: str = "tu
 
 def sliced(messages: DataFrame, most: int, content: str = "text", time: str = "timestamp") -> DataFrame:
     """Messages of more than ``most`` words as numbered slices; each later slice is a microsecond later."""
-    words = F.split(content, " ")
-    n = F.greatest(F.ceil(F.size(words) / most), F.lit(1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * most + 1, most), " "))
-    rows = messages.select("*", n.alias("n_slices"), F.posexplode(parts).alias("slice", "_part"))
+    own = messages.withColumn("_words", F.split(content, " ")).withColumn("n_slices", F.greatest(F.ceil(F.size("_words") / most), F.lit(1)).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("n_slices") - 1), lambda i: F.array_join(F.slice("_words", i * most + 1, most), " "))
+    rows = own.select(*messages.columns, "n_slices", F.posexplode(parts).alias("slice", "_part"))
     return rows.withColumn(content, F.col("_part")).withColumn(time, F.col(time) + F.col("slice") * 1e-6).drop("_part")
 
 

@@ -12,14 +12,15 @@ from millrace.operators.dedup import first_of_equal
 
 def triples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
     """Runs of three sentences, the first two of over ``least`` characters: ``id``, ``pos``, ``premise``, ``intermediate``, ``conclusion``, ``related`` (up to two other long sentences)."""
-    each = docs.select(F.col(id_col).alias("id"), sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s")).where(F.size("s") >= 3)
-    runs = each.select("id", "s", F.explode(F.sequence(F.lit(1), F.size("s") - 2)).alias("i")).where((F.length(F.get("s", F.col("i") - 1)) > least) & (F.length(F.get("s", F.col("i"))) > least))
-    i = F.col("i")
-    # The first two long sentences besides i and i + 1 are among the first four long ones.
-    long = F.filter(F.transform(F.col("s"), lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda e: F.length(e["x"]) > least)
-    runs = runs.withColumn("l", F.slice(long, 1, 4))
-    related = F.slice(F.filter("l", lambda e: (e["j"] != i - 1) & (e["j"] != i)), 1, 2)
-    return runs.select("id", (i - 1).cast("long").alias("pos"), F.get("s", i - 1).alias("premise"), F.get("s", i).alias("intermediate"), F.get("s", i + 1).alias("conclusion"), F.transform(related, lambda e: e["x"]).alias("related"))
+    own = docs.select(F.col(id_col).alias("id"), F.explode(F.array(F.struct(sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s")))).alias("x")).select("id", F.col("x.s").alias("s"))
+    n = F.greatest(F.size("s") - 2, F.lit(0))
+    # The first two long sentences besides i and i + 1 are among the first four long ones, which is all that a row carries.
+    long = F.slice(F.filter(F.transform(F.col("s"), lambda x, j: F.struct(j.alias("j"), x.alias("x"))), lambda e: F.length(e["x"]) > least), 1, 4)
+    threes = F.arrays_zip(F.slice("s", 1, n).alias("premise"), F.slice("s", 2, n).alias("intermediate"), F.slice("s", 3, n).alias("conclusion"))
+    runs = own.select("id", long.alias("l"), threes.alias("t")).select("id", "l", F.posexplode("t").alias("pos", "t"))
+    runs = runs.where((F.length("t.premise") > least) & (F.length("t.intermediate") > least))
+    related = F.slice(F.filter("l", lambda e: (e["j"] != F.col("pos")) & (e["j"] != F.col("pos") + 1)), 1, 2)
+    return runs.select("id", F.col("pos").cast("long").alias("pos"), "t.premise", "t.intermediate", "t.conclusion", F.transform(related, lambda e: e["x"]).alias("related"))
 
 
 def complexity(pairs: Column) -> Column:

@@ -15,8 +15,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``term``, ``tf``, ``dl``: terms are the pieces between single spaces, empty ones included."""
-    terms = F.split(F.coalesce(F.col(text_col), F.lit("")), " ", -1)
-    each = docs.select(F.col(id_col).alias("id"), F.size(terms).cast("long").alias("dl"), F.explode(terms).alias("term"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Lengths are taken below the explode: beside it they would be computed anew for every term.
+    own = docs.select(F.col(id_col).alias("id"), (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("dl"), text.alias("text"))
+    each = own.select("id", "dl", F.explode(F.split("text", " ", -1)).alias("term"))
     return each.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
