@@ -275,3 +275,17 @@ def tolerance(value: Column, default: float = 1e-2) -> Column:
 def log_scores(names: Column, logs: Column) -> Column:
     """A map of token to score from parallel arrays."""
     return F.map_from_arrays(names, logs)
+
+
+def tool_call_text(content: Column, name: Column, arguments: Column) -> Column:
+    """A message with a tool call in its tag; name and arguments (a JSON text) as one object."""
+    return F.concat(content, F.lit("\n<tool_call>\n{\"name\": \""), name, F.lit("\", \"arguments\": "), arguments, F.lit("}\n</tool_call>"))
+
+
+def tool_response_text(name: Column, content: Column) -> Column:
+    return F.concat(F.lit("<tool_response>\n{\"name\": \""), name, F.lit("\", \"content\": "), content, F.lit("}\n</tool_response>"))
+
+
+def error_prefix(sentences_: Column, wrong_from: Column) -> Column:
+    """The sentences before the first wrong one, whose place an oracle has found by halving."""
+    return F.array_join(F.slice(sentences_, 1, F.greatest(wrong_from, F.lit(0))), ". ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import graph_identifier, relation_name
@@ -150,5 +150,7 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
     return met
 
 
-def relation_column(rel: Column) -> Column:
-    return relation_name(rel)
+def register_views(nodes: DataFrame, edges: DataFrame, prefix: str = "") -> None:
+    """Views ``vertices`` and ``edges`` for queries in SQL."""
+    nodes.createOrReplaceTempView(f"{prefix}vertices")
+    edges.createOrReplaceTempView(f"{prefix}edges")

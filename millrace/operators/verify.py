@@ -149,3 +149,54 @@ def tic_tac_toe(state: dict, action: str) -> tuple[dict, float, bool]:
     won = _winner(board)
     done = won is not None or " " not in board
     return {"board": board}, (1.0 if won == "X" else 0.5 if done and won is None else 0.0), done
+
+
+def numeric_value(text: str | None) -> float | None:
+    """The value of an arithmetic expression: numbers, + - * / ^, brackets, LaTeX fractions and roots; null if it is anything else."""
+    import re
+
+    if text is None:
+        return None
+    own = re.sub(r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", r"((\1)/(\2))", text.replace("$", "").strip())
+    own = re.sub(r"\\sqrt\{([^{}]*)\}", r"((\1)**0.5)", own)
+    own = re.sub(r"(?<=\d),(?=\d{3})", "", own).replace("\\cdot", "*").replace("\\times", "*").replace("\\left", "").replace("\\right", "").replace("^", "**").replace("\\%", "/100").replace("%", "/100")
+    try:
+        return _value(ast.parse(own, mode="eval").body)
+    except (SyntaxError, ValueError, ZeroDivisionError, OverflowError, RecursionError, MemoryError):
+        return None
+
+
+def _value(node: ast.AST) -> float:
+    if isinstance(node, ast.Constant) and isinstance(node.value, int | float) and not isinstance(node.value, bool):
+        return float(node.value)
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub | ast.UAdd):
+        return -_value(node.operand) if isinstance(node.op, ast.USub) else _value(node.operand)
+    if isinstance(node, ast.BinOp):
+        a, b = _value(node.left), _value(node.right)
+        if isinstance(node.op, ast.Pow):
+            if abs(b) > 64:
+                raise ValueError("the exponent is too large")
+            out = a**b
+        else:
+            ops = {ast.Add: lambda: a + b, ast.Sub: lambda: a - b, ast.Mult: lambda: a * b, ast.Div: lambda: a / b}
+            if type(node.op) not in ops:
+                raise ValueError("not arithmetic")
+            out = ops[type(node.op)]()
+        if isinstance(out, complex):
+            raise ValueError("not a real number")
+        return out
+    raise ValueError("not arithmetic")
+
+
+def math_equal(answer: str | None, truth: str | None, tolerance: float = 1e-6) -> bool:
+    """Both are arithmetic and their values are close, or they are the same text without white space."""
+    a, b = numeric_value(answer), numeric_value(truth)
+    if a is not None and b is not None:
+        return close(a, b, tolerance)
+    return answer is not None and truth is not None and "".join(answer.split()) == "".join(truth.split())
+
+
+def response_cost(usage: DataFrame, prices: DataFrame, model: str = "model", tokens_in: str = "prompt_tokens", tokens_out: str = "completion_tokens") -> DataFrame:
+    """Adds ``cost`` from a price table (``model``, ``input_price``, ``output_price`` a token); null where a model has no price."""
+    both = usage.join(prices.select(model, "input_price", "output_price"), model, "left")
+    return both.withColumn("cost", F.col(tokens_in) * F.col("input_price") + F.col(tokens_out) * F.col("output_price")).drop("input_price", "output_price")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import embedding
 from millrace.functions import numbers as N
 from millrace.functions import parsing as X
+from millrace.functions import text as T
+from millrace.operators import graph as G
 from millrace.operators import verify as V
 from millrace.operators.vector import upsert
 from millrace.plans import generate
@@ -186,3 +189,57 @@ SELECT id, attempt FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s
 def _(spark, d):
     a = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("attempt"), ((F.col("o_orderkey") % 97) / 100.0).alias("score"))
     return generate.best_attempt(a).select("id", "attempt")
+
+
+@query("embed_documents")
+def _(spark, d):
+    return embedding.indexed(table(spark, d, "documents")).select("id", "piece_num", F.round(F.col("vector")[0], 6).alias("first"))
+
+
+@query("embed_cache", "SELECT count(*) AS rows, count(DISTINCT text) AS texts FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    cache = embedding.embedded(table(spark, d, "benchmark").select("text").distinct(), "text")
+    rows, full = embedding.embedded_with_cache(docs, cache, "text")
+    return rows.where("vector IS NOT NULL").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("text").alias("texts"))
+
+
+@query("model_scores", "SELECT item_id, length(text)::DOUBLE AS length FROM benchmark")
+def _(spark, d):
+    rows = embedding.scored(table(spark, d, "benchmark"), lambda texts: [{"length": float(len(t))} for t in texts], "text")
+    return rows.select("item_id", F.col("scores")["length"].alias("length"))
+
+
+@query("math_verification", "SELECT p_partkey, p_size % 4 = 0 AS equal FROM part")
+def _(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("\\frac{"), F.col("p_size") % 4, F.lit("}{4} + 2^3")).alias("s"), F.lit("8.0").alias("r"))
+    return V.verified(rows, V.math_equal, "s", "r").select("p_partkey", (F.col("status") == "success").alias("equal"))
+
+
+@query("response_cost", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') THEN round(o_custkey * (CASE o_orderstatus WHEN 'O' THEN 0.5 ELSE 0.25 END)::DOUBLE + 3 * (CASE o_orderstatus WHEN 'O' THEN 1.5 ELSE 2 END)::DOUBLE, 6) END AS cost FROM orders")
+def _(spark, d):
+    usage = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("model"), F.col("o_custkey").alias("prompt_tokens"), F.lit(3).alias("completion_tokens"))
+    prices = spark.createDataFrame([("O", 0.5, 1.5), ("F", 0.25, 2.0)], "model string, input_price double, output_price double")
+    return V.response_cost(usage, prices).select("o_orderkey", F.round("cost", 6).alias("cost"))
+
+
+@query("tool_call_format", """SELECT n_nationkey, 'call' || chr(10) || '<tool_call>' || chr(10) || '{"name": "' || n_name || '", "arguments": {"k": ' || n_regionkey || '}}' || chr(10) || '</tool_call>' AS message, '{"name": "' || n_name || '", "arguments": {"k": ' || n_regionkey || '}}' AS call FROM nation""")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    text = T.tool_call_text(F.lit("call"), F.col("n_name"), F.concat(F.lit('{"k": '), "n_regionkey", F.lit("}")))
+    return n.select("n_nationkey", text.alias("message"), T.tool_calls(text)[0].alias("call"))
+
+
+@query("graph_sql", "SELECT n_regionkey::VARCHAR AS region, count(*) AS n FROM nation GROUP BY 1")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    G.register_views(n.select(F.col("n_name").alias("id")), n.select(F.col("n_name").alias("src"), F.col("n_regionkey").cast("string").alias("dst"), F.lit("IN").alias("type")))
+    return spark.sql("SELECT dst AS region, count(*) AS n FROM edges WHERE type = 'IN' GROUP BY dst")
+
+
+@query("staged_elements", "SELECT p_partkey, '{\"text\":\"' || p_name || '\",\"meta\":{\"id\":\"' || p_partkey || '\"}}' AS value FROM part")
+def _(spark, d):
+    from millrace.sources.sinks import STAGES
+
+    p = table(spark, d, "part").select(F.col("p_name").alias("text"), F.col("p_partkey").cast("string").alias("element_id"), F.lit(None).cast("string").alias("metadata"))
+    return STAGES["prodigy"](p).select(F.get_json_object("value", "$.meta.id").cast("long").alias("p_partkey"), "value")

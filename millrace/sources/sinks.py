@@ -205,3 +205,19 @@ def crawl(seeds: DataFrame, links, depth: int = 2, url: str = "url") -> DataFram
             break
         seen = _cut(seen.union(front))
     return seen
+
+
+#: How elements (``text``, ``element_id``, ``metadata`` as JSON) are laid out for labelling tools.
+STAGES = {
+    "csv": lambda e: e.select("element_id", "text", "metadata"),
+    "dict": lambda e: e.select(F.to_json(F.struct("element_id", "text", "metadata")).alias("value")),
+    "label_studio": lambda e: e.select(F.to_json(F.struct(F.struct(F.col("text"), F.col("element_id").alias("ref_id")).alias("data"))).alias("value")),
+    "prodigy": lambda e: e.select(F.to_json(F.struct("text", F.struct(F.col("element_id").alias("id")).alias("meta"))).alias("value")),
+    "datasaur": lambda e: e.select(F.to_json(F.struct("text")).alias("value")),
+}
+
+
+def staged(elements: DataFrame, kind: str) -> DataFrame:
+    if kind not in STAGES:
+        raise ValueError(f"unsupported stage {kind!r}; known: {sorted(STAGES)}")
+    return STAGES[kind](elements)
