@@ -128,13 +128,8 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
     spark = nodes.sparkSession
     kind = dict(nodes.dtypes)["id"]
     e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    if neighbour_aware:
-        common = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.dst")).groupBy(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
-        degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-        e = e.join(common, ["src", "dst"], "left").join(degree.withColumnRenamed("src", "dst"), "dst").select("src", "dst", (1 - F.coalesce("c", F.lit(0)) / F.col("k")).alias("w"))
-    else:
-        e = e.withColumn("w", F.lit(1.0))
     e = _cut(e)
+    degree = _cut(e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))) if neighbour_aware else None
     wanted = int(nodes.count() * ratio)
     at = spark.createDataFrame([(i, s, s) for i, s in enumerate(starts)], f"walker int, start {kind}, id {kind}")
     met = _cut(at.select("id").distinct())
@@ -144,7 +139,13 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
         chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker"), F.lit(1_000_000)) / 1e6
         move = at.withColumn("back", chance < restart)
         draw = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker", "dst"), F.lit(1_000_000)) + 1) / 1e6
-        next_ = move.join(e, move["id"] == e["src"], "left").groupBy("walker", "start", "back").agg(F.min_by("dst", -F.log(draw) / F.greatest(F.col("w"), F.lit(1e-6))).alias("dst"))
+        near = move.join(e.select(F.col("src").alias("id"), "dst"), "id", "left").withColumn("w", F.lit(1.0))
+        if neighbour_aware:
+            # Neighbours in common are counted for the walkers' own moves only, never for all pairs of nodes.
+            steps = near.select("walker", "id", "dst").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("third")), "dst")
+            shared = steps.join(e.select(F.col("src").alias("id"), F.col("dst").alias("third")), ["id", "third"], "left_semi").groupBy("walker", "dst").agg(F.count(F.lit(1)).alias("c"))
+            near = near.drop("w").join(shared, ["walker", "dst"], "left").join(degree.withColumnRenamed("src", "dst"), "dst", "left").withColumn("w", 1 - F.coalesce("c", F.lit(0)) / F.coalesce("k", F.lit(1)))
+        next_ = near.groupBy("walker", "start", "back").agg(F.min_by("dst", -F.log(draw) / F.greatest(F.col("w"), F.lit(1e-6))).alias("dst"))
         at = _cut(next_.select("walker", "start", F.when(F.col("back") | F.col("dst").isNull(), F.col("start")).otherwise(F.col("dst")).alias("id")))
         met = _cut(met.union(at.select("id")).distinct())
     return met

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import embedding
 from millrace.functions import filters as P
 from millrace.functions import numbers as N
 from millrace.functions import parsing as X
@@ -281,3 +282,18 @@ def test_curation(spark):
     got = curation.triples(df).orderBy("pos").collect()
     assert [r.conclusion for r in got] == ["A third one", "And a fourth sentence"] and got[0].related == ["A third one", "And a fourth sentence"]
     assert curation.hash_sample(df, 5, "doc_id").count() == 1
+
+
+def test_embedding(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "c")], "doc_id int, text string")
+    rows = {r.doc_id: r.vector for r in embedding.embedded(df, "text").collect()}
+    assert rows[1] == rows[2] and sum(x * x for x in rows[1]) == pytest.approx(1) and not any(rows[3])
+    calls = spark.createDataFrame([("a b", [1.0])], "text string, vector array<double>")
+    with_cache, full = embedding.embedded_with_cache(df.where("text IS NOT NULL"), calls, "text")
+    assert {r.doc_id: r.vector for r in with_cache.collect()}[1] == [1.0] and full.count() == 2
+    assert embedding.indexed(df).count() == 3
+
+
+def test_arithmetic():
+    assert verify.math_equal(r"\\frac{1}{2}".replace("\\\\", "\\"), "0.5") and verify.math_equal("1,000", "10^3") and not verify.math_equal("x+1", "x+2") and verify.math_equal("x + 1", "x+1")
+    assert verify.numeric_value("__import__('os')") is None and verify.numeric_value("9^9^9^9") is None and verify.numeric_value("1/0") is None
