@@ -253,7 +253,7 @@ class SubstringIndex:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_out: int = FAN_OUT) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        self.buckets, self.fan_out, self.runs = int(self.spark.conf.get("spark.sql.shuffle.partitions")), fan_out, []
+        self.buckets, self.fan_out, self.runs = min(100_000, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), fan_out, []
 
     def _run(self, rows: DataFrame) -> str:
         """Writes entries as a run: bucketed and sorted by the gram's hash."""
@@ -321,10 +321,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     doc, gone = F.col("doc"), None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = (F.lit(True) if low is None else doc > low) & (F.lit(True) if high is None else doc <= high)
-        own = index.ingest(batch)
-        gone = own if gone is None else gone.union(own)
-    index.close()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            batch = (F.lit(True) if low is None else doc > low) & (F.lit(True) if high is None else doc <= high)
+            own = index.ingest(batch)
+            gone = own if gone is None else gone.union(own)
+    finally:
+        index.close()
     lists = written(gone.groupBy("doc").agg(F.collect_list(_packed(F.col("a"), F.col("n"))).alias("at")), "removed-lists")
     return joined(index.docs, lists, "doc", "left", 64, 8 * F.size("at")).mapInArrow(_without, "_id long, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)
