@@ -25,6 +25,8 @@ _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_WS}]", chr(i)))
 #: Distinct chunks that a worker remembers; beyond, those met in one batch only are forgotten.
 CHUNKS_KEPT = 600_000
+#: New chunks that one call of the tokenizer takes.
+AT_A_TIME = 250
 #: Bytes of text that a task works on at once, and that are encoded at once (there, fewer distinct chunks come of more).
 AT_ONCE, ENCODED_AT_ONCE = 2_000_000, 5_000_000
 
@@ -123,7 +125,7 @@ class Chunks:
         if marked:
             held = set(marked)
             chunks = [c for c in chunks if c not in held]
-        joint = [sep.join(chunks[i : i + 2000]) + sep for i in range(0, len(chunks), 2000)]
+        joint = [sep.join(chunks[i : i + AT_A_TIME]) + sep for i in range(0, len(chunks), AT_A_TIME)]
         # One at a time: what the library returns holds much more than ids.
         ids = [np.array(self.tokenizer.encode_batch_fast([j], add_special_tokens=False)[0].ids, np.uint32) for j in joint]
         for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False):

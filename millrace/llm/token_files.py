@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.encoding import ENCODED_AT_ONCE, encoder, portions, strings
+from millrace.llm.encoding import encoder, portions, strings
 from millrace.llm.shared import may_broadcast, new_path, written
 
 MAGIC, HEAD = b"MRTOKEN1", struct.Struct("<8sIIQQQ")
 NO_ID = -(2**63)
 BLOCK_IDS = 4096
+#: Bytes of text that are encoded at once.
+AT_ONCE = 8_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -120,7 +122,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         bits = bits_for(max(own.vocabulary, end_id + 1))
         kind = np.uint16 if bits <= 16 else np.uint32
         for batch in batches:
-            for rows in portions(batch, 1, ENCODED_AT_ONCE):
+            for rows in portions(batch, 1, AT_ONCE):
                 ids, n = own.encode(strings(rows.column(1)))
                 whole = np.insert(ids, np.cumsum(n), end_id)
                 doc_ids += [NO_ID if x is None else x for x in rows.column(0).to_pylist()]
