@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.exact import drop_exact_duplicates
+from millrace.llm.minhash import drop_similar
 from millrace.llm.mixing import mixed_documents
 from millrace.llm.quality import keep_good
 from millrace.llm.queries import packed
 from millrace.llm.shared import table, written
-from millrace.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the document with the smallest id stays."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,5 +63,17 @@ def joined(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, byt
     return left.join(F.broadcast(right) if may_broadcast(right, bytes_a_row, more) else right, on, how)
 
 
+#: The columns that tell the rows of a ``keyed`` table apart: a hash of the file's path, and the row's place in the file.
+ROW = ["_row_file", "_row_at"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns ROW, the same each time it is read. What isn't read from Parquet files as it stands is written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
+        docs = written(docs, "keyed")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
