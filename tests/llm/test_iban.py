@@ -1,0 +1,16 @@
+"""IBANs before capitalised words and codes."""
+
+from millrace.llm import pii
+from tests.llm.test_operators import docs_of
+
+
+def test_what_follows_an_iban_is_not_taken_in(spark):
+    texts = {
+        "IBAN DE89370400440532013000 Please pay": "DE89370400440532013000", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF": "DE89 3704 0044 0532 0130 00",
+        "GB82 WEST 1234 5698 7654 32 A 1": "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947 OSLO": "NO93 8601 1117 947", "to MT84MALT011000012345MTLCAST001S BIC X": "MT84MALT011000012345MTLCAST001S",
+        "DE89370400440532013000X": None, "DE88370400440532013000 Please": None, "DE8937040044053201300 and": None,
+    }
+    got = {r.doc_id: [s.text for s in r.spans if s.kind == "iban"] for r in pii.find_pii(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [[t] if t else [] for t in texts.values()]
+    rows = pii.redact(docs_of(spark, [(0, "IBAN DE89370400440532013000 Please pay")])).collect()
+    assert rows[0].text == "IBAN [iban] Please pay"
