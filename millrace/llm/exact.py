@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import joined, written
+from millrace.llm.shared import ROW, joined, keyed, written
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 128
@@ -27,23 +27,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
-    """One row per input row: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and the columns ``more``.
 
     ``text_sha256`` is null for rows that dropped out before the last step, unless ``digest_all`` asks
     for the digest of every text. Texts never pass through a shuffle when the keys of the
     surviving groups fit a broadcast; beyond that size they are dealt by (length, prefix hash).
     """
     norm = normalised(F.col("_text"))
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *more)
     keys = (F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("_pre"))
     narrow = source.select(*keys)
     by_length = narrow.groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_n"))
     by_prefix = written(by_length.where("_n > 1").select("_len", "_pre", F.lit(True).alias("_again")), "exact-prefix")
-    survivors = joined(source.select("_id", "_text", *keys), by_prefix, ["_len", "_pre"], "left", 32)
+    survivors = joined(source.select("_id", "_text", *more, *keys), by_prefix, ["_len", "_pre"], "left", 32)
     again = F.coalesce(F.col("_again"), F.lit(False))
     digest = F.sha2(norm, 256)
-    hashed = written(survivors.select("_id", again.alias("_again"), (digest if digest_all else F.when(again, digest)).alias("_sha")), "exact-hash")
+    hashed = written(survivors.select("_id", *more, again.alias("_again"), (digest if digest_all else F.when(again, digest)).alias("_sha")), "exact-hash")
     groups = hashed.where("_again").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     groups = written(groups.where("_size > 1"), "exact-groups")
     found = hashed.join(groups, "_sha", "left")
@@ -53,10 +53,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col("_size"), F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("_size").isNotNull(), F.col("_id").eqNullSafe(F.col("_keep"))).otherwise(F.lit(True)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        *more,
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Rows without an id can't be named, so they stay."""
-    gone = written(exact_groups(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct(), "exact-gone")
-    return joined(docs, gone, id_col, "left_anti", 16)
+    """The rows that stay, with all their columns: one of each group, also of rows that repeat an id and a text or have no id (these come last)."""
+    docs = keyed(docs)
+    found = written(exact_groups(docs, id_col, text_col, more=tuple(ROW)).where("group_size > 1").select("text_sha256", "kept", *ROW), "exact-rows")
+    order = F.struct((~F.col("kept")).alias("other"), *ROW)
+    first = written(found.groupBy("text_sha256").agg(F.min(order).alias("first")), "exact-first")
+    gone = written(joined(found, first, "text_sha256", "inner", 128).where(order != F.col("first")).select(*ROW), "exact-gone")
+    return joined(docs, gone, ROW, "left_anti", 32).drop(*ROW)

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import joined, written
+from millrace.llm.shared import ROW, joined, keyed, written
 
 #: Weights of the sources in order, repeating; how often a source's words may be repeated at most.
 WEIGHTS, CAP = (1.0, 2.0, 3.0), 3
@@ -70,10 +70,10 @@ def newton_rates(sources: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
     return sources.withColumn("rate", F.when((size > 0) & (goal > 0), F.exp(m)).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """A row per input row: ``id_col``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = CAP, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row per input row: ``id_col``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``; and ``more``, columns that tell rows of one id apart."""
     salt = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(SALTS)).alias("_salt")
-    sized = written(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), salt), "mix-sizes")
+    sized = written(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), salt, *more), "mix-sizes")
     cells = written(sized.groupBy("source", "size", "_salt").agg(F.count(F.lit(1)).alias("_n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
     rated = written(newton_rates(source_targets(sources, weights, cap)), "mix-sources")
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     within = cells.where("size > 0").select("source", "size", "_salt", F.coalesce(in_size, F.lit(0)).alias("_within"))
     same = within["source"].eqNullSafe(by_size["source"]) & (within["size"] == by_size["size"])
     firsts = written(within.join(by_size, same).select(within["source"], within["size"], "_salt", (F.col("_below") + F.col("_within")).alias("_first")), "mix-places")
-    placed = sized.select("*", F.row_number().over(Window.partitionBy("source", "size", "_salt").orderBy("_id")).alias("_k"))
+    placed = sized.select("*", F.row_number().over(Window.partitionBy("source", "size", "_salt").orderBy("_id", *more)).alias("_k"))
     key = lambda d: [F.coalesce(d["source"], F.lit("")).alias("_s"), d["source"].isNull().alias("_none")]
     placed = placed.select("*", *key(placed)).drop("source")
     firsts = firsts.select("size", "_salt", "_first", *key(firsts))
@@ -93,14 +93,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = joined(found, rated, ["_s", "_none"], "left", 128)
     at = F.col("_first") + F.col("_k")
     copies = F.when(F.col("size") > 0, F.least(F.lit(cap), F.floor(F.col("rate") * at + 0.5) - F.floor(F.col("rate") * (at - 1) + 0.5))).otherwise(0).cast("long")
-    rounded = written(found.select("_id", "_s", "_none", "size", "source_size", "target", copies.alias("_copies")), "mix-rounded")
-    swaps = written(_settled(rounded, cap), "mix-settled")
-    settled = joined(rounded, swaps, ["_s", "_none", "size", "_id"], "left", 64)
+    rounded = written(found.select("_id", "_s", "_none", "size", "source_size", "target", copies.alias("_copies"), *more), "mix-rounded")
+    swaps = written(_settled(rounded, cap, more), "mix-settled")
+    settled = joined(rounded, swaps, ["_s", "_none", "size", "_id", *more], "left", 64)
     total = F.least(F.lit(cap), F.greatest(F.lit(0), F.col("_copies") + F.coalesce(F.col("_change"), F.lit(0)))).cast("long")  # rows that repeat an id change together
-    return settled.select(F.col("_id").alias(id_col), "size", "source_size", "target", total.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return settled.select(F.col("_id").alias(id_col), "size", "source_size", "target", total.alias("copies"), *more).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _settled(rounded: DataFrame, cap: int) -> DataFrame:
+def _settled(rounded: DataFrame, cap: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Changes by one copy that bring each source nearer its target: ``_s``, ``_none``, ``size``, ``_id``, ``_change``.
 
     Documents are classed by the three leading bits of their size. Of each source and class the largest that may
@@ -108,21 +108,23 @@ def _settled(rounded: DataFrame, cap: int) -> DataFrame:
     Rows offered for a source are as many as there are classes: four for each power of two.
     """
     shape = F.expr("struct(length(bin(size)) AS bits, shiftright(size, greatest(length(bin(size)) - 3, 0)) AS lead)")
-    one = F.struct("size", "_id")
+    one = F.struct("size", "_id", *more)
+    kind = "array<struct<size:bigint,_id:bigint" + "".join(f",{c}:bigint" for c in more) + ">>"
     able = F.col("_id").isNotNull() & (F.col("size") > 0)
     offers = rounded.groupBy("_s", "_none", shape.alias("_class")).agg(
         F.max(F.when(able & (F.col("_copies") < cap), one)).alias("_more"), F.max(F.when(able & (F.col("_copies") > 0), one)).alias("_less"),
         F.sum(F.col("_copies") * F.col("size")).alias("_taken"), F.first("target").alias("_target"),
     )
     each = offers.groupBy("_s", "_none").agg(F.sort_array(F.collect_list("_more"), asc=False).alias("_more"), F.sort_array(F.collect_list("_less"), asc=False).alias("_less"), (F.first("_target") - F.sum("_taken")).alias("_missing"))
-    nothing = F.array().cast("array<struct<size:bigint,_id:bigint>>")
+    nothing = F.array().cast(kind)
     step = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["ids"], F.array(x)).alias("ids"))).otherwise(a)
-    pick = F.aggregate(F.when(F.col("_missing") > 0, F.col("_more")).otherwise(F.col("_less")).cast("array<struct<size:bigint,_id:bigint>>"), F.struct(F.abs("_missing").alias("left"), nothing.alias("ids")), step, lambda a: a["ids"])
+    pick = F.aggregate(F.when(F.col("_missing") > 0, F.col("_more")).otherwise(F.col("_less")).cast(kind), F.struct(F.abs("_missing").alias("left"), nothing.alias("ids")), step, lambda a: a["ids"])
     picked = each.select("_s", "_none", F.signum("_missing").cast("long").alias("_change"), F.explode(pick).alias("_p"))
-    return picked.select("_s", "_none", "_p.size", "_p._id", "_change")
+    return picked.select("_s", "_none", "_p.size", "_p._id", *[f"_p.{c}" for c in more], "_change")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row as often as it has copies, with all its columns. Ids must be distinct; a row without one is left out."""
-    copies = written(mix(docs, id_col, **options).where(F.col("copies") > 0).select(id_col, F.col("copies").alias("_copies")), "mix-copies")
-    return joined(docs, copies, id_col, "inner", 24).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")
+    """The mix itself: each row as often as it has copies, with all its columns. Rows are told apart by their place, so ids may repeat or be null."""
+    docs = keyed(docs)
+    copies = written(mix(docs, id_col, more=tuple(ROW), **options).where(F.col("copies") > 0).select(*ROW, F.col("copies").alias("_copies")), "mix-copies")
+    return joined(docs, copies, ROW, "inner", 32).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies", *ROW)

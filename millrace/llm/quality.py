@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import portions, strings
-from millrace.llm.shared import joined, written
+from millrace.llm.shared import ROW, joined, keyed, written
 
 #: Shrinkage of the class covariances to the pooled one, and of that to its diagonal, at least; rows a class needs.
 TO_POOLED, TO_DIAGONAL, MINIMUM = 0.02, 0.02, 3
@@ -122,14 +122,15 @@ def fitted(n: np.ndarray, sums: np.ndarray, products: np.ndarray, to_pooled: flo
     return Model(prior, means, np.array(factors), np.array(constants), temperature)
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _scan(docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``, ``_x`` and the columns ``more`` (longs) of every row."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in portions(batch, 1):
                 found = [statistics(t) for t in strings(rows.column(1)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["_id", "_x"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.float64())), *rows.columns[2:]], names=["_id", "_x", *more])
 
-    return written(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, "_id long, _x array<double>"), "quality-statistics")
+    return written(docs.select(F.col(id_col).cast("long"), F.col(text_col), *more).mapInArrow(scan, "_id long, _x array<double>" + "".join(f", {c} long" for c in more)), "quality-statistics")
 
 
 def fit(statistics_: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
@@ -161,15 +162,15 @@ def fit(statistics_: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
     return fitted(flat[:2], flat[2 : 2 + 2 * width].reshape(2, width), flat[2 + 2 * width :].reshape(2, width, width))
 
 
-def scored(statistics_: DataFrame, model: Model) -> DataFrame:
-    """``_id``, ``score`` for each row of a table (``_id``, ``_x``)."""
+def scored(statistics_: DataFrame, model: Model, more: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``, ``score`` and the columns ``more`` for each row of a table (``_id``, ``_x``)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x)), *batch.columns[2:]], names=["_id", "score", *more])
 
-    return statistics_.select("_id", "_x").mapInArrow(score, "_id long, score double")
+    return statistics_.select("_id", "_x", *more).mapInArrow(score, "_id long, score double" + "".join(f", {c} long" for c in more))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -185,6 +186,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows that score 0.5 or more, with all their columns; rows without an id can't be named, so they stay."""
-    gone = classify(docs, labels, id_col, text_col, label_col).where((F.col("predicted") == 0) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    return joined(docs, written(gone, "quality-rejected"), id_col, "left_anti", 16)
+    """The rows that score 0.5 or more, with all their columns."""
+    docs = keyed(docs)
+    found = _scan(docs, id_col, text_col, tuple(ROW))
+    model = fit(found, labels.where(~held_out(id_col)), id_col, label_col)
+    gone = scored(found, model, tuple(ROW)).where("score < 0.5").select(*ROW)
+    return joined(docs, written(gone, "quality-rejected"), ROW, "left_anti", 32).drop(*ROW)
