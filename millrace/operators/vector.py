@@ -109,3 +109,12 @@ class InvertedFile:
         q = np.asarray(query, float)
         lists = np.argsort(-(self.centres @ (q / max(np.linalg.norm(q), 1e-10))), kind="stable")[:probes]
         return top_k(self.table.where(F.col("list").isin([int(j) for j in lists])), query, k, id_col=self.id_col, vector_col=self.vector_col)
+
+    def search_by_query(self, queries: DataFrame, k: int, probes: int, query_id: str = "query_id", query_col: str = "query") -> DataFrame:
+        """The k best rows for each query, of the lists of the ``probes`` centroids nearest it."""
+        own = normalised(F.col(query_col))
+        near = F.array_sort(F.array(*[F.struct((-inner_product(own, literal(c))).alias("s"), F.lit(j).alias("j")) for j, c in enumerate(self.centres)]))
+        asked = queries.withColumn("_near", F.explode(F.transform(F.slice(near, 1, probes), lambda x: x["j"])))
+        pairs = self.table.join(asked, self.table["list"] == asked["_near"]).withColumn("score", cosine_or_zero(F.col(self.vector_col), F.col(query_col)))
+        order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), self.id_col)
+        return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("_near")
