@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +108,58 @@ def rouge_l(reference: Column, hypothesis: Column) -> Column:
     return of(reference, hypothesis)
 
 
+def best_rouge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = 256) -> DataFrame:
+    """Each text's best ROUGE-L F1 over all items (a bounded table, sent to every task): ``id_col``, ``item_col``, ``rouge``; ties go to the smaller item.
+
+    The subsequences of a block of items are computed at once: their words lie side by side in one number, with a free bit after each item for its carry.
+    """
+    import pyarrow as pa
+
+    known = sorted((r[0], (r[1] or "").split()) for r in items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), text_col).collect())
+    known = docs.sparkSession.sparkContext.broadcast(known)
+
+    def scan(batches):
+        ids = np.array([i for i, _ in known.value], np.int64)
+        sizes = np.array([len(w) for _, w in known.value], np.int64)
+        blocks = [_side_by_side([w for _, w in known.value[k : k + block]]) for k in range(0, len(ids), block)]
+        for batch in batches:
+            items_, scores = [], []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").split()
+                common = np.concatenate([_common(words, *b) for b in blocks]) if blocks else np.zeros(0, np.int64)
+                score = np.where(common > 0, 2.0 * common / np.maximum(sizes + len(words), 1), 0.0)
+                best = int(score.argmax()) if len(score) else None
+                items_.append(None if best is None else int(ids[best]))
+                scores.append(0.0 if best is None else float(score[best]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items_, pa.int64()), pa.array(scores, pa.float64())], names=[id_col, item_col, "rouge"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(scan, f"`{id_col}` long, `{item_col}` long, rouge double")
+
+
+def _side_by_side(texts: list[list[str]]) -> tuple[dict[str, int], int, np.ndarray, np.ndarray]:
+    """Where each word stands in all texts, all places, and where each text begins and its length."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    at: dict[str, int] = {}
+    full = 0
+    for s, t in zip(starts.tolist(), texts, strict=True):
+        full |= ((1 << len(t)) - 1) << s
+        for i, w in enumerate(t):
+            at[w] = at.get(w, 0) | 1 << s + i
+    return at, full, starts, lengths
+
+
+def _common(words: list[str], at: dict[str, int], full: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences with each of the texts."""
+    rows = full
+    for w in words:
+        if places := at.get(w):
+            hit = rows & places
+            rows = (rows + hit | rows - hit) & full
+    bits = np.unpackbits(np.frombuffer(rows.to_bytes(int(starts[-1] + lengths[-1]) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return lengths - np.add.reduceat(bits.astype(np.int64), starts)
+
+
 def _rouge(a: list[str], b: list[str]) -> float:
     if not a or not b:
         return 0.0
