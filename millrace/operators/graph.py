@@ -119,8 +119,8 @@ def keyword_neighbours(nodes: DataFrame, edges: DataFrame, keywords: DataFrame,
     return found.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("src", "dst", "type"))).where(F.col("n") <= k).drop("n")
 
 
-def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float, restart: float = 0.1, seed: int = 0, most_rounds: int = 200, neighbour_aware: bool = False) -> DataFrame:
-    """Ids met by seeded random walks with restarts until a share of the nodes is met (or no round adds any).
+def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float, restart: float = 0.1, seed: int = 0, doubling: int = 4, neighbour_aware: bool = False) -> DataFrame:
+    """Ids met by seeded random walks with restarts until a share of the nodes is met, or all that can be reached.
 
     A walker stands at each start. Each round it goes back to its start with the chance ``restart``, else to a neighbour: the one with the
     smallest seeded hash, or, if aware of common neighbours, with the hash weighed by how few neighbours the two share.
@@ -129,13 +129,22 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
     kind = dict(nodes.dtypes)["id"]
     e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     e = _cut(e)
+    After each ``doubling`` rounds there are twice as many walkers at each start, so rounds grow with the logarithm of the number wanted.
     degree = _cut(e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))) if neighbour_aware else None
     wanted = int(nodes.count() * ratio)
     at = spark.createDataFrame([(i, s, s) for i, s in enumerate(starts)], f"walker int, start {kind}, id {kind}")
     met = _cut(at.select("id").distinct())
-    for step in range(most_rounds):
-        if met.count() >= wanted:
-            break
+    reach = front = met
+    while reach.count() < wanted and not front.isEmpty():
+        front = _cut(e.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(reach, "id", "left_anti"))
+        reach = _cut(reach.union(front))
+    wanted = min(wanted, reach.count())
+    step = -1
+    while met.count() < wanted:
+        step += 1
+        if step and step % doubling == 0:
+            count = len(starts) << (step // doubling - 1)
+            at = _cut(at.union(at.select((F.col("walker") + count).cast("int").alias("walker"), "start", "id")))
         chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker"), F.lit(1_000_000)) / 1e6
         move = at.withColumn("back", chance < restart)
         draw = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker", "dst"), F.lit(1_000_000)) + 1) / 1e6

@@ -291,7 +291,7 @@ def _(spark, d):
 @query("walk_sample")
 def _(spark, d):
     n, e = places(spark, d)
-    return G.walk_sample(n, e, ["n1", "n2"], 0.01, seed=5, most_rounds=30)
+    return G.walk_sample(n, e, ["n1", "n2"], 0.01, seed=5)
 
 
 # Workflows: orders as tasks, events as a log
