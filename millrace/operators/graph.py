@@ -70,11 +70,12 @@ def property_schema(elements: DataFrame, label: str = "type", properties: str =
     return elements.select(F.col(label).alias("label"), F.explode(F.map_keys(properties)).alias("property")).distinct()
 
 
-def shortest_path(edges: DataFrame, source, target, directed: bool = False, weight: str | None = None, most_rounds: int = 100) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target, directed: bool = False, weight: str | None = None) -> DataFrame:
     """One row: ``found``, ``length``, ``path`` (an array of ids), ``message``.
 
     Distances are relaxed round by round from the source, each written off at once; a round joins the nodes that changed with the edges.
-    Rounds end when nothing changes, or without weights when the target is reached.
+    Rounds end when nothing changes, or without weights when the target is reached. Weights that
+    fall without end (a cycle below 0) raise.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.select("src", "dst", w.alias("w"))
@@ -85,7 +86,11 @@ def shortest_path(edges: DataFrame, source, target, directed: bool = False, weig
     spark = edges.sparkSession
     best = _cut(spark.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0.0).alias("d"), F.array(F.lit(source).cast(kind)).alias("path")))
     front = best
-    for _ in range(most_rounds):
+    rounds, most = 0, e.select("src").union(e.select("dst")).distinct().count() + 1
+    while True:
+        rounds += 1
+        if rounds > most:
+            raise ValueError("a cycle has a negative weight")
         steps = front.join(e, front["id"] == e["src"]).select(F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"), F.concat("path", F.array("dst")).alias("path"))
         steps = steps.groupBy("id").agg(F.min(F.struct("d", "path")).alias("m")).select("id", "m.d", "m.path")
         old = best.select("id", F.col("d").alias("o"))
@@ -124,12 +129,12 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
 
     A walker stands at each start. Each round it goes back to its start with the chance ``restart``, else to a neighbour: the one with the
     smallest seeded hash, or, if aware of common neighbours, with the hash weighed by how few neighbours the two share.
+    After each ``doubling`` rounds there are twice as many walkers at each start, so rounds grow with the logarithm of the number wanted.
     """
     spark = nodes.sparkSession
     kind = dict(nodes.dtypes)["id"]
     e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     e = _cut(e)
-    After each ``doubling`` rounds there are twice as many walkers at each start, so rounds grow with the logarithm of the number wanted.
     degree = _cut(e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))) if neighbour_aware else None
     wanted = int(nodes.count() * ratio)
     at = spark.createDataFrame([(i, s, s) for i, s in enumerate(starts)], f"walker int, start {kind}, id {kind}")

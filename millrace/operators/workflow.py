@@ -17,34 +17,34 @@ def ready(tasks: DataFrame, done: DataFrame, id_col: str = "task_id", deps: str
     return open_.join(ok.where("_ready").select(id_col), id_col, "left_semi")
 
 
-def levels(tasks: DataFrame, id_col: str = "task_id", deps: str = "dependencies", most_rounds: int = 1000) -> DataFrame:
+def levels(tasks: DataFrame, id_col: str = "task_id", deps: str = "dependencies") -> DataFrame:
     """``task_id``, ``level``: 0 without dependencies, else one above the highest of them; a topological order is (level, id). A cycle raises."""
     edges = _cut(tasks.select(id_col, F.explode(deps).alias("dep")).join(tasks.select(F.col(id_col).alias("dep")), "dep", "left_semi"))
     left = _cut(tasks.select(id_col))
     out = None
-    for level in range(most_rounds):
-        if left.isEmpty():
-            break
+    level = -1
+    while not left.isEmpty():
+        level += 1
         blocked = edges.join(left.select(F.col(id_col).alias("dep")), "dep", "left_semi").select(id_col)
         now = _cut(left.join(blocked, id_col, "left_anti"))
         if now.isEmpty():
             raise ValueError("the dependencies form a cycle")
         own = now.withColumn("level", F.lit(level).cast("long"))
         out = own if out is None else out.union(own)
+        out = _cut(out) if level % 50 == 49 else out
         left = _cut(left.join(now, id_col, "left_anti"))
     return out if out is not None else tasks.select(id_col, F.lit(0).cast("long").alias("level"))
 
 
-def depths(tasks: DataFrame, id_col: str = "task_id", parent: str = "parent_id", most_rounds: int = 1000) -> DataFrame:
+def depths(tasks: DataFrame, id_col: str = "task_id", parent: str = "parent_id") -> DataFrame:
     """``task_id``, ``depth`` in its tree: 1 for a root."""
     rows = tasks.select(id_col, parent)
     now = _cut(rows.where(F.col(parent).isNull()).select(id_col, F.lit(1).cast("long").alias("depth")))
-    out = now
-    for _ in range(most_rounds):
+    out, level = now, 0
+    while not now.isEmpty():
         now = _cut(rows.join(now.select(F.col(id_col).alias(parent), F.col("depth").alias("_d")), parent).select(id_col, (F.col("_d") + 1).alias("depth")))
-        if now.isEmpty():
-            break
-        out = out.union(now)
+        level += 1
+        out = _cut(out.union(now)) if level % 50 == 0 else out.union(now)
     return out
 
 
