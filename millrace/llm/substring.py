@@ -3,19 +3,27 @@
 Documents come in batches in ascending order of id. Every window of WINDOW words holds W = WINDOW - GRAM + 1
 grams of GRAM words, and the first of those with the smallest hash is its anchor, so equal windows have equal
 anchors. Neighbouring windows share an anchor; an entry of the index is an anchor with the stretch of windows it
-serves: the gram's hash, a second hash of the whole stretch, document, first window, number of windows. About
+serves: the gram's hash, 128 bits of the whole stretch, document, first window, number of windows. About
 one word in eight starts one.
 
-A batch becomes a sorted immutable run: entries dealt and sorted by the gram's hash, written as a bucketed table. The
-new run is merge-joined with each earlier run and with itself; neither is shuffled again. What meets is then
-verified. Stretches equal in both hashes repeat as a whole: all but the first are removed. Where a gram stands in
-different stretches, some windows may still be equal, so the windows of each such stretch's first occurrence are
-hashed one by one (128 bits) from the texts, and of equal ones all but the first are removed. Runs are compacted, when there are more than
-FAN_OUT, into one run that keeps the first occurrence of every stretch.
+A batch becomes a sorted immutable run: entries dealt and sorted by the gram's hash, written as a bucketed table. It is
+merge-joined with the earlier runs bucket by bucket; no run is shuffled again. Stretches that are equal repeat as a whole.
+Where a gram stands in different stretches, some windows may still be equal, so the windows of each such stretch's first
+occurrence are hashed one by one (128 bits) from the texts. Runs are compacted in levels: as soon as ``fan_out`` runs have
+sizes of one power of ``fan_out``, they are merged into one, again bucket by bucket, which keeps the first occurrence of every stretch.
+
+Hashes only propose. Words are digested by BLAKE2b, stretches and windows by a mix of these digests that isn't linear; what is to go is
+joined to whole intervals, and the words of each interval and of the earlier occurrence it repeats are digested by SHA-256
+from the texts and compared. An interval that differs stays.
 
 Hot passages are aggregated before they are shuffled: of a stretch that a task meets again only occurrences earlier than
-all it met are indexed, the others are removed at once; afterwards partial sums find the first ones, and they are brought to
-the others by a join that adaptive execution can split.
+all it met are indexed, the others are proposed at once. A hot gram (one that stands in so many different stretches that
+its entries would fill an eighth of a bucket) isn't dealt by its hash: its windows are indexed one by one in runs of
+their own, dealt by the window's hash. Which grams are hot is read from the entries whose hash is divisible by
+64; it moves entries from one kind of run to the other and changes no result.
+
+Only documents with an old stretch that a batch's grams meet in another form are read again, and of their files only
+the range of ids that these span.
 
 Defined cases: a null text has no words. Rows without an id are returned as they are and lend no window. Rows that repeat an id must
 repeat its text and count as one document, so none of them is removed for another (if their texts differ, nothing fails, but what
@@ -25,23 +33,31 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import portions, strings
-from millrace.llm.shared import joined, new_path, written
+from millrace.llm.shared import delete, joined, new_path, written
 
-WINDOW, GRAM, FAN_OUT = 20, 6, 4
+#: Runs of one level that are merged into one of the next.
+WINDOW, GRAM, FAN_OUT = 20, 6, 2
 #: Batches into which a whole table is cut.
-BATCHES = 2
+BATCHES = 3
+#: A gram is hot from so many entries in a batch, if these also are a share of 1 / HOT_SHARE of a bucket; one entry in SAMPLED is counted.
+HOT_LEAST, HOT_SHARE, SAMPLED = 512, 8, 64
+#: Digests of words that a worker remembers.
+DIGESTS_KEPT = 400_000
 _U = np.uint64
-_BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93))
+_ODD = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_digests: dict[bytes, bytes] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,29 +67,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _BASES[0])
-
-
-class _Powers:
-    """Powers of an odd base modulo 2^64, or of its inverse; longer tables are made as they are asked for."""
-
-    def __init__(self, base: np.uint64, inverse: bool = False) -> None:
-        self.base = _U(pow(int(base), -1, 1 << 64)) if inverse else base
-        self.table = np.ones(1, np.uint64)
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two in order; for either one kept, a bijection of the other."""
+    return _mixed(a * _ODD[0] + _mixed(b ^ _ODD[1]))
 
-    def upto(self, n: int) -> np.ndarray:
-        if n > len(self.table):
-            steps = np.full(max(n, 2 * len(self.table)), self.base, np.uint64)
-            steps[0] = 1
-            self.table = np.cumprod(steps)
-        return self.table[:n]
 
-
-_LETTERS, _UP, _DOWN = _Powers(_BASES[0]), [_Powers(b) for b in _BASES[1:]], [_Powers(b, True) for b in _BASES[1:]]
+def _word_digests(words: list[bytes]) -> np.ndarray:
+    """128 bits of each distinct word."""
+    if len(_digests) > DIGESTS_KEPT:
+        _digests.clear()
+    for w in words:
+        if w not in _digests:
+            _digests[w] = hashlib.blake2b(w, digest_size=16).digest()
+    return np.frombuffer(b"".join(map(_digests.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 class Words:
-    """Words of several texts in a row, with hashes of any stretch of them from running sums."""
+    """Words of several texts in a row, with hashes of stretches of them in two independent lanes."""
 
     def __init__(self, texts: list[bytes]) -> None:
         data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
@@ -84,55 +94,56 @@ class Words:
         self.first = np.searchsorted(starts, begin)  # of each text, and one more
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.n = len(starts)
-        at = np.concatenate(([0], np.cumsum(lengths)))
-        place = np.arange(at[-1]) - np.repeat(at[:-1], lengths)
-        powers = _LETTERS.upto(int(lengths.max(initial=1)))
-        sums = np.add.reduceat(_BYTES[data[~white]] * powers[place], at[:-1]) if self.n else np.zeros(0, np.uint64)
-        own = _mixed(sums + lengths.astype(np.uint64) * _BASES[2])
-        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up.upto(self.n)))) for x, up in zip((own, _mixed(own ^ _BASES[1])), _UP, strict=True)]
+        at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(at), pa.py_buffer(data[~white])]).dictionary_encode()
+        each = _word_digests(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if self.n else np.zeros((0, 2), np.uint64)
+        self.of = {(1, lane): each[:, lane].copy() for lane in range(2)}
 
-    def hashes(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        return _mixed((self.sums[which][end] - self.sums[which][start]) * _DOWN[which].upto(self.n + 1)[start])
+    def hashes(self, length: int, lane: int = 0) -> np.ndarray:
+        """Of the ``length`` words from each place on."""
+        if (length, lane) not in self.of:
+            top = 1 << (length - 1).bit_length() - 1
+            a, b = self.hashes(top, lane), self.hashes(length - top, lane)[top:]
+            self.of[length, lane] = _both(a[: len(b)], b)
+        return self.of[length, lane]
 
 
 def entries(words: Words) -> tuple[np.ndarray, ...]:
-    """Entries of all texts: gram hash, stretch hash, text, first window and number of windows (places within the text)."""
+    """Entries of all texts: gram hash, both halves of the stretch's hash, text, first window and number of windows (places within the text)."""
     count, wide = words.n - WINDOW + 1, WINDOW - GRAM + 1
-    if count < 1:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    grams = words.hashes(np.arange(words.n - GRAM + 1), np.arange(GRAM, words.n + 1))
+    whole = np.nonzero(words.text[: max(count, 0)] == words.text[WINDOW - 1 :])[0]
+    if not len(whole):
+        none = np.zeros(0, np.uint64)
+        return none, none, none, whole, whole, whole
+    grams = words.hashes(GRAM)
     least, width = np.arange(len(grams)), 1
     while 2 * width <= wide:
         a, b = least[:-width], least[width:]
         least, width = np.where(grams[b] < grams[a], b, a), 2 * width
     a, b = least[:count], least[wide - width : wide - width + count]
-    anchor = np.where(grams[b] < grams[a], b, a)
-    whole = np.nonzero(words.text[:count] == words.text[WINDOW - 1 :])[0]
-    if not len(whole):
-        return (grams[:0], grams[:0], whole, whole, whole)
-    anchor, text = anchor[whole], words.text[whole]
+    anchor = np.where(grams[b] < grams[a], b, a)[whole]
+    text = words.text[whole]
     first = np.concatenate(([0], np.nonzero((np.diff(anchor) != 0) | (np.diff(text) != 0))[0] + 1))
     number = np.diff(np.concatenate((first, [len(whole)])))
     start, anchor, text = whole[first], anchor[first], text[first]
-    stretch = words.hashes(start, start + number + WINDOW - 1, 1)
-    stretch = _mixed(stretch + _mixed(((anchor - start) * 64 + number).astype(np.uint64)))
-    return grams[anchor], stretch, text, start - words.first[text], number
+    shape = ((anchor - start) * 64 + number).astype(np.uint64)
+    # at most W windows share an anchor, so the first and the last of them hold all words of the stretch
+    halves = [_both(_both(of[start], of[start + number - 1]), shape) for of in (words.hashes(WINDOW, 0), words.hashes(WINDOW, 1))]
+    return grams[anchor], *halves, text, start - words.first[text], number
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of the same document that touch, joined."""
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Intervals of one document that touch, and repeat one document ``of`` at one distance ``shift``, joined."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    new = np.concatenate(([True], np.diff(doc) != 0))
-    group = np.cumsum(new)
-    offset = group * (int(end.max()) + 1)  # so that the running maximum starts afresh with each document
+        return doc, start, end, of, shift
+    order = np.lexsort((start, shift, of, doc))
+    doc, start, end, of, shift = (x[order] for x in (doc, start, end, of, shift))
+    new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(of) != 0) | (np.diff(shift) != 0)))
+    offset = np.cumsum(new) * (int(end.max()) + 1)  # so that the running maximum starts afresh with each group
     reach = np.maximum.accumulate(end + offset) - offset
     new[1:] |= start[1:] > reach[:-1]
     first = np.nonzero(new)[0]
-    return doc[first], start[first], np.maximum.reduceat(end, first)
+    return doc[first], start[first], np.maximum.reduceat(end, first), of[first], shift[first]
 
 
 def _encoded(rows: pa.RecordBatch, text: int) -> list[bytes]:
@@ -144,7 +155,9 @@ def _packed(a: Column, n: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32) + n.cast("long")
 
 
-_ENTRY = "h long, seg long, doc long, a int, n int"
+#: An entry (n windows from a), or with h null n words from a that repeat those of document f from fa on.
+_ENTRY = "h long, s1 long, s2 long, doc long, a int, n int, f long, fa int"
+_REPEAT = "doc long, a int, n int, f long, fa int"
 
 
 class _Common:
@@ -153,77 +166,107 @@ class _Common:
     MOST = 200_000
 
     def __init__(self) -> None:
-        self.h = self.seg = np.zeros(0, np.uint64)
+        self.h = self.s1 = self.s2 = np.zeros(0, np.uint64)
         self.doc = self.a = np.zeros(0, np.int64)
 
-    def met(self, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of distinct stretches repeat an earlier occurrence, and which are it once more; earlier ones become the first."""
+    def met(self, h: np.ndarray, s1: np.ndarray, s2: np.ndarray, doc: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which of distinct stretches repeat an earlier occurrence, which are it once more, and that occurrence; earlier ones become the first."""
         if not len(self.h):
-            return np.zeros(len(h), bool), np.zeros(len(h), bool)
+            return np.zeros(len(h), bool), np.zeros(len(h), bool), doc, a
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        known = (self.h[at] == h) & (self.seg[at] == seg)
+        known = (self.h[at] == h) & (self.s1[at] == s1) & (self.s2[at] == s2)
         same = known & (doc == self.doc[at]) & (a == self.a[at])
         after = known & ((doc > self.doc[at]) | ((doc == self.doc[at]) & (a > self.a[at])))
         before = known & ~after & ~same
+        of, place = self.doc[at], self.a[at]
         self.doc[at[before]], self.a[at[before]] = doc[before], a[before]
-        return after, same
+        return after, same, of, place
 
-    def add(self, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, a: np.ndarray) -> None:
+    def add(self, h: np.ndarray, *rest: np.ndarray) -> None:
         new = ~np.isin(h, self.h)  # of a gram's stretches, the one that was common first
         if not new.any():
             return
         if len(self.h) + new.sum() > self.MOST:
             self.__init__()
         h, first = np.unique(np.concatenate((self.h, h[new])), return_index=True)
-        self.h, (self.seg, self.doc, self.a) = h, (np.concatenate((x, y[new]))[first] for x, y in ((self.seg, seg), (self.doc, doc), (self.a, a)))
+        self.h, (self.s1, self.s2, self.doc, self.a) = h, (np.concatenate((x, y[new]))[first] for x, y in zip((self.s1, self.s2, self.doc, self.a), rest, strict=True))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries, and (h null) stretches of n words from a that repeat an earlier one met by the same task."""
-    common = _Common()
+    """Entries, and repeats of what the same task met earlier."""
+    common, names = _Common(), [x.split()[0] for x in _ENTRY.split(", ")]
     for batch in batches:
         for rows in portions(batch, 1):
-            h, seg, text, a, n = entries(Words(_encoded(rows, 1)))
-            doc = rows.column(0).to_numpy(zero_copy_only=False)[text].astype(np.int64)
-            order = np.lexsort((a, doc, seg, h))
-            h, seg, doc, a, n = h[order], seg[order], doc[order], a[order].astype(np.int64), n[order]
+            h, s1, s2, text, a, n = entries(Words(_encoded(rows, 1)))
             if not len(h):
                 continue
-            new = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(seg) != 0)))
+            doc = rows.column(0).to_numpy(zero_copy_only=False)[text].astype(np.int64)
+            order = np.lexsort((a, doc, s2, s1, h))
+            h, s1, s2, doc, a, n = (x[order] for x in (h, s1, s2, doc, a.astype(np.int64), n))
+            new = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(s1) != 0) | (np.diff(s2) != 0)))
             starts = np.nonzero(new)[0]
             first = starts[np.cumsum(new) - 1]
-            late = (doc != doc[first]) | (a != a[first])
+            of, place = doc[first], a[first]
+            late = (doc != of) | (a != place)
             again = np.diff(np.concatenate((starts, [len(h)]))) > 1
-            late[starts], same = common.met(h[starts], seg[starts], doc[starts], a[starts])
+            late[starts], same, of[starts], place[starts] = common.met(*(x[starts] for x in (h, s1, s2, doc, a)))
             stays = new & ~late
             stays[starts[same]] = False
-            common.add(*(x[starts[again]] for x in (h, seg, doc, a)))
-            gone, start, end = _merged(doc[late], a[late], (a + n + WINDOW - 1)[late])
-            empty = pa.nulls(len(gone), pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.array(h[stays].view(np.int64)), empty]), pa.concat_arrays([pa.array(seg[stays].view(np.int64)), empty]), pa.array(np.concatenate((doc[stays], gone))),
-                pa.array(np.concatenate((a[stays], start)).astype(np.int32)), pa.array(np.concatenate((n[stays], end - start)).astype(np.int32)),
-            ], names=["h", "seg", "doc", "a", "n"])
+            common.add(*(x[starts[again]] for x in (h, s1, s2, doc, a)))
+            gone, start, end, of, shift = _merged(doc[late], a[late], (a + n + WINDOW - 1)[late], of[late], (place - a)[late])
+            none = lambda k, kind: pa.nulls(k, kind)
+            longs, ints = (lambda x: pa.array(x.view(np.int64))), (lambda x: pa.array(x.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([longs(h[stays]), longs(s1[stays]), longs(s2[stays]), pa.array(doc[stays]), ints(a[stays]), ints(n[stays]), none(stays.sum(), pa.int64()), none(stays.sum(), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([*[none(len(gone), pa.int64())] * 3, pa.array(gone), ints(start), ints(end - start), pa.array(of), ints(start + shift)], names=names)
+
+
+def _unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, a, n and the rest of each element of a list of packed (a, n), or of structs that begin with it."""
+    flat = lists.flatten()
+    packed = (flat.field(0) if pa.types.is_struct(flat.type) else flat).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), packed >> 32, packed & 0xFFFFFFFF, flat
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both hashes of every window of the listed stretches (columns: doc, text, list of packed (a, n))."""
+    """Both hashes of every window of the listed stretches (columns: doc, text, list of packed (a, n), whether hot)."""
     for batch in batches:
         for rows in portions(batch, 1):
             words = Words(_encoded(rows, 1))
-            lists = rows.column(2)
-            text = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
-            flat = lists.flatten()
-            packed = flat.to_numpy(zero_copy_only=False)
-            a, n = packed >> 32, packed & 0xFFFFFFFF
+            text, a, n, _ = _unpacked(rows.column(2))
             each = np.concatenate(([0], np.cumsum(n)))
             text, place = np.repeat(text, n), np.repeat(a - each[:-1], n) + np.arange(each[-1])
             start = words.first[text] + place
             inside = start + WINDOW <= words.first[text + 1]
-            text, place, start = text[inside], place[inside], start[inside]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(words.hashes(start, start + WINDOW, i).view(np.int64)) for i in range(2)
-            ] + [rows.column(0).take(pa.array(text)), pa.array(place.astype(np.int32))], names=["w1", "w2", "doc", "a"])
+            text, place, start = pa.array(text[inside]), place[inside], start[inside]
+            halves = [pa.array(words.hashes(WINDOW, i)[start].view(np.int64)) if len(start) else pa.nulls(0, pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*halves, rows.column(0).take(text), pa.array(place.astype(np.int32)), rows.column(3).take(text)], names=["w1", "w2", "doc", "a", "hot"])
+
+
+def _sha(words: list[bytes], a: int, n: int) -> bytes:
+    return hashlib.sha256(b" ".join(words[a : a + n])).digest()
+
+
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole intervals that are to go, with the digest of their words (columns: doc, text, list of (packed (a, n), f, fa))."""
+    for batch in batches:
+        for rows in portions(batch, 1):
+            text, a, n, flat = _unpacked(rows.column(2))
+            of, place = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            text, a, end, of, shift = _merged(text, a, a + n, of, place - a)
+            split = [t.split() for t in _encoded(rows, 1)]
+            found = [_sha(split[t], x, y - x) for t, x, y in zip(text.tolist(), a.tolist(), end.tolist(), strict=True)]
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), ints(a), ints(end - a), pa.array(of), ints(a + shift), pa.array(found, pa.binary())], names=["doc", "a", "n", "f", "fa", "sha"])
+
+
+def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the words of the listed intervals (columns: doc, text, list of packed (a, n))."""
+    for batch in batches:
+        for rows in portions(batch, 1):
+            text, a, n, _ = _unpacked(rows.column(2))
+            split = [t.split() for t in _encoded(rows, 1)]
+            found = [_sha(split[t], x, k) for t, x, k in zip(text.tolist(), a.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(found, pa.binary())], names=["f", "fa", "n", "own"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,86 +290,174 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["_id", "n_words", "n_removed", "kept_text"])
 
 
-class SubstringIndex:
-    """Runs of earlier batches, and what each batch repeats. ``docs``: every document ingested so far or to come."""
+class Runs:
+    """Sorted immutable runs: tables bucketed and sorted by a key, of rows told apart by ``same``, each at its first (doc, a). They are merged in levels."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_out: int = FAN_OUT) -> None:
-        self.spark: SparkSession = docs.sparkSession
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        self.buckets, self.fan_out, self.runs = min(100_000, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), fan_out, []
+    def __init__(self, spark: SparkSession, same: list[str], fan_out: int) -> None:
+        self.spark, self.same, self.fan_out = spark, same, max(2, fan_out)
+        self.buckets, self.sizes, self.merges = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions"))), {}, 0
 
-    def _run(self, rows: DataFrame) -> str:
-        """Writes entries as a run: bucketed and sorted by the gram's hash."""
-        name = f"millrace_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", new_path(self.spark, "run")).option("compression", "zstd").saveAsTable(name)
-        return name
+    def add(self, rows: DataFrame, dealt: bool = False) -> DataFrame | None:
+        """Writes a run (dealt: its rows lie in their buckets already); the run, or None if there is no row."""
+        name, key = f"millrace_run_{uuid.uuid4().hex}", self.same[0]
+        rows = rows if dealt else rows.repartition(self.buckets, key)
+        rows.write.bucketBy(self.buckets, key).sortBy(key).option("path", new_path(self.spark, "run")).option("compression", "zstd").saveAsTable(name)
+        self.sizes[name] = self.spark.table(name).count()
+        if self.sizes[name]:
+            return self.spark.table(name)
+        self._drop(name)
+        return None
+
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(r) for r in self.sizes]
+
+    def compact(self) -> None:
+        """Merges runs while ``fan_out`` of them are of one level; each then holds every row once, at its first occurrence."""
+        while True:
+            levels: dict[int, list[str]] = {}
+            for name, rows in self.sizes.items():
+                levels.setdefault(int(math.log(rows, self.fan_out) + 0.5), []).append(name)
+            full = next((names for _, names in sorted(levels.items()) if len(names) >= self.fan_out), None)
+            if full is None:
+                return
+            rows = self.spark.table(full[0])
+            for name in full[1:]:
+                rows = rows.union(self.spark.table(name))
+            rest = [c for c in rows.columns if c not in (*self.same, "doc", "a")]
+            first = rows.groupBy(*self.same).agg(F.min(F.struct("doc", "a")).alias("f"), *[F.first(c).alias(c) for c in rest])
+            self.add(first.select(*self.same, "f.doc", "f.a", *rest), dealt=True)
+            self.merges += 1
+            for name in full:
+                self._drop(name)
 
     def _drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark.table(name).inputFiles()[0].rpartition("/")[0]) if self.spark.table(name).inputFiles() else None
+        files = self.spark.table(name).inputFiles()
         self.spark.sql(f"DROP TABLE {name}")
-        if path is not None:
+        if files:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.sizes.pop(name, None)
+
+    def close(self) -> None:
+        for name in list(self.sizes):
+            self._drop(name)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+class SubstringIndex:
+    """Runs of earlier batches, and what each batch repeats. ``docs``: every document ingested so far or to come.
+
+    ``hot_least``: entries of one gram in a batch from which it may be hot.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_out: int = FAN_OUT, hot_least: int = HOT_LEAST) -> None:
+        self.spark: SparkSession = docs.sparkSession
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        self.stretches, self.windows = Runs(self.spark, ["h", "s1", "s2"], fan_out), Runs(self.spark, ["w1", "w2"], fan_out)
+        self.hot_least, self.hot = hot_least, None
+
+    def _hot(self, raw: DataFrame) -> DataFrame | None:
+        """Grams of the batch that are hot but were not yet; None if there is none. A bucket holds HOT_SHARE of the least of them at most, so there are few."""
+        entries_ = raw.where("h IS NOT NULL")
+        all_ = entries_.count()
+        least = max(self.hot_least, all_ // (HOT_SHARE * self.stretches.buckets))
+        if self.hot_least >= SAMPLED:
+            entries_, least = entries_.where(F.pmod("s1", F.lit(SAMPLED)) == 0), least // SAMPLED
+        found = entries_.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
+        if self.hot is not None:
+            found = found.join(self.hot, "h", "left_anti")
+        found = written(found, "run-hot")
+        return None if found.isEmpty() else found
 
     def ingest(self, batch) -> DataFrame:
-        """Adds the documents that fulfil the condition ``batch``, whose ids are above all before; what they repeat: (doc, a, n), words a to before a + n."""
-        texts = self.docs.where(F.col("doc").isNotNull() & batch)
-        found = self._run(texts.mapInArrow(_scan, _ENTRY))
-        new = self.spark.table(found).where("h IS NOT NULL")
-        own = self.spark.table(found).where("h IS NULL").select("doc", "a", "n")
-        counts = new.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-        old = [written(self.spark.table(r).where("h IS NOT NULL").join(counts.select("h"), "h", "left_semi"), "run-meets") for r in self.runs]
-        shared = counts.where("c > 1").select("h")
-        for x in old:
-            shared = shared.union(x.select("h"))
-        shared = written(shared.distinct(), "run-shared")
-        met = written(new.join(shared, "h", "left_semi"), "run-repeats")
-        every = met
-        for x in old:
-            every = every.union(x.select(*met.columns))
-        firsts = written(every.groupBy("h", "seg").agg(F.min(F.struct("doc", "a")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), "run-firsts")
-        known = firsts.where("c > 1").select("h", "seg", "f")
-        late = met.join(known, ["h", "seg"]).where(F.struct("doc", "a") > F.col("f")).select("doc", "a", (F.col("n") + WINDOW - 1).alias("n"))
-        unlike = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-        listed = firsts.join(unlike, "h", "left_semi").groupBy("f.doc").agg(F.collect_list(_packed(F.col("f.a"), F.col("n"))).alias("at"))
-        listed = written(listed, "run-unlike")
-        windows = written(joined(self.docs, listed, "doc", "inner", 64, 8 * F.size("at")).mapInArrow(_windows, "w1 long, w2 long, doc long, a int"), "run-windows")
-        earliest = written(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "a")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "run-earliest")
-        again = windows.join(earliest, ["w1", "w2"]).where((F.struct("doc", "a") > F.col("f")) & batch).select("doc", "a", F.lit(WINDOW).alias("n"))
-        repeats = written(own.union(late).union(again), "run-removed")
-        self.runs.append(found)
-        if len(self.runs) > self.fan_out:
-            self.compact()
+        """Adds the documents that fulfil the condition ``batch``, whose ids are above all before; what they repeat: n words from a in doc, as from fa in f."""
+        raw = written(self.docs.where(F.col("doc").isNotNull() & batch).mapInArrow(_scan, _ENTRY), "run-raw")
+        own = raw.where("h IS NULL").select("doc", "a", "n", "f", "fa")
+        entries_ = raw.where("h IS NOT NULL").select("h", "s1", "s2", "doc", "a", "n")
+        newly, at, hot_listed = self._hot(raw), F.struct("doc", "a"), None
+        if newly is not None:
+            old = [joined(r, newly, "h", "left_semi", 8).select("doc", "a", "n") for r in self.stretches.tables()]
+            self.hot = newly if self.hot is None else written(self.hot.union(newly), "run-hot")
+        if self.hot is not None:
+            hot = joined(entries_, self.hot, "h", "left_semi", 8).select("doc", "a", "n")
+            hot_listed = _union([hot, *old]) if newly is not None else hot
+            entries_ = joined(entries_, self.hot, "h", "left_anti", 8)
+        earlier = self.stretches.tables()
+        new = self.stretches.add(entries_)
+        repeats, listed = [own], []
+        if new is not None:
+            grams = new.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+            met = _union([new.withColumn("new", F.lit(True))] + [r.join(grams, "h", "left_semi").withColumn("new", F.lit(False)) for r in earlier])
+            stretch, gram = Window.partitionBy("h", "s1", "s2"), Window.partitionBy("h")
+            met = met.select("*", F.min(at).over(stretch).alias("first")).select("*", (F.min(F.struct("s1", "s2")).over(gram) != F.max(F.struct("s1", "s2")).over(gram)).alias("unlike"))
+            met = written(met.where((at > F.col("first")) | F.col("unlike")).select("doc", "a", "n", "first", "new", "unlike"), "run-met")
+            repeats.append(met.where(F.col("new") & (at > F.col("first"))).select("doc", "a", (F.col("n") + WINDOW - 1).alias("n"), F.col("first.doc").alias("f"), F.col("first.a").alias("fa")))
+            listed.append(met.where(F.col("unlike") & (at == F.col("first"))).select("doc", "a", "n", F.lit(False).alias("hot")))
+        if hot_listed is not None:
+            listed.append(hot_listed.withColumn("hot", F.lit(True)))
+        if listed:
+            repeats.append(self._by_window(_union(listed), batch))
+        repeats = written(_union(repeats), "run-repeats")
+        delete(self.spark, raw)
+        self.stretches.compact()
+        self.windows.compact()
         return repeats
 
-    def compact(self) -> None:
-        """Merges all runs into one, in which every stretch stands once, at its first occurrence."""
-        rows = self.spark.table(self.runs[0])
-        for r in self.runs[1:]:
-            rows = rows.union(self.spark.table(r))
-        first = rows.where("h IS NOT NULL").groupBy("h", "seg").agg(F.min(F.struct("doc", "a")).alias("f"), F.first("n").alias("n"))
-        merged = self._run(first.select("h", "seg", "f.doc", "f.a", "n"))
-        for r in self.runs:
-            self._drop(r)
-        self.runs = [merged]
+    def _by_window(self, listed: DataFrame, batch) -> DataFrame:
+        """Of the listed stretches (doc, a, n, hot), the windows that repeat an earlier one; those that are hot are met with their runs and added to them."""
+        lists = written(listed.groupBy("doc", "hot").agg(F.collect_list(_packed(F.col("a"), F.col("n"))).alias("at")), "run-unlike")
+        low, high, any_hot = lists.agg(F.min("doc"), F.max("doc"), F.max("hot")).first()
+        if low is None:
+            return self.spark.createDataFrame([], _REPEAT)
+        texts = joined(self.docs.where(F.col("doc").between(low, high)), lists, "doc", "inner", 64, 8 * F.size("at")).select("doc", "text", "at", "hot")
+        found = written(texts.mapInArrow(_windows, "w1 long, w2 long, doc long, a int, hot boolean"), "run-windows")
+        firsts = found.groupBy("w1", "w2").agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("c"), F.max("hot").alias("hot"))
+        earliest = firsts.where("c > 1").select("w1", "w2", "first")
+        if any_hot:
+            earlier = self.windows.tables()
+            new = self.windows.add(firsts.where("hot").select("w1", "w2", "first.doc", "first.a"))
+            if new is not None and earlier:
+                keys = new.groupBy("w1").agg(F.count(F.lit(1)).alias("c"))
+                earliest = _union([earliest] + [r.join(keys, "w1", "left_semi").select("w1", "w2", F.struct("doc", "a").alias("first")) for r in earlier])
+                earliest = earliest.groupBy("w1", "w2").agg(F.min("first").alias("first"))
+        earliest = written(earliest, "run-earliest")
+        late = found.join(earliest, ["w1", "w2"]).where((F.struct("doc", "a") > F.col("first")) & batch)
+        return late.select("doc", "a", F.lit(WINDOW).alias("n"), F.col("first.doc").alias("f"), F.col("first.a").alias("fa"))
+
+    def verified(self, repeats: DataFrame) -> DataFrame:
+        """Of proposed repeats, joined to whole intervals, those (doc, a, n) whose words equal those of the earlier place, by SHA-256 of both."""
+        lists = repeats.groupBy("doc").agg(F.collect_list(F.struct(_packed(F.col("a"), F.col("n")).alias("p"), "f", "fa")).alias("at"))
+        lists = written(lists, "claims-lists")
+        claims = written(joined(self.docs, lists, "doc", "inner", 64, 24 * F.size("at")).mapInArrow(_claims, f"{_REPEAT}, sha binary"), "claims")
+        asked = claims.select(F.col("f").alias("doc"), _packed(F.col("fa"), F.col("n")).alias("p")).distinct().groupBy("doc").agg(F.collect_list("p").alias("at"))
+        asked = written(asked, "claims-asked")
+        proofs = joined(self.docs, asked, "doc", "inner", 64, 8 * F.size("at")).mapInArrow(_proofs, "f long, fa int, n int, own binary")
+        proofs = written(proofs.distinct(), "claims-proofs")
+        return joined(claims, proofs, ["f", "fa", "n"], "inner", 96).where("sha = own").select("doc", "a", "n")
 
     def close(self) -> None:
-        for r in self.runs:
-            self._drop(r)
-        self.runs = []
+        self.stretches.close()
+        self.windows.close()
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fan_out: int = FAN_OUT) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fan_out: int = FAN_OUT, hot_least: int = HOT_LEAST) -> DataFrame:
     """A row per input row: ``id_col``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by a space)."""
-    index = SubstringIndex(docs, id_col, text_col, fan_out)
+    index = SubstringIndex(docs, id_col, text_col, fan_out, hot_least)
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    doc, gone = F.col("doc"), None
+    doc, gone = F.col("doc"), []
     try:
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
             batch = (F.lit(True) if low is None else doc > low) & (F.lit(True) if high is None else doc <= high)
-            own = index.ingest(batch)
-            gone = own if gone is None else gone.union(own)
+            gone.append(index.ingest(batch))
     finally:
         index.close()
-    lists = written(gone.groupBy("doc").agg(F.collect_list(_packed(F.col("a"), F.col("n"))).alias("at")), "removed-lists")
+    lists = index.verified(_union(gone)).groupBy("doc").agg(F.collect_list(_packed(F.col("a"), F.col("n"))).alias("at"))
+    lists = written(lists, "removed-lists")
     return joined(index.docs, lists, "doc", "left", 64, 8 * F.size("at")).mapInArrow(_without, "_id long, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)

@@ -236,8 +236,8 @@ def small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize(("batches", "fan_out"), [(1, 4), (2, 4), (5, 1)])
-def test_substring_equals_brute_force(spark, odd, small_batches, batches, fan_out):
+@pytest.mark.parametrize(("batches", "fan_out", "hot_least"), [(1, 4, 512), (3, 2, 512), (5, 2, 4), (2, 4, 2)])
+def test_substring_equals_brute_force(spark, odd, small_batches, batches, fan_out, hot_least):
     rng = random.Random(2)
     word = lambda: rng.choice(["the", "of", "a", f"x{rng.randint(0, 400)}"])
     passages = [[word() for _ in range(rng.choice([19, 20, 21, 25, 60]))] for _ in range(10)]
@@ -250,11 +250,40 @@ def test_substring_equals_brute_force(spark, odd, small_batches, batches, fan_ou
         rows.append((1000 + i * 7 % 201, " ".join(text)))
     want = plain_removal(rows)
     df = docs_of(spark, [*rows, (None, "word " * 3000), (None, None)]).repartition(5)
-    got = substring.drop_repeats(df, batches=batches, fan_out=fan_out).collect()
+    got = substring.drop_repeats(df, batches=batches, fan_out=fan_out, hot_least=hot_least).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got if r.doc_id is not None} == want
     assert sorted((r.n_words, r.n_removed) for r in got if r.doc_id is None) == [(0, 0), (3000, 0)]
 
 
+def test_substring_compares_words(spark):
+    """Words whose polynomial hashes modulo 2^64 are equal whatever the base (Thue and Morse) are different words."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other, rest = one.translate(str.maketrans("ab", "ba")), " ".join(f"w{i}" for i in range(19))
+    got = substring.drop_repeats(docs_of(spark, [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}")])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_keeps_what_only_hashes_alike(spark):
+    """Proposals whose words differ are refused by the digests of the words."""
+    text = " ".join(f"w{i}" for i in range(30))
+    index = substring.SubstringIndex(docs_of(spark, [(1, text), (2, text), (3, text.replace("w7", "x"))]))
+    claims = spark.createDataFrame([(2, 0, 20, 1, 0), (2, 5, 25, 1, 5), (3, 0, 20, 1, 0), (3, 8, 22, 2, 8)], "doc long, a int, n int, f long, fa int")
+    assert sorted(map(tuple, index.verified(claims).collect())) == [(2, 0, 30), (3, 8, 22)]
+
+
+def test_substring_runs_are_merged_in_levels(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(str(rng.randint(0, 9999)) for _ in range(60))) for i in range(80)]
+    index = substring.SubstringIndex(docs_of(spark, rows), fan_out=2)
+    for k in range(5):
+        index.ingest(F.col("doc").between(16 * k, 16 * k + 15))
+    assert index.stretches.merges >= 3 and len(index.stretches.sizes) <= 3
+    index.close()
+    assert not index.stretches.sizes
+
+
 def test_substring_repeated_rows_and_empty(spark, small_batches):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text), (1, text), (2, text), (1, text), (1, text), (2, text), (3, text), (1, text)]
