@@ -51,11 +51,21 @@ fill AS (
   SELECT step + 1, (SELECT (sum(source_size) - coalesce(sum(cap) FILTER (cap <= weight * level), 0))::DOUBLE / nullif(sum(weight) FILTER (cap > weight * level), 0) FROM w)
   FROM fill WHERE step < 200 AND level IS NOT NULL),
 t AS (SELECT source, source_size, least(cap, coalesce(weight * (SELECT max(level) FROM fill), cap)) AS target FROM w),
-r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    row_number() OVER (PARTITION BY d.source, d.size > 0 ORDER BY size, coalesce(doc_id, 0) % 64, doc_id) AS k
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, (CASE WHEN size > 0 THEN least(3, floor(rate * k + 0.5) - floor(rate * (k - 1) + 0.5)) ELSE 0 END)::BIGINT AS copies FROM r),
-offers AS (SELECT source, length(bin(size)) AS bits, size >> greatest(length(bin(size)) - 3, 0) AS lead, any_value(target) AS target, sum(copies * size) AS taken,
+sizes AS (SELECT source, size::DOUBLE AS s, count(*)::DOUBLE AS n FROM d WHERE size > 0 GROUP BY ALL),
+halved AS (
+  SELECT 0 AS step, t.source, target, least(0, ln(target / source_size) / min(s)) AS low, ln(3.0::DOUBLE) / min(s) AS high
+  FROM t JOIN sizes ON t.source IS NOT DISTINCT FROM sizes.source WHERE target < source_size * 3.0::DOUBLE * (1 - 1e-12) GROUP BY t.source, target, source_size
+  UNION ALL
+  SELECT step + 1, source, target, CASE WHEN words < target THEN mid ELSE low END, CASE WHEN words < target THEN high ELSE mid END
+  FROM (SELECT h.step, h.source, h.target, h.low, h.high, (h.low + h.high) / 2 AS mid, sum(n * s * CASE WHEN (h.low + h.high) / 2 * s < ln(3.0::DOUBLE) THEN exp((h.low + h.high) / 2 * s) ELSE 3 END) AS words
+    FROM halved h JOIN sizes ON h.source IS NOT DISTINCT FROM sizes.source WHERE h.step < 80 GROUP BY ALL)),
+tilt AS (SELECT source, (low + high) / 2 AS tilt FROM halved WHERE step = 80),
+r AS (SELECT d.*, source_size, target,
+    CASE WHEN size = 0 THEN 0 WHEN tilt IS NULL OR tilt * size >= ln(3.0::DOUBLE) THEN 3000000 ELSE floor(exp(tilt * size) * 1000000 + 0.5) END::BIGINT AS rate,
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN tilt ON d.source IS NOT DISTINCT FROM tilt.source),
+run AS (SELECT *, (sum(rate) OVER (PARTITION BY source ORDER BY size, (doc_id % 1000000007 + 1000000007) % 1000000007 * 48271 % 2147483647 % 64 NULLS LAST, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM r),
+c AS (SELECT *, (upto + 500000) // 1000000 - (upto - rate + 500000) // 1000000 AS copies FROM run),
+offers AS (SELECT source, length(bin(size)) AS bits, size >> greatest(length(bin(size)) - 3, 0) AS lead, (doc_id % 4 + 4) % 4 AS part, any_value(target) AS target, sum(copies * size) AS taken,
     max({size: size, id: doc_id}) FILTER (size > 0 AND copies < 3) AS more, max({size: size, id: doc_id}) FILTER (size > 0 AND copies > 0) AS less
   FROM c GROUP BY ALL),
 each AS (SELECT source, any_value(target) - sum(taken) AS missing, list(more ORDER BY more.size DESC, more.id DESC) FILTER (more IS NOT NULL) AS mores,

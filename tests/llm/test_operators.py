@@ -206,6 +206,40 @@ def test_mixing_meets_targets(spark, odd):
     assert mixing.mix(empty(spark)).count() == 0 and all(r.taken == 0 for r in mixing.mix(docs_of(spark, [(1, None), (2, " ")])).collect())
 
 
+def plain_rates(sizes, target, cap):
+    """Rates that balance entropy, by halving the multiplier's bracket."""
+    low, high = -50.0, 50.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        rates = np.minimum(cap, np.exp(np.minimum(mid * sizes, 50)))
+        low, high = (mid, high) if (rates * sizes).sum() < target else (low, mid)
+    return rates
+
+
+def test_mixing_rates_balance_entropy(spark):
+    rng = np.random.default_rng(6)
+    sizes = {"a": rng.integers(1, 40, 300), "b": rng.lognormal(4, 1, 200).astype(int) + 1, None: np.array([3, 3, 9000]), "full": np.array([2, 2, 5]), "empty": np.array([0])}
+    goals = {"a": 0.4, "b": 1.9, None: 0.7, "full": 3.0, "empty": 0.0}
+    cells = spark.createDataFrame([(k, int(x), int((v == x).sum())) for k, v in sizes.items() for x in np.unique(v)], "source string, size long, _n long")
+    sources = spark.createDataFrame([(k, int(v.sum()), goals[k] * float(v.sum())) for k, v in sizes.items()], "source string, source_size long, target double")
+    found = mixing.tilts(cells, sources, 3)
+    assert found.count() == 5
+    got = cells.join(found, cells["source"].eqNullSafe(found["source"])).select(cells["source"], "size", (mixing.rate_units(F.col("size"), F.col("tilt"), 3) / mixing.UNIT).alias("rate")).collect()
+    for k, v in sizes.items():
+        rates = {r.size: r.rate for r in got if r.source == k}
+        want = plain_rates(v.astype(float), goals[k] * v.sum(), 3) if k not in ("full", "empty") else np.full(len(v), 3.0 if k == "full" else 0.0)
+        assert [rates[x] for x in v] == pytest.approx(want.tolist(), abs=2e-6)
+    assert len({r.rate for r in got if r.source == "a"}) > 20  # they differ within a source
+
+
+def test_mixing_long_and_repeated_rows(spark):
+    rows = [(1, "w " * 200_000, "a"), (2, "x y z", "a"), (2, "x y z", "a"), (None, "x y z", "a"), (None, "x y z", "b"), (64, "q", "b"), (128, "q", "b")]
+    got = mixing.mix(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in got) == [(0, 3), (0, 3), (1, 200_000), (2, 3), (2, 3), (64, 1), (128, 1)]
+    assert {r.taken // r.size for r in got if r.doc_id in (64, 128) or (r.doc_id is None and r.source_size == 5)} == {3}  # the target of b is three times its size
+    assert sum(r.taken for r in got if r.source_size == 200_009) == pytest.approx(200_014 - 15, abs=200_000)
+
+
 def test_word_count(spark, odd):
     got = docs_of(spark, odd).select("text", mixing.word_count(F.col("text")).alias("n")).collect()
     assert all(r.n == len(re.findall(r"[^\x20\x09-\x0d]+", r.text or "")) for r in got)
