@@ -1,9 +1,8 @@
 """Exact deduplication by progressive refinement.
 
-Rows are grouped by the length of their normalised text, then by a hash of its first characters,
-then by the full hash. The first two steps share one aggregation by (length, prefix hash), since a
-row alone at its length is alone there too; the full content is read again only for rows whose
-group has at least two.
+One pass over the texts notes of every row the length of its normalised text and a hash of its first characters. Rows are
+grouped by length; those whose length others share are grouped by length and prefix hash; and only of
+rows that still are not alone the full content is read, found by their places in the files, and grouped by the full hash.
 
 Defined cases: a null text counts as empty. Rows without an id take part, but a row with an id is
 kept before them; a group with no id at all has the null ``keep_id`` and all its rows are kept.
@@ -31,29 +30,38 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and the columns ``more``.
 
     ``text_sha256`` is null for rows that dropped out before the last step, unless ``digest_all`` asks
-    for the digest of every text. Texts never pass through a shuffle when the keys of the
-    surviving groups fit a broadcast; beyond that size they are dealt by (length, prefix hash).
+    for the digest of every text; the first pass then takes it too, and none reads texts again. Texts never pass
+    through a shuffle when the places of the surviving rows fit a broadcast.
     """
-    norm = normalised(F.col("_text"))
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *more)
-    keys = (F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("_pre"))
-    narrow = source.select(*keys)
-    by_length = narrow.groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_n"))
-    by_prefix = written(by_length.where("_n > 1").select("_len", "_pre", F.lit(True).alias("_again")), "exact-prefix")
-    survivors = joined(source.select("_id", "_text", *more, *keys), by_prefix, ["_len", "_pre"], "left", 32)
-    again = F.coalesce(F.col("_again"), F.lit(False))
-    digest = F.sha2(norm, 256)
-    hashed = written(survivors.select("_id", *more, again.alias("_again"), (digest if digest_all else F.when(again, digest)).alias("_sha")), "exact-hash")
-    groups = hashed.where("_again").groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    docs = keyed(docs)
+    source = docs.select(*ROW, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_more_{i}") for i, c in enumerate(more)])
+    kept = ["_id", *[f"_more_{i}" for i in range(len(more))]]
+    norm = source.select(*ROW, *kept, normalised(F.col("_text")).alias("_norm"))
+    digest = F.sha2(F.col("_norm"), 256)
+    rows = written(norm.select(*ROW, *kept, F.length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, prefix_chars)).alias("_pre"), *([digest.alias("_sha")] if digest_all else [])), "exact-rows")
+    lengths = written(rows.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len"), "exact-lengths")
+    prefixes = joined(rows.select("_len", "_pre"), lengths, "_len", "left_semi", 16).groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    prefixes = written(prefixes.select("_len", "_pre", F.lit(True).alias("_again")), "exact-prefixes")
+    tagged = joined(rows, prefixes, ["_len", "_pre"], "left", 32)
+    if digest_all:
+        tagged = written(tagged.select(*kept, "_sha", "_again"), "exact-tagged")
+        alone, again = tagged.where("_again IS NULL").drop("_again"), tagged.where("_again").drop("_again")
+    else:
+        tagged = written(tagged.select(*ROW, *kept, "_again"), "exact-tagged")
+        alone = tagged.where("_again IS NULL").select(*kept, F.lit(None).cast("string").alias("_sha"))
+        places = written(tagged.where("_again").select(*ROW), "exact-places")
+        again = written(joined(norm, places, ROW, "inner", 32).select(*kept, digest.alias("_sha")), "exact-hash")
+    groups = again.groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     groups = written(groups.where("_size > 1"), "exact-groups")
-    found = hashed.join(groups, "_sha", "left")
+    none = alone.select("*", F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("_keep"), F.lit(None).cast("long").alias("_size"))
+    found = again.join(groups, "_sha", "left").select(*none.columns).union(none)
     return found.select(
         F.col("_id").alias(id_col),
         F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("_id")).alias("keep_id"),
         F.coalesce(F.col("_size"), F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("_size").isNotNull(), F.col("_id").eqNullSafe(F.col("_keep"))).otherwise(F.lit(True)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
-        *more,
+        *[F.col(f"_more_{i}").alias(c) for i, c in enumerate(more)],
     )
 
 

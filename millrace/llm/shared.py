@@ -68,7 +68,9 @@ ROW = ["_row_file", "_row_at"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ROW, the same each time it is read. What isn't read from Parquet files as it stands is written first."""
+    """``docs`` with the columns ROW, the same each time it is read; one that has them stays as it is. What isn't read from Parquet files as it stands is written first."""
+    if set(ROW) <= set(docs.columns):
+        return docs
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
         docs = written(docs, "keyed")

@@ -2,16 +2,17 @@
 
 A fingerprint is a ring of SEGMENTS segments. If two fingerprints differ in at most t bits, then from
 some segment on every chain of l consecutive segments has at most l * t / SEGMENTS differences (whole
-numbers: rounded down). With t = 2 and 5 segments the chains of one and two segments must be equal, those
-of three and four may differ in one bit. So the fingerprints are joined on each pair of neighbouring
-segments (25 or 26 bits), the longer chains prune the candidates, and the full Hamming distance is
-taken for the rest.
+numbers: rounded down). With t = 2 and 15 segments the first seven segments of such a chain must be equal (29 or 30
+bits, the key of a bucket), the first fourteen may differ in one bit, and the whole ring in two.
 
-Buckets of more than BUCKET distinct fingerprints are not paired. Their members are linked by an exact
-linear way instead: each is sent to itself and to its 64 neighbours at distance 1, and two meet at
-one place if and only if their distance is at most 2. Two fingerprints within distance 2 share a bucket
-in which they pass the chains; either it is small and they are compared, or it is large and both go
-the second way. So no link is lost, a place holds 65 fingerprints at most, and no bucket is paired in full.
+A bucket of more than BUCKET distinct fingerprints is split by the next budget: the one difference among the
+following seven segments lies in one half of them or the other, so the other half must be equal and joins the key. Buckets
+are halved like this as long as they are crowded; at the end all but one bit of fourteen segments is in the key, and only 64
+fingerprints can share it. So every link is found, by the same principle at every size, and no bucket is paired that can hold more.
+
+``drop_near_duplicates`` (general; the pipeline's stage) joins texts whose five-word shingles have a Jaccard similarity of 0.8 or
+more. Such texts differ in some ten of 64 bits, at which pigeonring keys shrink to six bits; so
+its candidates are the links by fingerprint and, beyond these, those of ``minhash``, and each is confirmed on the whole sets of shingles.
 
 Defined cases: a null or wordless text has the fingerprint zero and is linked like any other. Texts of one
 or two words hash the whole sequence. Rows without an id never lend a component its name: theirs is the
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.encoding import portions, strings
+from millrace.llm.minhash import drop_similar
 from millrace.llm.shared import joined, written
 
-SEGMENTS, DISTANCE, SEED = 5, 2, 42
-#: Distinct fingerprints in a bucket up to which they are compared in pairs.
+SEGMENTS, DISTANCE, SEED = 15, 2, 42
+#: Distinct fingerprints in a bucket up to which it isn't split any more.
 BUCKET = 32
 _LANES = np.uint64(0x0101010101010101)
 
@@ -78,48 +80,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scan, f"`{id_col}` long, _fp long")
 
 
-def _masks(segments: int = SEGMENTS) -> list[int]:
-    cuts = [64 * i // segments for i in range(segments + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(points: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges u, v between the ``node`` of distinct fingerprints ``fp`` that join all within distance 2.
-
-    Within a small bucket every link is an edge; around a place of the second way, the smallest node is
-    linked to the others, which all are within distance 2 of one another.
-    """
-    masks = _masks()
-    pairs = [masks[i] | masks[(i + 1) % SEGMENTS] for i in range(SEGMENTS)]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(pairs)]))
-    keyed = points.select("node", "fp", keys.alias("k")).select("node", "fp", "k.at", "k.key")
-    sizes = written(keyed.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
-    small, large = (joined(keyed, sizes.where(x).select("at", "key"), ["at", "key"], "left_semi", 48) for x in (f"n <= {bucket}", f"n > {bucket}"))
-    small = written(small, "simhash-small")
-    a, b = small.alias("a"), small.alias("b")
-    diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-
-    def chain(start: int):
-        ok = F.lit(True)
-        for n in range(1, SEGMENTS + 1):
-            mask = 0
-            for j in range(n):
-                mask |= masks[(start + j) % SEGMENTS]
-            ok &= F.bit_count(diff.bitwiseAND(F.lit(_signed(mask)))) <= n * DISTANCE // SEGMENTS
-        return ok
-
-    passes = F.coalesce(*[F.when(F.col("a.at") == i, chain(i)) for i in range(SEGMENTS)])
-    near = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & passes & (F.bit_count(diff) <= DISTANCE))
-    near = near.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    crowd = large.select("node", "fp").distinct()
-    places = crowd.select("node", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("place"))
-    met = places.groupBy("place").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
-    star = met.select(F.array_min("nodes").alias("u"), F.explode("nodes").alias("v")).where("u <> v")
-    return near.union(star)
+def _starts(segments: int, distance: int) -> list[tuple[int, int, int]]:
+    """For each start on the ring: its bit, the bits that must be equal from there, and those that may differ once."""
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    wide = lambda start, n: sum(cuts[(start + j) % segments + 1] - cuts[(start + j) % segments] for j in range(n))
+    chain = lambda budget: max(n for n in range(segments + 1) if n * distance // segments <= budget)
+    return [(cuts[i], wide(i, chain(0)), wide(i, chain(1))) for i in range(segments)]
+
+
+def links(points: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """Edges u, v between the ``node`` of distinct fingerprints ``fp``: all pairs within ``distance``."""
+    keys = []
+    for at, (bit, equal, once) in enumerate(_starts(segments, distance)):
+        turned = F.col("fp") if bit == 0 else F.shiftrightunsigned("fp", bit).bitwiseOR(F.shiftleft("fp", 64 - bit))
+        key = turned.bitwiseAND(F.lit(_signed((1 << equal) - 1)))
+        keys.append(F.struct(F.lit(at).alias("at"), F.lit(equal).alias("lo"), F.lit(once).alias("hi"), turned.alias("turned"), key.alias("key")))
+    rows, own, found = points.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.*"), ["at", "lo", "hi", "key"], []
+    bits = lambda a, b: F.expr(f"shiftleft(shiftleft(1L, {b} - {a}) - 1, {a})")
+    while True:
+        sizes = written(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
+        whole = (F.col("n") <= bucket) | (F.col("hi") - F.col("lo") <= 1)
+        met = written(joined(rows, sizes.select(*own, whole.alias("whole")), own, "inner", 64), "simhash-met")
+        a, b = met.where("whole").alias("a"), met.where("whole").alias("b")
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in own]
+        diff = F.col("a.turned").bitwiseXOR(F.col("b.turned"))
+        near = (F.bit_count(diff.bitwiseAND(F.expr("shiftleft(shiftleft(1L, a.hi - a.lo) - 1, a.lo)"))) <= 1) & (F.bit_count(diff) <= distance)
+        pairs = a.join(b, same[0] & same[1] & same[2] & same[3] & (F.col("a.node") < F.col("b.node")) & near)
+        found.append(written(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "simhash-pairs"))
+        crowded = met.where("not whole").withColumn("mid", F.expr("(lo + hi) div 2").cast("int"))
+        if crowded.isEmpty():
+            break
+        left = F.struct(F.col("lo"), F.col("mid").alias("hi"), F.col("key").bitwiseOR(F.col("turned").bitwiseAND(bits("mid", "hi"))).alias("key"))
+        right = F.struct(F.col("mid").alias("lo"), F.col("hi"), F.col("key").bitwiseOR(F.col("turned").bitwiseAND(bits("lo", "mid"))).alias("key"))
+        rows = crowded.select("node", "at", "turned", F.explode(F.array(left, right)).alias("k")).select("node", "at", "k.lo", "k.hi", "turned", "k.key")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.union(more)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
@@ -131,7 +132,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "_fp", "left").select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps of each component the document that names it (the smallest id), and all rows without an id."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return joined(docs, written(gone, "simhash-gone"), id_col, "left_anti", 16)
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, **options) -> DataFrame:
+    """Keeps of each component of texts with a Jaccard similarity of ``least`` the row with the smallest id (one without an id only if there is no other)."""
+    return drop_similar(docs, links, majority_bits, id_col, text_col, shingle, least, **options)

@@ -4,7 +4,7 @@ The reader inflates a stream piece by piece, starts afresh at each member's end,
 block by its Content-Length and checks the block's and the payload's SHA-1.
 
 Of records with equal payloads of ``revisit_bytes`` at least, the one with the largest id is a response and the others
-are revisits that name it; a revisit's block holds the HTTP header alone, whose Content-Length is the full payload's.
+are revisits that name it (payloads are equal by length and SHA-256; SHA-1 is what records state); a revisit's block holds the HTTP header alone, whose Content-Length is the full payload's.
 
 Defined cases: a null page counts as empty. Rows without an id are always responses (their record id is derived from
 address and payload) and are read back without one. Rows that repeat the largest id of a group are all
@@ -137,10 +137,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, revisit_bytes: int =
 
     html = F.coalesce(F.col("_html"), F.lit(""))
     source = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col)).toDF("_id", "_url", "_html")
-    keyed = F.when((F.octet_length(html) >= revisit_bytes) & F.col("_id").isNotNull(), F.sha1(html.cast("binary"))).alias("_sha")
-    groups = source.select("_id", keyed).where("_sha IS NOT NULL").groupBy("_sha").agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    groups = written(groups.where("_n > 1").select("_sha", "_last"), "warc-groups")
-    rows = joined(source.select("_id", "_url", html.alias("_html"), keyed), groups, "_sha", "left", 96)
+    wide = (F.octet_length(html) >= revisit_bytes) & F.col("_id").isNotNull()
+    same = [F.when(wide, F.octet_length(html)).alias("_bytes"), F.when(wide, F.sha2(html.cast("binary"), 256)).alias("_sha")]
+    groups = source.select("_id", *same).where("_sha IS NOT NULL").groupBy("_bytes", "_sha").agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    groups = written(groups.where("_n > 1").select("_bytes", "_sha", "_last"), "warc-groups")
+    rows = joined(source.select("_id", "_url", html.alias("_html"), *same), groups, ["_bytes", "_sha"], "left", 128)
     rows = rows.select("_id", "_url", "_html", F.when(F.col("_last") != F.col("_id"), F.col("_last")).alias("_refers"))
     return written(rows.mapInArrow(write, "path string, n_records long"), "warc-files")
 

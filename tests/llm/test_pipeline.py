@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm.simhash import near_duplicates
+from tests.llm.test_near_dedup import kept
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
@@ -27,7 +27,7 @@ def test_stages(spark):
         first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", r.text or ""), r.doc_id)
     assert {r.doc_id for r in once.collect()} == set(first.values())
     near = stage["near_dedup"](spark, once, SF).cache()
-    assert {r.doc_id for r in near.collect()} == {r.component_id for r in near_duplicates(once).collect()}
+    assert {r.doc_id for r in near.collect()} == kept([(r.doc_id, r.text) for r in once.collect()], 1)
     mixed = stage["mixing"](spark, near, SF).cache()
     assert set(mixed.columns) == set(columns) and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()}
     packed = stage["packing"](spark, mixed, SF).collect()
