@@ -393,12 +393,15 @@ class SubstringIndex:
         repeats, listed = [own], []
         if new is not None:
             grams = new.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-            met = _union([new.withColumn("new", F.lit(True))] + [r.join(grams, "h", "left_semi").withColumn("new", F.lit(False)) for r in earlier])
-            stretch, gram = Window.partitionBy("h", "s1", "s2"), Window.partitionBy("h")
-            met = met.select("*", F.min(at).over(stretch).alias("first")).select("*", (F.min(F.struct("s1", "s2")).over(gram) != F.max(F.struct("s1", "s2")).over(gram)).alias("unlike"))
-            met = written(met.where((at > F.col("first")) | F.col("unlike")).select("doc", "a", "n", "first", "new", "unlike"), "run-met")
-            repeats.append(met.where(F.col("new") & (at > F.col("first"))).select("doc", "a", (F.col("n") + WINDOW - 1).alias("n"), F.col("first.doc").alias("f"), F.col("first.a").alias("fa")))
-            listed.append(met.where(F.col("unlike") & (at == F.col("first"))).select("doc", "a", "n", F.lit(False).alias("hot")))
+            met = _union([new, *[r.join(grams, "h", "left_semi") for r in earlier]])  # bucketed by h throughout: neither this nor the grouping shuffles
+            firsts, gram = met.groupBy("h", "s1", "s2").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), Window.partitionBy("h")
+            unlike = F.min(F.struct("s1", "s2")).over(gram) != F.max(F.struct("s1", "s2")).over(gram)
+            firsts = written(firsts.select("*", unlike.alias("unlike")).where("c > 1 OR unlike"), "run-firsts")
+            known = firsts.where("c > 1").select("h", F.col("s1").alias("k1"), F.col("s2").alias("k2"), "first")
+            # equal halves as one condition that is no join key, since only a join by h alone leaves the run where it is
+            again = new.join(known, "h").where((F.col("s1").bitwiseXOR(F.col("k1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("k2"))) == 0) & (at > F.col("first")))
+            repeats.append(again.select("doc", "a", (F.col("n") + WINDOW - 1).alias("n"), F.col("first.doc").alias("f"), F.col("first.a").alias("fa")))
+            listed.append(firsts.where("unlike").select("first.doc", "first.a", "n", F.lit(False).alias("hot")))
         if hot_listed is not None:
             listed.append(hot_listed.withColumn("hot", F.lit(True)))
         if listed:
