@@ -47,5 +47,7 @@ def _matrix(f, kind: str):
 determinant = _matrix(lambda m: float(np.linalg.det(m)), "double")
 inverse = _matrix(lambda m: np.linalg.inv(m).tolist(), "array<array<double>>")
 rank = _matrix(lambda m: int(np.linalg.matrix_rank(m)), "int")
-eigenvalues = _matrix(lambda m: sorted(np.linalg.eigvals(m).real.tolist()), "array<double>")
+#: Null if one isn't real; ``complex_eigenvalues`` gives pairs of real and imaginary part.
+eigenvalues = _matrix(lambda m: sorted(x.real.tolist()) if not np.iscomplexobj(x := np.linalg.eigvals(m)) or not x.imag.any() else None, "array<double>")
+complex_eigenvalues = _matrix(lambda m: sorted([float(x.real), float(x.imag)] for x in np.linalg.eigvals(m).astype(complex)), "array<array<double>>")
 trace = _matrix(lambda m: float(np.trace(m)), "double")

@@ -25,14 +25,14 @@ def _each(f: Callable, kind: str | T.DataType = "string"):
 
 
 def boxed(text: str) -> str | None:
-    """The content of the first \\boxed{…}, braces balanced, escaped braces not counted; null if it isn't closed."""
+    """The content of the first \\boxed{…}, braces balanced, a character behind a backslash not counted; null if it isn't closed."""
     start = text.find(r"\boxed{")
     if start < 0:
         return None
     depth, out, i = 1, [], start + 7
     while i < len(text):
         c = text[i]
-        if c == "\\" and i + 1 < len(text) and text[i + 1] in "{}":
+        if c == "\\":
             out.append(text[i : i + 2])
             i += 2
             continue
@@ -82,6 +82,54 @@ def same_call(pair: str, other: str) -> bool:
     return a is not None and a == b
 
 
+def calls_in(text: str) -> list[ast.Call]:
+    """All calls of a Python text, outer ones first; none if it doesn't parse."""
+    try:
+        return [n for n in ast.walk(ast.parse(text.strip())) if isinstance(n, ast.Call)]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+
+
+def api_match(response: str, known: list[str]) -> int | None:
+    """Place of the first known API call that a response makes: same function, and every literal argument of the known call stands in it."""
+    answer = response.partition("api_call")[2] or response
+    answer = answer.partition("api_provider")[0].strip().lstrip("\"'>: ")
+    answer = answer[: answer.rfind(")") + 1]
+    made = [(ast.unparse(c.func), {ast.unparse(a) for a in c.args} | {ast.unparse(k.value) for k in c.keywords}) for c in calls_in(answer)]
+    for i, call in enumerate(known):
+        for want in calls_in(call)[:1]:
+            needed = {ast.unparse(a) for a in (*want.args, *[k.value for k in want.keywords]) if isinstance(a, ast.Constant)}
+            if any(name == ast.unparse(want.func) and needed <= given for name, given in made):
+                return i
+    return None
+
+
+def api_match_of(known: list[str]):
+    return _each(lambda r: api_match(r, known), "int")
+
+
+def first_error(question: str, solution: str, verify: Callable[[str, str], bool]) -> int:
+    """How many sentences of a solution stand before its first wrong one, found by halving; -1 if the whole verifies."""
+    parts = [s.strip() for s in re.split("[.\u3002]", solution) if s.strip()]
+    if verify(question, solution):
+        return -1
+    good, bad = -1, len(parts)  # a prefix of ``good`` sentences verifies, one of ``bad`` doesn't
+    while bad - good > 1:
+        mid = (good + bad) // 2
+        if verify(question, ". ".join(parts[:mid]) + "."):
+            good = mid
+        else:
+            bad = mid
+    return bad
+
+
+def first_error_of(verify: Callable[[str, str], bool]):
+    def run(questions: pd.Series, solutions: pd.Series) -> pd.Series:
+        return pd.Series([None if q is None or s is None else first_error(q, s, verify) for q, s in zip(questions, solutions, strict=True)], dtype="Int64")
+
+    return F.pandas_udf(run, "long")
+
+
 def blocks(message: str) -> list[dict]:
     """Texts and fenced code blocks in order: (kind, language, content)."""
     out, at = [], 0
@@ -163,6 +211,12 @@ def file_name(url: str, default: str = "index", most: int = 255) -> str:
     return re.sub(r"_+", "_", own).strip("_.")[:most] or default
 
 
+def masked(text: str, password: str) -> str:
+    """A text combined by XOR with a key stream from a password's SHA-256, in base 64."""
+    key = hashlib.sha256(password.encode()).digest()
+    return base64.b64encode(bytes(c ^ key[i % len(key)] for i, c in enumerate(text.encode()))).decode()
+
+
 def unmasked(cipher: str, password: str) -> str | None:
     """A text that was combined by XOR with a key stream from a password's SHA-256."""
     try:
@@ -194,6 +248,10 @@ def title_chunks_of(most: int = 500):
     return _each(lambda t: title_chunks([p.strip() for p in re.split(r"\n\s*\n|\n", t) if p.strip()], most), "array<string>")
 
 
+def masked_by(password: str):
+    return _each(lambda t: masked(t, password))
+
+
 def unmasked_by(password: str):
     return _each(lambda c: unmasked(c, password))
 

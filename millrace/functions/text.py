@@ -70,6 +70,7 @@ def text_before(text: Column, pattern: str, index: int = 0) -> Column:
     return trimmed(F.get(F.split(text, pattern, index + 2), F.lit(index)))
 
 
+#: What each kind of extraction finds.
 EXTRACTORS: dict[str, Callable[..., Column]] = {
     "extract_datetimetz": lambda t: F.regexp_extract(t, r"[A-Za-z]{3},\s\d{1,2}\s[A-Za-z]{3}\s\d{4}\s\d{2}:\d{2}:\d{2}\s[+-]\d{4}", 0),
     "extract_email_address": _all(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
@@ -192,9 +193,11 @@ def answer_correct(answer: Column, truth: Column) -> Column:
     return F.coalesce(F.when(number(truth).isNotNull(), number_of(answer) == number(truth)).when(truth.rlike("[,;]"), as_list).otherwise(plain(answer) == plain(truth)), F.lit(False))
 
 
-def question_for(question: Column, domain: str, instruction: str = "") -> Column:
-    """A benchmark question with its domain's instruction."""
-    return F.concat(question, F.lit(f"\nWrite a python program in 1 to 2 lines to call API in {domain}.\n{instruction}"))
+def question_for(question: Column, domain: str, requests: dict[str, str], instruction: str = "") -> Column:
+    """A benchmark question, the request for its domain (the caller's texts; an unknown domain raises) and an instruction."""
+    if domain not in requests:
+        raise ValueError(f"unknown domain {domain!r}; known: {sorted(requests)}")
+    return F.concat_ws("\n", question, F.lit(requests[domain]), F.lit(instruction))
 
 
 def alpaca_text(instruction: Column, given: Column, output: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores that are ranked apart.
+RANGES = 256
 STATISTICS = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
 
 
@@ -56,11 +58,12 @@ def auroc(results: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by ranks, ties sharing theirs; 0.5 if no score is a number, null if there is one class only.
 
     Scores are counted first, so what is ranked is a row for each distinct score, and running sums over ranges of scores are
-    kept apart from those within a range.
+    kept apart from those within a range. Ranges are cut at approximate quantiles, so there are RANGES of them at most, whatever the scores.
     """
     ok = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     counts = results.where(ok).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.when(F.col(truth).cast("int") == 1, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n"))
-    ranged = counts.withColumn("r", F.floor(F.col("s") * 1024).cast("long"))
+    cuts = results.where(ok).agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0]
+    ranged = counts.withColumn("r", F.size(F.filter(F.lit(sorted(set(cuts or [0.0]))), lambda c: c < F.col("s"))))
     totals = ranged.groupBy("r").agg(F.sum("n").alias("rn"))
     below = totals.withColumn("before", F.coalesce(F.sum("rn").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("r", "before")
     within = F.coalesce(F.sum("n").over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import keyword_hits
+from millrace.operators.dedup import _cut
 
 #: BM25 as publicly defined: saturation, length weight, and the share of the mean idf that stands for a negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -25,7 +26,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``score`` of every document with a term of the query (repeated terms count as often as they stand).
 
-    One scan: texts are only searched for the query's few terms; lengths and document frequencies of these are sums. The mean idf, which
+    One scan, written off: texts are only searched for the query's few terms; lengths and document frequencies of these are sums. The mean idf, which
     replaces negative ones, needs the document frequency of every term and is computed only if a query term is in over half of the documents.
     """
     wanted: dict[str, int] = {}
@@ -37,10 +38,11 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
     apart = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
     count = lambda t: ((F.length(F.col("apart")) - F.length(F.replace(F.col("apart"), F.lit(f" {t} "), F.lit("")))) / (len(t) + 2)).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("double").alias("dl"), F.explode(F.array(apart)).alias("apart"))
-    rows = rows.select("id", "dl", F.explode(F.array(F.array(*[count(t) for t in names]))).alias("tf"))
+    rows = _cut(rows.select("id", "dl", F.explode(F.array(F.array(*[count(t) for t in names]))).alias("tf")))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(names))])
     idf = [F.log(F.col("n") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5) for i in range(len(names))]
     counts = stats.first()
+    stats = docs.sparkSession.createDataFrame([counts], stats.schema)
     if any(2 * counts[f"df{i}"] > counts["n"] for i in range(len(names))):
         per_term = postings(docs, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         floor = per_term.agg((F.avg(F.log(F.lit(counts["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)) * EPSILON).alias("floor"))

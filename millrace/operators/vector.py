@@ -6,6 +6,7 @@ smaller id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from millrace.functions.filters import payload_matches
 from millrace.functions.similarity import cosine_or_zero, inner_product, literal, normalised, similarity, squared_distance
 
+#: Queries that one step sends to every task.
+QUERIES = 20_000
 METRICS = {"cosine": cosine_or_zero, "dot": inner_product, "l2": lambda a, b: -F.sqrt(squared_distance(a, b))}
 
 
@@ -32,10 +35,22 @@ def above(found: DataFrame, threshold: float) -> DataFrame:
 
 
 def top_k_by_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_col: str = "query") -> DataFrame:
-    """The k best rows for each of a bounded table of queries (it is sent to every task); ranks are limited before the shuffle."""
-    pairs = vectors.join(F.broadcast(queries), how="cross").withColumn("score", METRICS[metric](F.col(vector_col), F.col(query_col)))
+    """The k best rows for each query; ranks are limited before the shuffle.
+
+    Queries are sent to every task only up to QUERIES of them. A larger table is dealt into that many parts by its ids, which take
+    their turns, so each step still sends a bounded table and keeps k rows a query.
+    """
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
-    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    def best(part: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(part), how="cross").withColumn("score", METRICS[metric](F.col(vector_col), F.col(query_col)))
+        return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    parts = -(-queries.count() // QUERIES)
+    if parts <= 1:
+        return best(queries)
+    found = [best(queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == i)) for i in range(parts)]
+    return functools.reduce(DataFrame.union, found)
 
 
 def top_k_per_group(scored: DataFrame, group: str, k: int, id_col: str = "id") -> DataFrame:

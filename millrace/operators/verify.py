@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import math
+import signal
 import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -45,25 +46,43 @@ def literal_equal(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([literals_close(x, y) for x, y in zip(a, b, strict=True)])
 
 
+class _TimeUp(BaseException):
+    """A check has used up its time; no handler of errors within it takes this for one of its own."""
+
+
+def _time_up(*_) -> None:
+    raise _TimeUp
+
+
 def verified(rows: DataFrame, verify: Callable[[str, str], bool], solution: str, reference: str, extract: Callable[[str], str | None] | None = None, tries: int = 3, timeout: float | None = None) -> DataFrame:
     """Adds ``status`` (success, failure, error, timeout), ``result``, ``duration``, ``error_message``; a row's error doesn't fail the others.
 
-    An error is tried again, up to ``tries``; a check that took longer than ``timeout`` counts as timed out.
+    An error is tried again, up to ``tries``. A row's tries together have ``timeout`` seconds: then a timer interrupts the check, and the row has timed out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if timeout is not None:
+            signal.signal(signal.SIGALRM, _time_up)
         for batch in batches:
             out = []
             for s, r in zip(batch[solution], batch[reference], strict=True):
                 began, status, result, message = time.monotonic(), "error", None, None
                 for _ in range(tries):
                     try:
+                        if timeout is not None:
+                            signal.setitimer(signal.ITIMER_REAL, max(1e-3, timeout - (time.monotonic() - began)))
                         result = extract(s) if extract else s
                         status = "failure" if result is None else "success" if verify(result, r) else "failure"
                         message = None if result is not None else "nothing could be extracted"
                         break
+                    except _TimeUp:
+                        result, message = None, f"not done within {timeout} s"
+                        break
                     except Exception as e:
                         message = str(e)
+                    finally:
+                        if timeout is not None:
+                            signal.setitimer(signal.ITIMER_REAL, 0)
                 took = time.monotonic() - began
                 if timeout is not None and took > timeout:
                     status = "timeout"
@@ -115,6 +134,7 @@ def episodes(actions: DataFrame, step: Callable[[dict, str], tuple[dict, float,
     return actions.groupBy(key).applyInPandas(play, f"{key} {kinds[key]}, {order} {kinds[order]}, reward double, done boolean")
 
 
+#: The lines of the board.
 LINES = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (2, 4, 6)]
 
 

@@ -137,10 +137,10 @@ def _(spark, d):
 
 
 @query("sliced_messages", """
-WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE text IS NOT NULL), s AS (SELECT conv_id, turn, w, unnest(range(0, greatest(ceil(len(w) / 40.0), 1)::BIGINT)) AS slice FROM w)
+WITH w AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations), s AS (SELECT conv_id, turn, w, unnest(range(0, greatest(ceil(len(w) / 40.0), 1)::BIGINT)) AS slice FROM w)
 SELECT conv_id, turn, slice, array_to_string(w[slice * 40 + 1 : slice * 40 + 40], ' ') AS text FROM s""")
 def _(spark, d):
-    rows = chats(spark, d).where("text IS NOT NULL").withColumn("timestamp", F.col("turn").cast("double"))
+    rows = chats(spark, d).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("timestamp", F.col("turn").cast("double"))
     return C.sliced(rows, 40).select("conv_id", "turn", F.col("slice").cast("long").alias("slice"), "text")
 
 

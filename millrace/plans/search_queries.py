@@ -182,13 +182,13 @@ def _rankings(spark, d):
 
 
 @query("rrf_fusion", """
-WITH v AS (SELECT doc_id AS text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id AS text, row_number() OVER (ORDER BY length(coalesce(source, '')) DESC, doc_id) AS rank FROM documents WHERE lang <> 'en'),
+WITH v AS (SELECT doc_id AS text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50), b AS (SELECT doc_id AS text, row_number() OVER (ORDER BY length(coalesce(source, '')) DESC, doc_id) AS rank FROM documents WHERE lang <> 'en' QUALIFY rank <= 50),
 f AS (SELECT coalesce(v.text, b.text) AS text, coalesce(0.8 / (60 + v.rank), 0) + coalesce(0.2 / (60 + b.rank), 0) AS score FROM v FULL JOIN b ON v.text = b.text)
 SELECT text AS id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, text) AS rank FROM f ORDER BY score DESC, text LIMIT 20""")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("text"), "n_chars", F.length(F.coalesce("source", F.lit(""))).alias("l"), "lang")
-    v = docs.select("text", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "text")).alias("rank"))
-    b = docs.where("lang <> 'en'").select("text", F.row_number().over(Window.orderBy(F.col("l").desc(), "text")).alias("rank"))
+    v = retrieval.ranked(docs.withColumn("score", F.col("n_chars")), 50, "text").select("text", "rank")
+    b = retrieval.ranked(docs.where("lang <> 'en'").withColumn("score", F.col("l")), 50, "text").select("text", "rank")
     return retrieval.rank_fusion(v, b, 20).select(F.col("text").alias("id"), F.round("score", 9).alias("score"), "rank")
 
 

@@ -113,14 +113,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(T.extracted(F.col("text"), "extract_ip_address")).alias("ip"))
 
 
-@query("extract_phone", r"SELECT doc_id, regexp_extract(text, '(?:\+?1[ -]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}', 0) AS phone FROM documents WHERE regexp_matches(text, '\+1 ')")
+@query("extract_phone", r"SELECT doc_id, regexp_extract(text, '(?:\+?1[ -]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}', 0) AS phone FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"\+1 ")).select("doc_id", T.extracted(F.col("text"), "extract_us_phone_number").alias("phone"))
+    return table(spark, d, "documents").select("doc_id", T.extracted(F.col("text"), "extract_us_phone_number").alias("phone"))
 
 
-@query("first_integer", r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(\d+)', 1), '') AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '[0-9]') AND length(regexp_extract(text, '(\d+)', 1)) <= 15")
+@query("first_integer", r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(\d+)', 1), '') AS BIGINT) AS n FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.first_int(F.col("text")).alias("n")).where("n < 1000000000000000")
+    return table(spark, d, "documents").select("doc_id", T.first_int(F.col("text")).alias("n"))
 
 
 @query("answer_scoring", r"""
@@ -132,9 +132,9 @@ def _(spark, d):
     return o.select("o_orderkey", T.answer_correct(F.concat(F.lit("$"), key.cast("string")), (key + key % 2).cast("string")).alias("number_ok"), T.answer_correct(pri, F.upper(F.replace(pri, F.lit("-"), F.lit(" ")))).alias("text_ok"))
 
 
-@query("normalized_text", r"SELECT doc_id, sha256(lower(regexp_replace(text, '[\s\x0B\x85\p{Z}]', '', 'g'))) AS digest FROM documents WHERE lang = 'en'")
+@query("normalized_text", r"SELECT doc_id, sha256(lower(regexp_replace(text, '[\s\x0B\x85\p{Z}]', '', 'g'))) AS digest FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.sha2(T.plain(F.col("text"), punctuation=True), 256).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.plain(F.col("text"), punctuation=True), 256).alias("digest"))
 
 
 @query("final_answers", "SELECT doc_id, CASE WHEN contains(x, 'FINAL ANSWER') THEN trim(substr(x, strpos(x, 'FINAL ANSWER') + 14)) ELSE 'FINAL ANSWER not found' END AS answer FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'so FINAL ANSWER: ' || n_chars ELSE 'none' END AS x FROM documents)")

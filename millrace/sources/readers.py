@@ -145,17 +145,24 @@ def element(text: Column, **metadata: Column) -> Column:
 class _Visible(HTMLParser):
     """Visible text, and tables row by row."""
 
-    HIDDEN = {"script", "style", "head", "title", "noscript", "template"}
+    HIDDEN = {"script", "style", "title", "noscript", "template"}
+    #: What may stand in a head; any other tag, or text, ends one whose end tag is left out.
+    IN_HEAD = HIDDEN | {"base", "link", "meta", "head", "html"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.text: list[str] = []
         self.hidden = 0
+        self.head = False
         self.tables: list[list[list[str]]] = []
         self.open: list[list[list[str]]] = []
         self.cell: list[str] | None = None
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "head":
+            self.head = True
+        elif tag not in self.IN_HEAD and self.head:
+            self.head, self.hidden = False, 0
         if tag in self.HIDDEN:
             self.hidden += 1
         elif tag == "table":
@@ -166,7 +173,9 @@ class _Visible(HTMLParser):
             self.cell = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.HIDDEN:
+        if tag == "head":
+            self.head, self.hidden = False, 0
+        elif tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "table" and self.open:
             self.tables.append(self.open.pop())

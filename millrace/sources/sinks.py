@@ -214,9 +214,35 @@ STAGES = {
     "label_studio": lambda e: e.select(F.to_json(F.struct(F.struct(F.col("text"), F.col("element_id").alias("ref_id")).alias("data"))).alias("value")),
     "prodigy": lambda e: e.select(F.to_json(F.struct("text", F.struct(F.col("element_id").alias("id")).alias("meta"))).alias("value")),
     "datasaur": lambda e: e.select(F.to_json(F.struct("text")).alias("value")),
+    "dataframe": lambda e: e.select("element_id", "text", "metadata"),
+    "elements": lambda e: e.select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in ("element_id", "text", "metadata")]),
+    "csv_for_prodigy": lambda e: e.select("text", F.col("element_id").alias("id"), F.json_tuple("metadata", *_metadata_keys(e)).alias(*_metadata_keys(e))) if _metadata_keys(e) else e.select("text", F.col("element_id").alias("id")),
+    "baseplate": lambda e: e.select(_json(data=("{\"text\":%s,\"element_id\":%s}", F.col("text"), F.col("element_id")), metadata=("%s", "metadata")).alias("value")),
+    "label_box": lambda e: e.select(_json(rowData=("%s", F.col("text")), externalId=("%s", F.col("element_id")), attachments=("%s", "metadata")).alias("value")),
+    "weaviate": lambda e: e.select(F.concat(F.substr("metadata", F.lit(1), F.length("metadata") - 1), F.when(F.length("metadata") > 2, F.lit(",")).otherwise(F.lit("")), F.lit('"text":'), _quoted(F.col("text")), F.lit(',"element_id":'), _quoted(F.col("element_id")), F.lit("}")).alias("value")),
 }
 
 
+def _metadata_keys(elements: DataFrame) -> list[str]:
+    """The names that occur in the elements' metadata (a few: they become columns)."""
+    return [r[0] for r in elements.select(F.explode(F.json_object_keys("metadata")).alias("k")).distinct().orderBy("k").collect()]
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("x")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _json(**fields) -> Column:
+    """A JSON object of fields, each a pattern whose places are filled by texts (quoted) or by columns that hold JSON (named)."""
+    parts = []
+    for i, (name, (pattern, *values)) in enumerate(fields.items()):
+        filled = F.format_string(pattern, *[_quoted(v) if isinstance(v, Column) else F.coalesce(F.col(v), F.lit("{}")) for v in values])
+        parts += [F.lit(f'{"," if i else ""}"{name}":'), filled]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
 def staged(elements: DataFrame, kind: str) -> DataFrame:
     if kind not in STAGES:
         raise ValueError(f"unsupported stage {kind!r}; known: {sorted(STAGES)}")
