@@ -283,9 +283,20 @@ def _(spark, d):
     return G.keyword_neighbours(n, e, spark.createDataFrame([("n1",), ("s2",)], "keyword string"), ["id"])
 
 
-@query("shortest_path")
+@query("shortest_path", f"""
+WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), ends AS (SELECT 's1' AS a, (SELECT 'c' || min(c_custkey) FROM customer JOIN supplier ON s_suppkey = 1 AND c_nationkey = s_nationkey) AS b),
+w AS (SELECT 's1' AS id, 0 AS n, 's1' AS path UNION ALL SELECT e.dst, n + 1, path || '>' || e.dst FROM w JOIN e ON e.src = w.id WHERE n < 3)
+SELECT true AS found, min(n)::DOUBLE AS length, min_by(path, n) AS path, NULL::VARCHAR AS message FROM w, ends WHERE w.id = ends.b""")
 def _(spark, d):
-    return G.shortest_path(places(spark, d)[1], "s1", "c1")
+    edges = places(spark, d)[1]
+    home = edges.where("src = 's1'").select("dst")
+    target = edges.where("src LIKE 'c%'").join(home, "dst", "left_semi").agg(F.min(F.expr("cast(substr(src, 2) AS long)"))).first()[0]
+    return G.shortest_path(edges, "s1", f"c{target}").withColumn("path", F.array_join("path", ">"))
+
+
+@query("no_path", "SELECT false AS found, NULL::DOUBLE AS length, NULL::VARCHAR AS path, concat('No path exists between ', chr(39), 's1', chr(39), ' and ', chr(39), 'nowhere', chr(39)) AS message")
+def _(spark, d):
+    return G.shortest_path(places(spark, d)[1], "s1", "nowhere").withColumn("path", F.array_join("path", ">"))
 
 
 @query("walk_sample")

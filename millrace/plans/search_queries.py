@@ -143,7 +143,12 @@ def _(spark, d):
     return dedup.similarity_links(vectors(spark, d), 0.3, "id", "vector").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("dedup_greedy")
+@query("dedup_greedy", f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY id) AS i, id, v, sqrt({_dot('v', 'v')}) AS norm FROM {_V}),
+l AS (SELECT a.i, list(b.i) AS near FROM e a JOIN e b ON b.i < a.i AND {_dot('a.v', 'b.v')} >= 0.3 * a.norm * b.norm GROUP BY a.i),
+n AS (SELECT e.i, coalesce(near, []::BIGINT[]) AS near FROM e LEFT JOIN l USING (i)),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, n.i) END FROM g JOIN n ON n.i = g.i + 1)
+SELECT id FROM e WHERE i IN (SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))""")
 def _(spark, d):
     return dedup.greedy_kept(vectors(spark, d), 0.3, "id", "vector")
 
@@ -164,23 +169,19 @@ _QUERY = "license the passage"
 _TERMS = "string_split(coalesce(text, ''), ' ')"
 
 
-@query("bm25_topk", f"""
+_BM25 = f"""
 WITH t AS (SELECT doc_id AS id, {_TERMS} AS terms FROM documents), n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM t),
 each AS (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM t), p AS (SELECT id, any_value(dl) AS dl, term, count(*) AS tf FROM each GROUP BY id, term),
 i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, n GROUP BY term, n), f AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i),
-s AS (SELECT id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM p JOIN f USING (term), n WHERE term IN ('license', 'the', 'passage') GROUP BY id)
+s AS (SELECT id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM p JOIN f USING (term), n WHERE term IN ('license', 'the', 'passage') GROUP BY id)"""
+
+
+@query("bm25_topk", f"""{_BM25}
 SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY score DESC, id LIMIT 50""")
 def _(spark, d):
     return _shown(retrieval.bm25_top_k(table(spark, d, "documents"), _QUERY, 50))
 
 
-def _rankings(spark, d):
-    docs = table(spark, d, "documents")
-    keyword = retrieval.bm25_scores(docs, _QUERY)
-    hashed = [F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w, b=b: F.length(w) % 8 == b)).cast("double") for b in range(8)]
-    return docs.select(F.col("doc_id").alias("id"), S.cosine_or_zero(F.array(*hashed), S.literal([1, 2, 3, 2, 1, 0, 0, 0])).alias("score")), keyword
-
-
 @query("rrf_fusion", """
 WITH v AS (SELECT doc_id AS text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50), b AS (SELECT doc_id AS text, row_number() OVER (ORDER BY length(coalesce(source, '')) DESC, doc_id) AS rank FROM documents WHERE lang <> 'en' QUALIFY rank <= 50),
 f AS (SELECT coalesce(v.text, b.text) AS text, coalesce(0.8 / (60 + v.rank), 0) + coalesce(0.2 / (60 + b.rank), 0) AS score FROM v FULL JOIN b ON v.text = b.text)
@@ -192,10 +193,16 @@ def _(spark, d):
     return retrieval.rank_fusion(v, b, 20).select(F.col("text").alias("id"), F.round("score", 9).alias("score"), "rank")
 
 
-@query("hybrid_retrieval")
+@query("hybrid_retrieval", f"""{_BM25},
+v AS (SELECT id, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, coalesce({_COS}, 0) AS score FROM {_V})) WHERE rank <= 50 AND score >= 0.1),
+b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 50),
+h AS (SELECT coalesce(v.id, b.id) AS id, coalesce(0.8 / (60 + v.rank), 0) + coalesce(0.2 / (60 + b.rank), 0) AS score FROM v FULL JOIN b ON v.id = b.id)
+SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM h ORDER BY score DESC, id LIMIT 20""")
 def hybrid_retrieval(spark, d):
-    v, b = _rankings(spark, d)
-    return retrieval.hybrid(v, b, 20, threshold=0.1)
+    """Documents by their embedding and by their words, fused."""
+    by_vector = vectors(spark, d).select("id", S.cosine_or_zero(F.col("vector"), S.literal(PROBE)).alias("score"))
+    found = retrieval.hybrid(by_vector, retrieval.bm25_scores(table(spark, d, "documents"), _QUERY), 20, threshold=0.1)
+    return found.select("id", F.round("score", 9).alias("score"), "rank")
 
 
 @query("multi_collection_merge", "SELECT id, origin, score FROM (SELECT doc_id AS id, 'documents' AS origin, n_chars::DOUBLE AS score FROM documents UNION ALL SELECT item_id, 'benchmark', NULL FROM benchmark) ORDER BY score DESC NULLS LAST, id, origin LIMIT 25")
