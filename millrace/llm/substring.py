@@ -246,48 +246,46 @@ def _sha(words: list[bytes], a: int, n: int) -> bytes:
     return hashlib.sha256(b" ".join(words[a : a + n])).digest()
 
 
-def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole intervals that are to go, with the digest of their words (columns: doc, text, list of (packed (a, n), f, fa))."""
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole intervals from proposals (columns: doc, list of (packed (a, n), f, fa))."""
     for batch in batches:
-        for rows in portions(batch, 1):
-            text, a, n, flat = _unpacked(rows.column(2))
-            of, place = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
-            text, a, end, of, shift = _merged(text, a, a + n, of, place - a)
-            split = [t.split() for t in _encoded(rows, 1)]
-            found = [_sha(split[t], x, y - x) for t, x, y in zip(text.tolist(), a.tolist(), end.tolist(), strict=True)]
-            ints = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), ints(a), ints(end - a), pa.array(of), ints(a + shift), pa.array(found, pa.binary())], names=["doc", "a", "n", "f", "fa", "sha"])
+        row, a, n, flat = _unpacked(batch.column(1))
+        of, place = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+        row, a, end, of, shift = _merged(row, a, a + n, of, place - a)
+        ints = lambda x: pa.array(x.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ints(a), ints(end - a), pa.array(of), ints(a + shift)], names=["doc", "a", "n", "f", "fa"])
 
 
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the words of the listed intervals (columns: doc, text, list of packed (a, n))."""
-    for batch in batches:
-        for rows in portions(batch, 1):
-            text, a, n, _ = _unpacked(rows.column(2))
-            split = [t.split() for t in _encoded(rows, 1)]
-            found = [_sha(split[t], x, k) for t, x, k in zip(text.tolist(), a.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(found, pa.binary())], names=["f", "fa", "n", "own"])
+_PASSED = "_id long, n_words long, n_removed long, kept_text string, a int, n int, sha binary"
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words of the listed stretches (columns: doc, text, list of packed (a, n) or null)."""
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text (columns: doc, text, list of (packed (a, n), whether to go) or null) what stays, and (n_words null) digests of the listed intervals."""
+    names, kinds = [x.split()[0] for x in _PASSED.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         for rows in portions(batch, 1):
-            totals, removed, kept = [], [], []
-            for text, gone in zip(_encoded(rows, 1), rows.column(2), strict=True):
+            results, digests = [], []
+            for doc, text, listed in zip(rows.column(0).to_pylist(), _encoded(rows, 1), rows.column(2), strict=True):
                 words = text.split()
-                if gone.is_valid:
-                    packed = gone.values.to_numpy()
-                    start, end = packed >> 32, (packed >> 32) + (packed & 0xFFFFFFFF)
-                    change = np.bincount(np.minimum(start, len(words)), minlength=len(words) + 1) - np.bincount(np.minimum(end, len(words)), minlength=len(words) + 1)
-                    stays = np.cumsum(change[:-1]) == 0
-                    rest = [w for w, k in zip(words, stays.tolist(), strict=True) if k]
-                else:
-                    rest = words
-                totals.append(len(words))
-                removed.append(len(words) - len(rest))
-                kept.append(b" ".join(rest))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["_id", "n_words", "n_removed", "kept_text"])
+                rest = words
+                if listed.is_valid:
+                    packed, goes = (listed.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    a, n = packed >> 32, packed & 0xFFFFFFFF
+                    rest = _rest(words, a[goes], n[goes])
+                    digests += [(doc, None, None, None, x, k, hashlib.sha256(b" ".join(words[x : x + k])).digest()) for x, k in set(zip(a.tolist(), n.tolist(), strict=True))]
+                results.append((doc, len(words), len(words) - len(rest), b" ".join(rest).decode(), None, None, None))
+            for part in (results, digests):
+                if part:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+
+def _rest(words: list[bytes], start: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The words that no interval covers."""
+    if not len(start):
+        return words
+    place = lambda x: np.bincount(np.minimum(x, len(words)), minlength=len(words) + 1)
+    stays = np.cumsum((place(start) - place(start + n))[:-1]) == 0
+    return [w for w, k in zip(words, stays.tolist(), strict=True) if k]
 
 
 class Runs:
@@ -433,16 +431,33 @@ class SubstringIndex:
         late = found.join(earliest, ["w1", "w2"]).where((F.struct("doc", "a") > F.col("first")) & batch)
         return late.select("doc", "a", F.lit(WINDOW).alias("n"), F.col("first.doc").alias("f"), F.col("first.a").alias("fa"))
 
-    def verified(self, repeats: DataFrame) -> DataFrame:
-        """Of proposed repeats, joined to whole intervals, those (doc, a, n) whose words equal those of the earlier place, by SHA-256 of both."""
+    def without(self, repeats: DataFrame) -> DataFrame:
+        """Of every document (``_id``, ``n_words``, ``n_removed``, ``kept_text``) what is left without its proposed repeats, where their words are those of the earlier place.
+
+        One pass takes the words away and digests (SHA-256) both places of every repeat. Documents with a repeat that its digests
+        refute are gone through again without it.
+        """
         lists = repeats.groupBy("doc").agg(F.collect_list(F.struct(_packed(F.col("a"), F.col("n")).alias("p"), "f", "fa")).alias("at"))
-        lists = written(lists, "claims-lists")
-        claims = written(joined(self.docs, lists, "doc", "inner", 64, 24 * F.size("at")).mapInArrow(_claims, f"{_REPEAT}, sha binary"), "claims")
-        asked = claims.select(F.col("f").alias("doc"), _packed(F.col("fa"), F.col("n")).alias("p")).distinct().groupBy("doc").agg(F.collect_list("p").alias("at"))
-        asked = written(asked, "claims-asked")
-        proofs = joined(self.docs, asked, "doc", "inner", 64, 8 * F.size("at")).mapInArrow(_proofs, "f long, fa int, n int, own binary")
-        proofs = written(proofs.distinct(), "claims-proofs")
-        return joined(claims, proofs, ["f", "fa", "n"], "inner", 96).where("sha = own").select("doc", "a", "n")
+        claims = written(lists.mapInArrow(_wholes, _REPEAT), "claims")
+        asked = claims.select(F.col("f").alias("doc"), _packed(F.col("fa"), F.col("n")).alias("p"), F.lit(False).alias("goes")).distinct()
+        both = claims.select("doc", _packed(F.col("a"), F.col("n")).alias("p"), F.lit(True).alias("goes")).union(asked)
+        passed = written(self._pass(self.docs, both), "passed")
+        shown = passed.where("n_words IS NULL").groupBy("_id", "a", "n").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"))
+        shown = written(shown.where("sha = other").select("_id", "a", "n", "sha"), "claims-digests")
+        own = joined(claims, shown.select(F.col("_id").alias("doc"), "a", "n", F.col("sha").alias("own")), ["doc", "a", "n"], "left", 80)
+        proved = joined(own, shown.select(F.col("_id").alias("f"), F.col("a").alias("fa"), "n", "sha"), ["f", "fa", "n"], "left", 80)
+        refuted = written(proved.where(~F.coalesce(F.col("own") == F.col("sha"), F.lit(False))).select("doc", "a", "n", "f", "fa"), "claims-refuted")
+        results = passed.where("n_words IS NOT NULL").drop("a", "n", "sha")
+        if refuted.isEmpty():
+            return results
+        odd = written(refuted.select("doc").distinct(), "claims-odd")
+        left = claims.join(odd, "doc", "left_semi").join(refuted, ["doc", "a", "n", "f", "fa"], "left_anti").select("doc", _packed(F.col("a"), F.col("n")).alias("p"), F.lit(True).alias("goes"))
+        again = self._pass(self.docs.join(odd, "doc", "left_semi"), left).where("n_words IS NOT NULL").drop("a", "n", "sha")
+        return results.join(odd.withColumnRenamed("doc", "_id"), "_id", "left_anti").union(again)
+
+    def _pass(self, docs: DataFrame, listed: DataFrame) -> DataFrame:
+        lists = written(listed.groupBy("doc").agg(F.collect_list(F.struct("p", "goes")).alias("at")), "removed-lists")
+        return joined(docs, lists, "doc", "left", 64, 16 * F.size("at")).select("doc", "text", "at").mapInArrow(_passed, _PASSED)
 
     def close(self) -> None:
         self.stretches.close()
@@ -461,6 +476,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             gone.append(index.ingest(batch))
     finally:
         index.close()
-    lists = index.verified(_union(gone)).groupBy("doc").agg(F.collect_list(_packed(F.col("a"), F.col("n"))).alias("at"))
-    lists = written(lists, "removed-lists")
-    return joined(index.docs, lists, "doc", "left", 64, 8 * F.size("at")).mapInArrow(_without, "_id long, n_words long, n_removed long, kept_text string").withColumnRenamed("_id", id_col)
+    return index.without(_union(gone)).withColumnRenamed("_id", id_col)
