@@ -4,11 +4,11 @@ Higher scores are better everywhere. Payload conditions hold before the top k ar
 smaller id.
 """
 
-from __future__ import annotations
-
 import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +98,6 @@ class InvertedFile:
     """
 
     def __init__(self, vectors: DataFrame, lists: int = 16, sample: int = 10_000, rounds: int = 10, id_col: str = "id", vector_col: str = "vector", seed: int = 0) -> None:
-        import numpy as np
-
         self.id_col, self.vector_col = id_col, vector_col
         rows = vectors.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample).select(normalised(F.col(vector_col)).alias("v")).collect()
         x = np.array([r.v for r in rows])
@@ -119,8 +117,6 @@ class InvertedFile:
         return (-F.array_max(scores)["j"]).cast("int")
 
     def search(self, query: Sequence[float], k: int, probes: int = 4) -> DataFrame:
-        import numpy as np
-
         q = np.asarray(query, float)
         lists = np.argsort(-(self.centres @ (q / max(np.linalg.norm(q), 1e-10))), kind="stable")[:probes]
         return top_k(self.table.where(F.col("list").isin([int(j) for j in lists])), query, k, id_col=self.id_col, vector_col=self.vector_col)
@@ -133,3 +129,67 @@ class InvertedFile:
         pairs = self.table.join(asked, self.table["list"] == asked["_near"]).withColumn("score", cosine_or_zero(F.col(self.vector_col), F.col(query_col)))
         order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), self.id_col)
         return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("_near")
+
+
+class QuantisedFile(InvertedFile):
+    """An inverted file whose rows carry short codes: of each of ``parts`` pieces of a unit vector, the nearest of ``codes`` fitted pieces.
+
+    A search scores the codes in the probed lists, and takes exact scores of the ``refine`` * k best only, so whole vectors are read and
+    moved for these alone. Pieces are fitted on the same bounded sample as the centroids; every vector has a code.
+    """
+
+    def __init__(self, vectors: DataFrame, lists: int = 16, parts: int = 16, codes: int = 64, sample: int = 10_000, rounds: int = 10, id_col: str = "id", vector_col: str = "vector", seed: int = 0) -> None:
+        super().__init__(vectors, lists, sample, rounds, id_col, vector_col, seed)
+        rows = vectors.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample).select(normalised(F.col(vector_col)).alias("v")).collect()
+        x = np.array([r.v for r in rows])
+        self.book = []
+        for piece in np.array_split(x, min(parts, x.shape[1]), axis=1):
+            centres = piece[np.linspace(0, len(piece) - 1, min(codes, 256, len(piece))).astype(int)].copy()
+            for _ in range(rounds):
+                near = _nearest_rows(piece, centres)
+                for j in np.unique(near):
+                    centres[j] = piece[near == j].mean(0)
+            self.book.append(centres)
+        self.table = self.table.withColumn("code", self._coded(normalised(F.col(vector_col))))
+
+    def _coded(self, v: Column) -> Column:
+        book = self.book
+
+        @F.pandas_udf("binary")
+        def of(values: pd.Series) -> pd.Series:
+            x = np.array(values.tolist(), float).reshape(len(values), -1)
+            pieces = np.array_split(x, len(book), axis=1)
+            codes = np.stack([_nearest_rows(p, c) for p, c in zip(pieces, book, strict=True)], axis=1).astype(np.uint8)
+            return pd.Series([c.tobytes() for c in codes])
+
+        return of(v)
+
+    def _approximate(self, code: Column, query: Column) -> Column:
+        book = self.book
+
+        @F.pandas_udf("double")
+        def of(codes: pd.Series, queries: pd.Series) -> pd.Series:
+            c = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), len(book))
+            x = np.concatenate([b[c[:, m]] for m, b in enumerate(book)], axis=1)
+            return pd.Series(np.einsum("ij,ij->i", x, np.array(queries.tolist(), float)))
+
+        return of(code, query)
+
+    def search(self, query: Sequence[float], k: int, probes: int = 4, refine: int = 8) -> DataFrame:
+        one = self.table.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, query array<double>")
+        return self.search_by_query(one, k, probes, refine=refine).drop("query_id", "query")
+
+    def search_by_query(self, queries: DataFrame, k: int, probes: int, query_id: str = "query_id", query_col: str = "query", refine: int = 8) -> DataFrame:
+        own = normalised(F.col(query_col))
+        near = F.array_sort(F.array(*[F.struct((-inner_product(own, literal(c))).alias("s"), F.lit(j).alias("j")) for j, c in enumerate(self.centres)]))
+        asked = queries.select(query_id, own.alias("_unit"), F.explode(F.transform(F.slice(near, 1, probes), lambda x: x["j"])).alias("list"))
+        pairs = self.table.select(self.id_col, "list", "code").join(asked, "list").withColumn("_s", self._approximate(F.col("code"), F.col("_unit")))
+        close = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("_s").desc(), self.id_col))).where(F.col("_n") <= refine * k).select(query_id, self.id_col)
+        exact = close.join(self.table.drop("list", "code"), self.id_col).join(queries, query_id).withColumn("score", cosine_or_zero(F.col(self.vector_col), F.col(query_col)))
+        order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), self.id_col)
+        return exact.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _nearest_rows(x, centres):
+    """For each row the number of the nearest centre."""
+    return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)

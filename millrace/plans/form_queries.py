@@ -22,8 +22,14 @@ def _parts(spark, d):
     return table(spark, d, "part")
 
 
-_KEY = F.col("p_partkey").cast("string")
-_SIZE = F.col("p_size").cast("string")
+def _key():
+    return F.col("p_partkey").cast("string")
+
+
+def _size():
+    return F.col("p_size").cast("string")
+
+
 _lit = F.lit
 
 
@@ -39,7 +45,7 @@ def _(spark, d):
 @query("code_blocks", """
 SELECT p_partkey, unnest(['text', 'code', 'text']) AS kind, unnest([NULL, CASE WHEN p_size % 2 = 0 THEN 'python' END, NULL]) AS language, unnest([p_name, 'print(' || p_size || ')', 'end of ' || p_partkey]) AS content FROM part""")
 def _(spark, d):
-    text = F.concat("p_name", _lit("\n```"), F.when(F.col("p_size") % 2 == 0, "python").otherwise(""), _lit("\nprint("), _SIZE, _lit(")\n```\n end of "), _KEY)
+    text = F.concat("p_name", _lit("\n```"), F.when(F.col("p_size") % 2 == 0, "python").otherwise(""), _lit("\nprint("), _size(), _lit(")\n```\n end of "), _key())
     return _parts(spark, d).select("p_partkey", F.explode(X.blocks_udf(text)).alias("b")).select("p_partkey", "b.*")
 
 
@@ -51,7 +57,7 @@ def _(spark, d):
 
 @query("class_instances", "SELECT p_partkey, unnest([p_name, 'second ' || p_size]) AS input, unnest([p_type, p_brand]) AS output FROM part")
 def _(spark, d):
-    text = F.concat(_lit("Class label: "), "p_type", _lit("\n"), "p_name", _lit("\nClass label: "), "p_brand", _lit(" \nsecond "), _SIZE)
+    text = F.concat(_lit("Class label: "), "p_type", _lit("\n"), "p_name", _lit("\nClass label: "), "p_brand", _lit(" \nsecond "), _size())
     return _parts(spark, d).select("p_partkey", F.explode(X.class_instances_udf(text)).alias("i")).select("p_partkey", "i.*")
 
 
@@ -59,14 +65,14 @@ def _(spark, d):
 SELECT p_partkey, unnest([p_name, p_brand]) AS input, unnest([p_type, p_size::VARCHAR]) AS output FROM part WHERE p_size % 3 > 0
 UNION ALL SELECT p_partkey, '' AS input, 'only ' || p_name AS output FROM part WHERE p_size % 3 = 0""")
 def _(spark, d):
-    both = F.concat(_lit("Example 1\nInput: "), "p_name", _lit("\nOutput: "), "p_type", _lit("\n\nExample 2\nInput: "), "p_brand", _lit("\nOutput: "), _SIZE)
+    both = F.concat(_lit("Example 1\nInput: "), "p_name", _lit("\nOutput: "), "p_type", _lit("\n\nExample 2\nInput: "), "p_brand", _lit("\nOutput: "), _size())
     text = F.when(F.col("p_size") % 3 > 0, both).otherwise(F.concat(_lit(" only "), "p_name"))
     return _parts(spark, d).select("p_partkey", F.explode(X.instances_udf(text)).alias("i")).select("p_partkey", "i.*")
 
 
 @query("personas", "SELECT p_partkey, unnest([p_name, p_brand]) AS name, unnest(['likes ' || p_type, 'has size ' || p_size]) AS description FROM part")
 def _(spark, d):
-    text = F.concat(_lit("1. persona_name: "), "p_name", _lit("\npersona_description: likes "), "p_type", _lit("\n2. persona_name: "), "p_brand", _lit("\npersona_description: has size "), _SIZE)
+    text = F.concat(_lit("1. persona_name: "), "p_name", _lit("\npersona_description: likes "), "p_type", _lit("\n2. persona_name: "), "p_brand", _lit("\npersona_description: has size "), _size())
     return _parts(spark, d).select("p_partkey", F.explode(T.personas(text)).alias("p")).select("p_partkey", "p.*")
 
 
@@ -90,7 +96,7 @@ def _(spark, d):
 
 @query("api_calls", "SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN '[Find(name=''' || p_name || ''', size=' || p_size || ')]' END AS call FROM part")
 def _(spark, d):
-    call = F.concat(_lit("API-Request: [Find(name='"), "p_name", _lit("', size="), _SIZE, _lit(")] then"))
+    call = F.concat(_lit("API-Request: [Find(name='"), "p_name", _lit("', size="), _size(), _lit(")] then"))
     return _parts(spark, d).select("p_partkey", T.api_call(F.when(F.col("p_size") % 4 > 0, call).otherwise(_lit("[none]"))).alias("call"))
 
 
@@ -101,27 +107,27 @@ def _(spark, d):
     which = calls[3]
     for i in range(3):
         which = F.when(F.col("p_size") % 4 == i, calls[i]).otherwise(which)
-    text = F.concat(_lit('{"domain": "x", "api_call": "model = '), which, _SIZE, _lit(')", "api_provider": "y"}'))
+    text = F.concat(_lit('{"domain": "x", "api_call": "model = '), which, _size(), _lit(')", "api_provider": "y"}'))
     return _parts(spark, d).select("p_partkey", X.api_match_of(known)(text).alias("known"))
 
 
 @query("literals", """
 SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '{''a'': ' || p_size || ', ''b'': [1, 2]}' END AS as_dict, CASE WHEN p_size % 2 = 1 THEN '{1, ' || (p_size + 100) || '}' END AS as_set, '(' || p_size || ', ''' || p_type || ''')' AS as_tuple FROM part""")
 def _(spark, d):
-    even = F.when(F.col("p_size") % 2 == 0, F.concat(_lit(" {'b': [1,2], 'a': "), _SIZE, _lit("}"))).otherwise(F.concat(_lit("{"), (F.col("p_size") + 100).cast("string"), _lit(", 1, 1}")))
-    pair = F.concat(_lit("("), _SIZE, _lit(',"'), "p_type", _lit('" )'))
+    even = F.when(F.col("p_size") % 2 == 0, F.concat(_lit(" {'b': [1,2], 'a': "), _size(), _lit("}"))).otherwise(F.concat(_lit("{"), (F.col("p_size") + 100).cast("string"), _lit(", 1, 1}")))
+    pair = F.concat(_lit("("), _size(), _lit(',"'), "p_type", _lit('" )'))
     return _parts(spark, d).select("p_partkey", X.dict_udf(even).alias("as_dict"), X.set_udf(even).alias("as_set"), X.tuple_udf(pair).alias("as_tuple"))
 
 
 @query("boxed_escaped", r"SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '\frac{' || p_size || '}{2}' WHEN 1 THEN p_name || ' \\' END AS answer FROM part")
 def _(spark, d):
-    text = F.when(F.col("p_size") % 3 == 0, F.concat(_lit(r"so \boxed{ \frac{"), _SIZE, _lit("}{2} } ."))).when(F.col("p_size") % 3 == 1, F.concat(_lit(r"\boxed{"), "p_name", _lit(r" \\} and }"))).otherwise(_lit(r"\boxed{open \}"))
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(_lit(r"so \boxed{ \frac{"), _size(), _lit("}{2} } ."))).when(F.col("p_size") % 3 == 1, F.concat(_lit(r"\boxed{"), "p_name", _lit(r" \\} and }"))).otherwise(_lit(r"\boxed{open \}"))
     return _parts(spark, d).select("p_partkey", X.boxed_udf(text).alias("answer"))
 
 
 @query("first_strategy", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size WHEN p_size % 3 = 0 THEN p_partkey END::VARCHAR AS value FROM part")
 def _(spark, d):
-    text = F.when(F.col("p_size") % 2 == 0, F.concat(_lit(r"is \boxed{"), _SIZE, _lit("} or FINAL ANSWER: 7"))).when(F.col("p_size") % 3 == 0, F.concat(_lit("FINAL ANSWER: "), _KEY)).otherwise(_lit("none"))
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(_lit(r"is \boxed{"), _size(), _lit("} or FINAL ANSWER: 7"))).when(F.col("p_size") % 3 == 0, F.concat(_lit("FINAL ANSWER: "), _key())).otherwise(_lit("none"))
     final = lambda t: F.when(t.contains("FINAL ANSWER"), T.final_answer(t))
     return _parts(spark, d).select("p_partkey", T.first_of([[T.boxed_simple, final], [lambda t: F.regexp_extract(t, r"\d+", 0)]], text).alias("value"))
 
@@ -140,7 +146,7 @@ def _(spark, d):
 
 @query("alpaca_round_trip", "SELECT p_partkey, p_name AS instruction, p_type AS input, 'size ' || p_size AS output FROM part")
 def _(spark, d):
-    text = T.alpaca_text(F.col("p_name"), F.col("p_type"), F.concat(_lit("size "), _SIZE))
+    text = T.alpaca_text(F.col("p_name"), F.col("p_type"), F.concat(_lit("size "), _size()))
     return _parts(spark, d).select("p_partkey", T.alpaca_parts(text).alias("a")).select("p_partkey", "a.*")
 
 
@@ -151,7 +157,7 @@ def _(spark, d):
 
 @query("safe_file_names", "SELECT p_partkey, replace(p_name, ' ', '_') || '_cafe_' || p_size || '.html' AS name FROM part")
 def _(spark, d):
-    return _parts(spark, d).select("p_partkey", X.file_name_udf(F.concat(_lit("/"), "p_name", _lit("/café?!"), _SIZE, _lit(".html//"))).alias("name"))
+    return _parts(spark, d).select("p_partkey", X.file_name_udf(F.concat(_lit("/"), "p_name", _lit("/café?!"), _size(), _lit(".html//"))).alias("name"))
 
 
 @query("options_chosen", "SELECT p_partkey, [p_name, p_type, p_brand][(p_size % 5)::INT] AS option FROM part WHERE p_size % 5 > 0 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size % 5 = 0")
@@ -180,7 +186,7 @@ def _(spark, d):
 
 @query("qa_pairs", "SELECT p_partkey, unnest([p_name, 'size of ' || p_partkey]) AS key, unnest([p_type, p_size::VARCHAR]) AS value FROM part")
 def _(spark, d):
-    pairs = F.to_json(F.create_map(F.col("p_name"), F.col("p_type"), F.concat(_lit("size of "), _KEY), _SIZE))
+    pairs = F.to_json(F.create_map(F.col("p_name"), F.col("p_type"), F.concat(_lit("size of "), _key()), _size()))
     return _parts(spark, d).select("p_partkey", F.explode(readers.qa_pairs(pairs)).alias("e")).select("p_partkey", "e.*")
 
 
@@ -202,7 +208,7 @@ SELECT p_partkey, p_size % 4 > 0 AND length(a) >= 10 AND length(b) >= 5 AND a <>
   p_size % 4 > 0 AND length(a) >= 10 AND length(b) >= 5 AND a <> b AND p_size % 4 <> 2 AS long_ok FROM q""")
 def _(spark, d):
     qa = lambda q, a: F.struct(q.alias("question"), a.alias("answer"))
-    first, second = qa(F.col("p_name"), F.col("p_type")), qa(_lit("what is its size"), F.concat(_lit("size "), _SIZE))
+    first, second = qa(F.col("p_name"), F.col("p_type")), qa(_lit("what is its size"), F.concat(_lit("size "), _size()))
     none = F.array().cast("array<struct<question:string,answer:string>>")
     pairs = F.when(F.col("p_size") % 4 == 0, none).when(F.col("p_size") % 4 == 1, F.array(first)).otherwise(F.array(first, second))
     text = F.when(F.col("p_size") % 4 == 2, _lit("too short")).otherwise(F.repeat(_lit("word "), 20))

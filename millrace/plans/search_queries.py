@@ -124,6 +124,14 @@ def _(spark, d):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vec_quantised_file")
+def _(spark, d):
+    v = vectors(spark, d)
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    found = vector.QuantisedFile(v, LISTS).search_by_query(asked, 20, PROBES)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 _PAIRS = f"(SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0) AS s FROM {_V} a JOIN {_V} b ON b.id < a.id)"
 
 
