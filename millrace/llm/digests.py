@@ -11,7 +11,7 @@ Texts are dealt by ranges of ids once; a range's last text, whose next one lies
 afterwards with the first text of the next range.
 
 Defined cases: a null text counts as empty; texts under three bytes have no triplet. Rows without an id come first in
-order, rows that repeat an id are in order of their texts. The last document is followed by the first, a single one
+order, rows of one id, or without one, are in order of a hash of their texts (so many of them are several ranges). The last document is followed by the first, a single one
 by itself. An empty table gives an empty result.
 """
 
@@ -116,7 +116,8 @@ def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for doc_id, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield _batch([_compared(doc_id, text, digest(text.encode()), after, digest(after.encode()))], _ROW)
 
-    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).toDF("_id", "_text").repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).toDF("_id", "_text")
+    rows = rows.withColumn("_h", F.xxhash64("_text")).repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h", "_text").drop("_h")
     found = written(rows.mapInArrow(scan, f"{_ROW}, {_EDGE}"), "digests")
     heads = found.where(F.col("kind") == _HEAD).select(F.col("part").alias("_next"), F.col("text").alias("_after"))
     order = found.where(F.col("kind") == _HEAD).select("part")

@@ -7,7 +7,7 @@ blocks; the blocks. A block packs its ids from the lowest bit up and is padded t
 
 Defined cases: a null text counts as empty and gives the end id alone. Rows without an id come
 first and are read back without one (-2^63 stands for it in the file). Rows that repeat an id are
-documents of their own. An empty table gives no file. Files are written under a name of the
+documents of their own. Rows of one id, or without one, stand in order of a hash of their texts, so many of them are several ranges. An empty table gives no file. Files are written under a name of the
 attempt and then renamed, so a task that runs twice leaves one whole file.
 """
 
@@ -33,6 +33,8 @@ NO_ID = -(2**63)
 BLOCK_IDS = 4096
 #: Bytes of text that are encoded at once.
 AT_ONCE = 8_000_000
+#: Ids from which a file is closed and the range goes on in another; a task holds about so many.
+FILE_IDS = 32_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -118,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     folder = folder or new_path(docs.sparkSession, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (doc_ids, lengths, found) = encoder(tokenizer_path, spaces), ([], [], [])
+        own, (doc_ids, lengths, found), made = encoder(tokenizer_path, spaces), ([], [], []), 0
         bits = bits_for(max(own.vocabulary, end_id + 1))
         kind = np.uint16 if bits <= 16 else np.uint32
         for batch in batches:
@@ -128,13 +130,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 doc_ids += [NO_ID if x is None else x for x in rows.column(0).to_pylist()]
                 lengths += (n + 1).tolist()
                 found.append(whole.astype(kind))
+                if sum(map(len, found)) >= FILE_IDS:
+                    yield file(made, doc_ids, lengths, found, bits)
+                    (doc_ids, lengths, found), made = ([], [], []), made + 1
         if doc_ids:
-            part = TaskContext.get().partitionId()
-            path, ids = f"{folder}/part-{part:07d}.mrt", np.concatenate(found)
-            store(path, serialise(doc_ids, lengths, ids, bits))
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
+            yield file(made, doc_ids, lengths, found, bits)
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).toDF("_id", "_text").repartitionByRange("_id").sortWithinPartitions("_id")
+    def file(number: int, doc_ids: list[int], lengths: list[int], found: list[np.ndarray], bits: int) -> pa.RecordBatch:
+        part, ids = TaskContext.get().partitionId(), np.concatenate(found)
+        path = f"{folder}/part-{part:07d}-{number:05d}.mrt"
+        store(path, serialise(doc_ids, lengths, ids, bits))
+        return pa.RecordBatch.from_pydict({"part": pa.array([(part << 20) + number], pa.int64()), "path": [path], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
+
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).toDF("_id", "_text").withColumn("_h", F.xxhash64("_text")).repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h").drop("_h")
     files = written(rows.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "token-files")
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("first_id", F.coalesce(before, F.lit(0)))
