@@ -39,6 +39,13 @@ def distinct_examples(examples: DataFrame, text: str = "text", pairs: str = "qa_
     return first_of_equal(examples.withColumn("_pairs", F.to_json(pairs)), [text, "_pairs"], order).drop("_pairs")
 
 
+def sliced_rows(rows: DataFrame, start: int, end: int, order: str) -> DataFrame:
+    """Rows ``start`` to before ``end`` in order of a column, from 0; a negative place raises."""
+    if start < 0 or end < start:
+        raise IndexError(f"no rows {start} to {end}")
+    return rows.orderBy(order).offset(start).limit(end - start)
+
+
 def hash_order(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 

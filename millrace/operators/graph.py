@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import graph_identifier, relation_name
-from millrace.operators.dedup import _cut, first_of_equal
+from millrace.operators.dedup import _cut, few, first_of_equal
 
 
 def add_triplets(nodes: DataFrame, edges: DataFrame, triplets: DataFrame, plain_ids: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +112,13 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def keyword_neighbours(nodes: DataFrame, edges: DataFrame, keywords: DataFrame, properties: list[str], k: int = 5) -> DataFrame:
-    """For each of a bounded table of ``keyword``s, edges at nodes one of whose properties contains it; k each, by (src, dst, type)."""
+    """For each of a bounded table of ``keyword``s (its size is checked), edges at nodes one of whose properties contains it; k each, by (src, dst, type)."""
     from pyspark.sql import Window
 
     any_hit = F.lit(False)
     for p in properties:
         any_hit |= F.coalesce(F.col(p).cast("string").contains(F.col("keyword")), F.lit(False))
-    hits = nodes.join(F.broadcast(keywords), how="cross").where(any_hit).select("keyword", "id")
+    hits = nodes.join(few(keywords), how="cross").where(any_hit).select("keyword", "id")
     both = edges.select(F.col("src").alias("id"), "src", "dst", "type").union(edges.select(F.col("dst").alias("id"), "src", "dst", "type"))
     found = hits.join(both, "id").select("keyword", "src", "dst", "type").distinct()
     return found.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("src", "dst", "type"))).where(F.col("n") <= k).drop("n")

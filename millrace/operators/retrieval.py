@@ -133,6 +133,13 @@ def lexical_score(query: str, name: Column, description: Column, stars: Column)
     return 5 * hit(name) + 3 * hit(description) + F.coalesce(stars, F.lit(0)) / 1000.0
 
 
+def golden_answers(questions: DataFrame, golden: DataFrame, key: str = "question", answer: str = "answer") -> DataFrame:
+    """Questions with the golden answer to each (the first by order of text, where one has several); a question without one raises."""
+    known = golden.groupBy(key).agg(F.min(answer).alias("_answer"))
+    missing = F.raise_error(F.concat(F.lit("no golden answer to: "), F.coalesce(F.col(key), F.lit("null")))).cast("string")
+    return questions.join(known, key, "left").withColumn("golden", F.when(F.col("_answer").isNull(), missing).otherwise(F.col("_answer"))).drop("_answer")
+
+
 def reranked(docs: DataFrame, scores: DataFrame, k: int, key: str = "id") -> DataFrame:
     """Documents in order of a model's scores; a document without a score is an error."""
     both = docs.join(scores.select(key, F.col("score").alias("_score")), key, "left")

@@ -82,6 +82,11 @@ def update_payload(vectors: DataFrame, changes: DataFrame, id_col: str = "id", p
     return rows.withColumn(payload_col, F.when(F.col("_change").isNull(), F.col(payload_col)).otherwise(merged)).drop("_change")
 
 
+def cleared(vectors: DataFrame) -> DataFrame:
+    """The store without its rows."""
+    return vectors.where(F.lit(False))
+
+
 def payloads_by_vector(vectors: DataFrame, query: Sequence[float], k: int, **options) -> DataFrame:
     return top_k(vectors, query, k, **options).where(F.col("payload").isNotNull()).select("rank", "payload")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.dedup import _cut
+from millrace.operators.dedup import _cut, few
 
 
 def ready(tasks: DataFrame, done: DataFrame, id_col: str = "task_id", deps: str = "dependencies") -> DataFrame:
@@ -59,8 +59,8 @@ def failure_policy(failures: Column, pending: Column, most_tries: int = 3, most_
 
 
 def shared_memory(records: DataFrame, agents: DataFrame) -> DataFrame:
-    """Each agent's copy of all others' records; agents are a bounded table."""
-    return records.join(F.broadcast(agents.select(F.col("agent_id").alias("receiver"))), F.col("receiver") != F.col("agent_id"))
+    """Each agent's copy of all others' records; agents are a bounded table, whose size is checked."""
+    return records.join(few(agents.select(F.col("agent_id").alias("receiver"))), F.col("receiver") != F.col("agent_id"))
 
 
 def completion_times(log: DataFrame, task: str = "task_id", kind: str = "event_type", time: str = "timestamp") -> DataFrame:

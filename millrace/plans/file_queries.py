@@ -11,6 +11,7 @@ from millrace.plans.catalog import query, table
 from millrace.sources import markup, readers, sheets, sinks
 
 _own: dict[str, str] = {}
+_lit = F.lit
 
 
 def folder(spark) -> str:
@@ -217,3 +218,36 @@ def _(spark, d):
     box = sinks.staged(items, "label_box").select(F.lit("label_box").alias("kind"), F.get_json_object("value", "$.attachments.item_id").cast("long").alias("item_id"), F.get_json_object("value", "$.externalId").alias("value"))
     weave = sinks.staged(items, "weaviate").select(F.lit("weaviate").alias("kind"), F.get_json_object("value", "$.item_id").cast("long").alias("item_id"), F.get_json_object("value", "$.text").alias("value"))
     return frame.union(back).union(prodigy).union(base).union(box).union(weave)
+
+
+@query("saved_json", "SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def _(spark, d):
+    path = f"{folder(spark)}/customers.json"
+    sinks.save_json(table(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal")), path)
+    return spark.read.json(path)
+
+
+@query("memory_store", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def _(spark, d):
+    store, nations = sinks.MemoryStore(), table(spark, d, "nation")
+    store.save(nations.select("n_nationkey", "n_name"))
+    store.clear()
+    store.save(nations.select("n_nationkey", "n_name"))
+    store.save(nations.where("n_regionkey = 1").select("n_nationkey", "n_name"))
+    return store.load()
+
+
+@query("file_documents", "SELECT 'txt' AS kind, string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS page_content FROM nation UNION ALL SELECT 'json', '{\"r_regionkey\": ' || r_regionkey || ', \"r_name\": \"' || r_name || '\"}' FROM region WHERE r_regionkey = 2 UNION ALL SELECT 'html', 'Nations' || chr(10) || string_agg(n_name, chr(10) ORDER BY n_nationkey) FROM nation")
+def _(spark, d):
+    root = folder(spark)
+    names = table(spark, d, "nation").orderBy("n_nationkey").coalesce(1)
+    names.select(F.concat("n_name", _lit("  \n ")).alias("value")).write.text(f"{root}/txt")
+    table(spark, d, "region").where("r_regionkey = 2").coalesce(1).write.json(f"{root}/json")
+    page = names.agg(F.concat(_lit("<html><head><title>no</title><body><h1>Nations</h1>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(_lit("<p>"), x["n_name"])), "")).alias("value"))
+    page.coalesce(1).write.text(f"{root}/page")
+    found = None
+    for kind, path in (("txt", f"{root}/txt/*.txt"), ("json", f"{root}/json/*.json")):
+        own = readers.documents_from_files(spark, path).select(_lit(kind).alias("kind"), "page_content")
+        found = own if found is None else found.union(own)
+    html = spark.read.text(f"{root}/page").select(_lit("html").alias("kind"), readers.html_text(F.col("value")).alias("page_content"))
+    return found.union(html)

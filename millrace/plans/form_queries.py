@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import filters as P
+from millrace.functions import numbers as N
 from millrace.functions import parsing as X
 from millrace.functions import schemas as J
 from millrace.functions import text as T
 from millrace.operators import conversation as C
 from millrace.operators import curation, evaluation
 from millrace.operators import graph as G
-from millrace.operators import retrieval
+from millrace.operators import retrieval, vector
 from millrace.plans import generate
 from millrace.plans.catalog import query, table
 from millrace.sources import readers
@@ -429,3 +430,37 @@ SELECT p_partkey FROM w WHERE NOT (w[1] = 'red' AND w[2] = 'ring')""")
 def _(spark, d):
     rows = _parts(spark, d).select("p_partkey", F.col("p_name").alias("instruction"))
     return evaluation.rouge_filter(rows, ["red ring"], 0.7, "instruction").select("p_partkey")
+
+
+@query("golden_answers", "SELECT p.p_partkey, g.golden FROM part p JOIN (SELECT p_name, min(p_type) AS golden FROM part GROUP BY p_name) g USING (p_name)")
+def _(spark, d):
+    parts = _parts(spark, d)
+    questions, golden = parts.select("p_partkey", F.col("p_name").alias("question")), parts.select(F.col("p_name").alias("question"), F.col("p_type").alias("answer"))
+    return retrieval.golden_answers(questions, golden).select("p_partkey", "golden")
+
+
+@query("rows_sliced", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 50")
+def _(spark, d):
+    return curation.sliced_rows(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 50, 150, "o_orderkey")
+
+
+@query("store_cleared", "SELECT NULL::BIGINT AS vector_dim, 0::BIGINT AS vector_count")
+def _(spark, d):
+    return vector.status(vector.cleared(table(spark, d, "embeddings")), "embedding")
+
+
+@query("matrix_algebra", """
+SELECT l_orderkey, l_linenumber, round(l_quantity * 3 - 2 * l_linenumber, 4) AS determinant, CASE WHEN abs(l_quantity * 3 - 2 * l_linenumber) > 1e-9 THEN 2 ELSE 1 END AS rank, round(l_quantity + 3, 6) AS trace,
+  CASE WHEN abs(l_quantity * 3 - 2 * l_linenumber) > 1e-9 THEN round(3 / (l_quantity * 3 - 2 * l_linenumber), 6) END AS corner FROM lineitem""")
+def _(spark, d):
+    q, n = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    m = F.array(F.array(q, n), F.array(_lit(2.0), _lit(3.0)))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", N.determinant(m).alias("d"), N.rank(m).alias("rank"), N.trace(m).alias("t"), N.inverse(m)[0][0].alias("i"))
+    return rows.select("l_orderkey", "l_linenumber", F.round("d", 4).alias("determinant"), "rank", F.round("t", 6).alias("trace"), F.when(F.col("rank") == 2, F.round("i", 6)).alias("corner"))
+
+
+@query("chunks_custom", """
+SELECT p_partkey, unnest([0, 1]) AS chunk, unnest([array_to_string(w[1:3], ' '), array_to_string(w[4:], ' ')]) AS text FROM (SELECT p_partkey, string_split(p_name || ' of ' || p_type || ' by ' || p_brand, ' ') AS w FROM part)""")
+def _(spark, d):
+    text = F.concat("p_name", _lit(" of "), "p_type", _lit(" by "), "p_brand")
+    return _parts(spark, d).select("p_partkey", F.posexplode(X.token_chunks_of(3, lambda line: len(line.split()))(text)).alias("chunk", "text"))

@@ -53,6 +53,12 @@ for (_store, _metric), _ in S.CONVERSIONS.items():
     )
 
 
+@query("vec_weaviate_hamming", f"SELECT id, round(1 - list_sum([(round(v[i], 1) <> {_Q}[i])::INT FOR i IN range(1, 65)]) / 64.0, 6)::DOUBLE AS score FROM {_V}")
+def _(spark, d):
+    coarse = F.transform("vector", lambda x: F.round(x.cast("double"), 1))
+    return vectors(spark, d).select("id", F.round(S.similarity(coarse, S.literal(PROBE), "weaviate", "hamming"), 6).alias("score"))
+
+
 @query("vec_topk_filtered", _top(f"coalesce({_COS}, 0)", 10, "label = 3"))
 def _(spark, d):
     return _shown(vector.top_k(vectors(spark, d), PROBE, 10, where={"label": 3}))
