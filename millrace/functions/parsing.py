@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import base64
 import hashlib
+import operator
 import re
 import unicodedata
 from collections.abc import Callable
@@ -130,6 +131,89 @@ def first_error_of(verify: Callable[[str, str], bool]):
     return F.pandas_udf(run, "long")
 
 
+#: What an interpreted expression may do.
+_BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
+_COMPARED = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.In: lambda a, b: a in b, ast.NotIn: lambda a, b: a not in b}
+_CALLABLE = {"abs": abs, "min": min, "max": max, "round": round, "len": len, "sum": sum, "sorted": sorted, "str": str, "int": int, "float": float}
+#: Powers beyond this exponent, and texts or lists longer than this, are refused.
+MOST_POWER, MOST_LENGTH = 1000, 1_000_000
+
+
+def interpreted(expression: str, names: dict[str, object]):
+    """The value of a Python expression over numbers, texts, lists and a few functions; whatever else it holds raises ValueError.
+
+    Nothing is compiled or imported: the tree is walked node by node.
+    """
+
+    def short(value):
+        if isinstance(value, str | list | tuple) and len(value) > MOST_LENGTH:
+            raise ValueError("a value is too long")
+        return value
+
+    def of(node: ast.expr):
+        match node:
+            case ast.Constant(value=v) if isinstance(v, int | float | str | bool) or v is None:
+                return v
+            case ast.Name(id=name) if name in names:
+                return names[name]
+            case ast.List(elts=each) | ast.Tuple(elts=each):
+                return [of(e) for e in each]
+            case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
+                x, y = of(a), of(b)
+                if isinstance(op, ast.Pow) and (not isinstance(y, int | float) or abs(y) > MOST_POWER):
+                    raise ValueError("a power is too high")
+                if isinstance(op, ast.Mult) and any(isinstance(p, str | list) and isinstance(q, int) and len(p) * q > MOST_LENGTH for p, q in ((x, y), (y, x))):
+                    raise ValueError("a value would be too long")
+                return short(_BINARY[type(op)](x, y))
+            case ast.UnaryOp(op=ast.USub(), operand=a):
+                return -of(a)
+            case ast.UnaryOp(op=ast.Not(), operand=a):
+                return not of(a)
+            case ast.BoolOp(op=op, values=each):
+                value = None
+                for e in each:
+                    value = of(e)
+                    if bool(value) != isinstance(op, ast.And):
+                        break
+                return value
+            case ast.Compare(left=a, ops=ops, comparators=rest) if all(type(o) in _COMPARED for o in ops):
+                x = of(a)
+                for o, e in zip(ops, rest, strict=True):
+                    y = of(e)
+                    if not _COMPARED[type(o)](x, y):
+                        return False
+                    x = y
+                return True
+            case ast.IfExp(test=t, body=a, orelse=b):
+                return of(a) if of(t) else of(b)
+            case ast.Subscript(value=a, slice=i) if not isinstance(i, ast.Slice):
+                return of(a)[of(i)]
+            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLABLE:
+                return short(_CALLABLE[name](*[of(x) for x in args]))
+        raise ValueError(f"not allowed in an expression: {ast.unparse(node)}")
+
+    try:
+        return of(ast.parse(expression.strip(), mode="eval").body)
+    except (SyntaxError, RecursionError, MemoryError) as e:
+        raise ValueError(f"not an expression: {expression!r}") from e
+
+
+def interpreted_udf(names: list[str], kind: str):
+    """A column function of an expression and the named values; null where the expression fails."""
+
+    def run(expressions: pd.Series, *values: pd.Series) -> pd.Series:
+        out = []
+        for e, *row in zip(expressions, *values, strict=True):
+            try:
+                out.append(None if e is None else interpreted(e, dict(zip(names, row, strict=True))))
+            except (ValueError, TypeError, ArithmeticError, LookupError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"expressions": pd.Series, "values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
 def blocks(message: str) -> list[dict]:
     """Texts and fenced code blocks in order: (kind, language, content)."""
     out, at = [], 0

@@ -464,3 +464,23 @@ SELECT p_partkey, unnest([0, 1]) AS chunk, unnest([array_to_string(w[1:3], ' '),
 def _(spark, d):
     text = F.concat("p_name", _lit(" of "), "p_type", _lit(" by "), "p_brand")
     return _parts(spark, d).select("p_partkey", F.posexplode(X.token_chunks_of(3, lambda line: len(line.split()))(text)).alias("chunk", "text"))
+
+
+@query("expressions_interpreted", """
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size * (p_partkey + 2) WHEN 1 THEN greatest(p_size, 20) - 1 WHEN 2 THEN CASE WHEN p_size > 25 THEN 1 ELSE 0 END END::DOUBLE AS value FROM part""")
+def _(spark, d):
+    forms = F.array(_lit("size * (key + 2)"), _lit("max(size, 20) - 1"), _lit("1 if 25 < size <= 50 and not size == 51 else 0"), _lit("__import__('os').system('x')"))
+    value = X.interpreted_udf(["size", "key"], "double")(forms[F.col("p_size") % 4], F.col("p_size"), F.col("p_partkey"))
+    return _parts(spark, d).select("p_partkey", value.alias("value"))
+
+
+@query("constrained_answers", """
+SELECT p_partkey, 'id-' || p_partkey AS answer FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'yes' FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, '{"size": ' || p_size || '}' FROM part WHERE p_size % 5 > 0""")
+def _(spark, d):
+    rows = _parts(spark, d)
+    ask = lambda text: rows.select("p_partkey", text.alias("prompt"))
+    same = lambda prompts: list(prompts)
+    by_form = generate.constrained(ask(F.concat(F.when(F.col("p_size") % 3 == 0, "id-").otherwise("no "), _key())), same, regex="id-[0-9]+", tries=2)
+    by_choice = generate.constrained(ask(F.when(F.col("p_size") % 2 == 0, "yes").otherwise("maybe")), same, choices=["yes", "no"], tries=2)
+    by_schema = generate.constrained(ask(F.concat(_lit('{"size": '), F.when(F.col("p_size") % 5 > 0, _size()).otherwise("broken"), _lit("}"))), same, schema={"type": "object", "properties": {"size": {"type": "integer"}}, "required": ["size"]}, tries=2)
+    return by_form.union(by_choice).union(by_schema).select("p_partkey", "answer")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.filters import InstructionFilter, scores_reach
+from millrace.functions.schemas import type_from_json_schema
 from millrace.operators.curation import few_shot
 from millrace.operators.dedup import _cut
 from millrace.operators.evaluation import rouge_filter
@@ -106,6 +107,24 @@ def with_rationale(questions: DataFrame, model: Model, check: Callable[[DataFram
     return done
 
 
+def constrained(prompts: DataFrame, model: Model, regex: str | None = None, choices: Sequence[str] | None = None, schema: dict | None = None, tries: int = 3) -> DataFrame:
+    """Rows (``prompt``) with an answer that keeps the constraints: a pattern for the whole answer, a set of answers, a JSON schema.
+
+    The model is asked again, ``tries`` times at most, for answers that break one; rows without a good answer are left out.
+    """
+    ok = F.lit(True)
+    if regex is not None:
+        ok &= F.col("answer").rlike(f"^(?:{regex})\\z")
+    if choices is not None:
+        ok &= F.col("answer").isin(list(choices))
+    if schema is not None:
+        needed = [F.get_json_object("answer", f"$.{name}").isNotNull() for name in schema.get("required", [])]
+        ok &= F.from_json("answer", type_from_json_schema(schema), {"mode": "PERMISSIVE"}).isNotNull() & F.try_parse_json("answer").isNotNull()
+        for n in needed:
+            ok &= n
+    return with_rationale(prompts, model, lambda rows: rows.withColumn("accepted", F.coalesce(ok, F.lit(False))), tries).drop("accepted")
+
+
 def collected(rows: Sequence[dict], spark) -> DataFrame:
     """Recorded steps (role, name, message, function_call) in order."""
     return spark.createDataFrame([(i, r.get("role"), r.get("name"), r.get("message"), r.get("function_call")) for i, r in enumerate(rows)], "turn long, role string, name string, message string, function_call string")

@@ -112,3 +112,11 @@ def test_files_of_many_kinds_as_markdown(spark, tmp_path):
     assert found == [("Title", "Heading"), ("ListItem", "one"), ("ListItem", "two"), ("NarrativeText", "A sentence that goes on.")]
     with pytest.raises(Exception, match="unsupported file type"):
         markup.markdown_files(spark, str(tmp_path / "i.xyz")).collect()
+
+
+def test_interpreter_refuses_what_it_does_not_know():
+    names = {"a": 3, "s": "text"}
+    assert [parsing.interpreted(e, names) for e in ("a ** 2 + 1", "len(s) if a > 2 else 0", "[a, 1][0] in (3, 4)", "-a // 2", "a and s", "not a or 5")] == [10, 4, True, -2, "text", 5]
+    for bad in ("__import__('os')", "s.upper()", "open('x')", "[x for x in s]", "b", "9 ** 9999", "s * 10 ** 9", "lambda: 1", "1 +", "(" * 500 + ")" * 500):
+        with pytest.raises(ValueError):
+            parsing.interpreted(bad, names)
