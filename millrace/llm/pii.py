@@ -47,10 +47,11 @@ PATTERNS = {
     "iban": IBAN,
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "secret": r"(?i)(?<![a-z0-9])(?:(?:[a-z0-9]{1,12}[_-]){0,2}+(?:token|secret|password|passwd|key)[\"']?\x20*+[=:]\x20*+[\"']?[a-z0-9/+_.-]{16,}+|AKIA[0-9A-Z]{16}+(?![a-z0-9])|gh[pousr]_[a-z0-9]{36,}+)",
 }
 KINDS = list(PATTERNS)
 #: What a confirmed span scores alone, and the words nearby that raise it by CONTEXT.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "tel": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "tel": 0.3, "secret": 0.8}
 WORDS = {
     "email": r"e-?mail|contact|write|mailto|correo|courriel",
     "ip": r"\bip\b|address|host|server|login|adresse",
@@ -59,6 +60,7 @@ WORDS = {
     "iban": r"iban|account|bank|konto|compte|cuenta",
     "ssn": r"\bssn\b|social security|tax id",
     "tel": r"phone|\btel|call|mobile|fax|telefon|llam|appel",
+    "secret": r"auth|credential|login|private|api",
 }
 CONTEXT, THRESHOLD, BEFORE, AFTER = 0.3, 0.5, 40, 20
 _BLOCK = 256
@@ -100,6 +102,9 @@ def _confirmed(kind: str, hit: Column) -> Column:
         return _mod97(hit)
     if kind == "ssn":
         return ~hit.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        value = F.regexp_extract(hit, r"[A-Za-z0-9/+_.-]{16,}$", 0)
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
     return F.lit(True)
 
 
@@ -128,8 +133,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """A row per input row: ``id_col``, ``base`` and ``spans``, arrays of (start, rank, kind, end, text, score) by start and kind.
 
     Places are code points, the end exclusive. ``base`` holds e-mail addresses, IP addresses, cards and
-    international phone numbers; ``spans`` adds IBANs and, where words nearby support them, social
-    security and national phone numbers that overlap no base span.
+    international phone numbers; ``spans`` adds IBANs, keys and tokens (of 16 characters at least, letters and digits, eight different ones) and, where words nearby
+    support them, social security and national phone numbers; but for IBANs none that overlaps a base span.
     """
     text = F.col("_text")
     signs = {"email": text.contains("@"), "phone": text.contains("+") & text.rlike("[0-9]")}
