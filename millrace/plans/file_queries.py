@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.plans.catalog import query, table
+from millrace.plans.chat_queries import _EDGES, places
 from millrace.sources import markup, readers, sheets, sinks
+from millrace.streaming import streams
 
 _own: dict[str, str] = {}
 _lit = F.lit
@@ -251,3 +254,61 @@ def _(spark, d):
         found = own if found is None else found.union(own)
     html = spark.read.text(f"{root}/page").select(_lit("html").alias("kind"), readers.html_text(F.col("value")).alias("page_content"))
     return found.union(html)
+
+
+def _bytes(write) -> bytes:
+    out = io.BytesIO()
+    write(out)
+    return out.getvalue()
+
+
+@query("load_feather", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, d):
+    store, nations = sinks.ObjectStore(spark, folder(spark)), table(spark, d, "nation")
+    for i in range(2):
+        store.put(f"nations.feather/part-{i}.feather", _bytes(nations.where(F.col("n_nationkey") % 2 == i).toPandas().to_feather))
+    return readers.load(spark, f"{store.root}/nations.feather")
+
+
+@query("load_stata", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+def _(spark, d):
+    store = sinks.ObjectStore(spark, folder(spark))
+    store.put("regions.dta", _bytes(lambda out: table(spark, d, "region").toPandas().to_stata(out, write_index=False)))
+    return readers.load(spark, f"{store.root}/regions.dta").withColumn("r_regionkey", F.col("r_regionkey").cast("long"))
+
+
+@query("object_store", "SELECT r_name AS name, r_name || ' ' || r_regionkey AS content, true AS stored, false AS other FROM region")
+def _(spark, d):
+    store, rows = sinks.ObjectStore(spark, folder(spark)), table(spark, d, "region").collect()
+    for r in rows:
+        store.put(f"regions/{r.r_name}", f"{r.r_name} {r.r_regionkey}".encode())
+    found = [(r.r_name, store.get(f"regions/{r.r_name}").decode(), store.exists(f"regions/{r.r_name}"), store.exists(f"other/{r.r_name}")) for r in rows]
+    return spark.createDataFrame(found, "name string, content string, stored boolean, other boolean")
+
+
+@query("clipboard_table", "SELECT unnest([1, 2])::BIGINT AS id, unnest(['a', 'b']) AS name")
+def _(spark, d):
+    return readers.from_clipboard(spark, "id  name\n1\ta\n2   b\n")
+
+
+@query("crawled", f"""
+WITH e AS (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), one AS (SELECT DISTINCT dst AS url FROM e WHERE src = 's1'), two AS (SELECT DISTINCT e.dst AS url FROM e JOIN one ON e.src = one.url WHERE e.dst <> 's1')
+SELECT 's1' AS url, 0 AS depth UNION ALL SELECT url, 1 FROM one UNION ALL SELECT url, 2 FROM two""")
+def _(spark, d):
+    edges = places(spark, d)[1]
+    both = edges.select(F.col("src").alias("url"), F.col("dst").alias("link")).union(edges.select("dst", "src"))
+    return sinks.crawl(spark.createDataFrame([("s1",)], "url string"), lambda front: both.join(front, "url", "left_semi"), depth=2)
+
+
+@query("stream_accumulated_live", "SELECT conv_id::VARCHAR AS stream_id, count(*) AS n, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    """The streaming form: two files of chunks come one after the other; the last state of each stream counts."""
+    root, chats = folder(spark), table(spark, d, "conversations")
+    chunks = chats.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.coalesce("text", _lit("")).alias("chunk"))
+    for late in (False, True):
+        chunks.where((F.col("seq") >= 2) == late).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    live = streams.accumulating(stream).writeStream.outputMode("update").foreachBatch(lambda rows, _: rows.write.mode("append").parquet(f"{root}/out"))
+    run = live.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("stream_id").agg(F.max("n").alias("n"), F.max_by("text", "n").alias("text"))

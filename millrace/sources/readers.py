@@ -25,17 +25,31 @@ from millrace.functions.text import newlines_stripped
 
 def _with_pandas(kind: str):
     def load(spark: SparkSession, path: str, **options) -> DataFrame:
-        first = spark.read.format("binaryFile").load(path).select("content").first()
         read = getattr(pd, f"read_{kind}")
-        frame = read(io.BytesIO(bytes(first.content)), **options)
-        schema = spark.createDataFrame(frame).schema
+        files = spark.read.format("binaryFile").load(path)
+
+        def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import pyarrow as pa
+            from pyspark.sql.pandas.types import from_arrow_schema
+
+            for batch in batches:
+                for content in batch["content"]:
+                    own = pa.Schema.from_pandas(read(io.BytesIO(content), **options), preserve_index=False)
+                    yield pd.DataFrame({"schema": [from_arrow_schema(own).json()]})
+
+        # the first file by name is parsed in a task; the driver gets its schema only
+        first = files.agg(F.min("path")).first()[0]
+        if first is None:
+            raise FileNotFoundError(path)
+        found = files.where(F.col("path") == first).select("content").mapInPandas(shape, "schema string").first()[0]
+        schema = T.StructType.fromJson(json.loads(found))
 
         def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for content in batch["content"]:
                     yield read(io.BytesIO(content), **options)[schema.names]
 
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
+        return files.select("content").mapInPandas(parse, schema)
 
     return load
 
@@ -78,6 +92,11 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
     return LOADERS[suffix[1].lower()](spark, path, **options)
 
 
+def from_clipboard(spark: SparkSession, text: str, sep: str = r"\s+") -> DataFrame:
+    """The table in a copied text, which the caller takes from the clipboard: a header line, columns parted by white space or ``sep``."""
+    return spark.createDataFrame(pd.read_csv(io.StringIO(text), sep=sep, engine="python"))
+
+
 def load_sql(spark: SparkSession, query: str, url: str | None = None, **options) -> DataFrame:
     """A query: over this session's views, or over JDBC if a URL is given."""
     return spark.sql(query) if url is None else spark.read.format("jdbc").options(url=url, query=query, **options).load()
