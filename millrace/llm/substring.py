@@ -256,11 +256,13 @@ def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ints(a), ints(end - a), pa.array(of), ints(a + shift)], names=["doc", "a", "n", "f", "fa"])
 
 
+#: Marks a packed interval of words that are to go.
+_GOES = 1 << 31
 _PASSED = "_id long, n_words long, n_removed long, kept_text string, a int, n int, sha binary"
 
 
 def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text (columns: doc, text, list of (packed (a, n), whether to go) or null) what stays, and (n_words null) digests of the listed intervals."""
+    """Of each text (columns: doc, text, list of packed (a, n), marked if it is to go, or null) what stays, and (n_words null) digests of the listed intervals."""
     names, kinds = [x.split()[0] for x in _PASSED.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         for rows in portions(batch, 1):
@@ -269,8 +271,8 @@ def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = text.split()
                 rest = words
                 if listed.is_valid:
-                    packed, goes = (listed.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                    a, n = packed >> 32, packed & 0xFFFFFFFF
+                    packed = listed.values.to_numpy(zero_copy_only=False)
+                    a, n, goes = packed >> 32, packed & (_GOES - 1), (packed & _GOES) > 0
                     rest = _rest(words, a[goes], n[goes])
                     digests += [(doc, None, None, None, x, k, hashlib.sha256(b" ".join(words[x : x + k])).digest()) for x, k in set(zip(a.tolist(), n.tolist(), strict=True))]
                 results.append((doc, len(words), len(words) - len(rest), b" ".join(rest).decode(), None, None, None))
@@ -358,7 +360,7 @@ class SubstringIndex:
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         self.stretches, self.windows = Runs(self.spark, ["h", "s1", "s2"], fan_out), Runs(self.spark, ["w1", "w2"], fan_out)
-        self.hot_least, self.hot = hot_least, None
+        self.hot_least, self.hot, self.spent = hot_least, None, []
 
     def _hot(self, raw: DataFrame) -> DataFrame | None:
         """Grams of the batch that are hot but were not yet; None if there is none. A bucket holds HOT_SHARE of the least of them at most, so there are few."""
@@ -395,6 +397,7 @@ class SubstringIndex:
             firsts, gram = met.groupBy("h", "s1", "s2").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), Window.partitionBy("h")
             unlike = F.min(F.struct("s1", "s2")).over(gram) != F.max(F.struct("s1", "s2")).over(gram)
             firsts = written(firsts.select("*", unlike.alias("unlike")).where("c > 1 OR unlike"), "run-firsts")
+            self.spent.append(firsts)
             known = firsts.where("c > 1").select("h", F.col("s1").alias("k1"), F.col("s2").alias("k2"), "first")
             # equal halves as one condition that is no join key, since only a join by h alone leaves the run where it is
             again = new.join(known, "h").where((F.col("s1").bitwiseXOR(F.col("k1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("k2"))) == 0) & (at > F.col("first")))
@@ -405,7 +408,9 @@ class SubstringIndex:
         if listed:
             repeats.append(self._by_window(_union(listed), batch))
         repeats = written(_union(repeats), "run-repeats")
-        delete(self.spark, raw)
+        for table in (raw, *self.spent):
+            delete(self.spark, table)
+        self.spent = []
         self.stretches.compact()
         self.windows.compact()
         return repeats
@@ -416,7 +421,7 @@ class SubstringIndex:
         low, high, any_hot = lists.agg(F.min("doc"), F.max("doc"), F.max("hot")).first()
         if low is None:
             return self.spark.createDataFrame([], _REPEAT)
-        texts = joined(self.docs.where(F.col("doc").between(low, high)), lists, "doc", "inner", 64, 8 * F.size("at")).select("doc", "text", "at", "hot")
+        texts = joined(self.docs.where(F.col("doc").between(low, high)), lists, "doc", "inner", 48, 8 * F.size("at")).select("doc", "text", "at", "hot")
         found = written(texts.mapInArrow(_windows, "w1 long, w2 long, doc long, a int, hot boolean"), "run-windows")
         firsts = found.groupBy("w1", "w2").agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("c"), F.max("hot").alias("hot"))
         earliest = firsts.where("c > 1").select("w1", "w2", "first")
@@ -428,7 +433,8 @@ class SubstringIndex:
                 earliest = _union([earliest] + [r.join(keys, "w1", "left_semi").select("w1", "w2", F.struct("doc", "a").alias("first")) for r in earlier])
                 earliest = earliest.groupBy("w1", "w2").agg(F.min("first").alias("first"))
         earliest = written(earliest, "run-earliest")
-        late = found.join(earliest, ["w1", "w2"]).where((F.struct("doc", "a") > F.col("first")) & batch)
+        self.spent += [lists, found, earliest]
+        late = found.join(earliest.hint("merge"), ["w1", "w2"]).where((F.struct("doc", "a") > F.col("first")) & batch)
         return late.select("doc", "a", F.lit(WINDOW).alias("n"), F.col("first.doc").alias("f"), F.col("first.a").alias("fa"))
 
     def without(self, repeats: DataFrame) -> DataFrame:
@@ -439,25 +445,26 @@ class SubstringIndex:
         """
         lists = repeats.groupBy("doc").agg(F.collect_list(F.struct(_packed(F.col("a"), F.col("n")).alias("p"), "f", "fa")).alias("at"))
         claims = written(lists.mapInArrow(_wholes, _REPEAT), "claims")
-        asked = claims.select(F.col("f").alias("doc"), _packed(F.col("fa"), F.col("n")).alias("p"), F.lit(False).alias("goes")).distinct()
-        both = claims.select("doc", _packed(F.col("a"), F.col("n")).alias("p"), F.lit(True).alias("goes")).union(asked)
+        asked = claims.select(F.col("f").alias("doc"), _packed(F.col("fa"), F.col("n")).alias("p")).distinct()
+        going = _packed(F.col("a"), F.col("n")).bitwiseOR(F.lit(_GOES)).alias("p")
+        both = claims.select("doc", going).union(asked)
         passed = written(self._pass(self.docs, both), "passed")
         shown = passed.where("n_words IS NULL").groupBy("_id", "a", "n").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"))
         shown = written(shown.where("sha = other").select("_id", "a", "n", "sha"), "claims-digests")
-        own = joined(claims, shown.select(F.col("_id").alias("doc"), "a", "n", F.col("sha").alias("own")), ["doc", "a", "n"], "left", 80)
-        proved = joined(own, shown.select(F.col("_id").alias("f"), F.col("a").alias("fa"), "n", "sha"), ["f", "fa", "n"], "left", 80)
+        own = claims.join(shown.select(F.col("_id").alias("doc"), "a", "n", F.col("sha").alias("own")).hint("merge"), ["doc", "a", "n"], "left")
+        proved = own.join(shown.select(F.col("_id").alias("f"), F.col("a").alias("fa"), "n", "sha").hint("merge"), ["f", "fa", "n"], "left")
         refuted = written(proved.where(~F.coalesce(F.col("own") == F.col("sha"), F.lit(False))).select("doc", "a", "n", "f", "fa"), "claims-refuted")
         results = passed.where("n_words IS NOT NULL").drop("a", "n", "sha")
         if refuted.isEmpty():
             return results
         odd = written(refuted.select("doc").distinct(), "claims-odd")
-        left = claims.join(odd, "doc", "left_semi").join(refuted, ["doc", "a", "n", "f", "fa"], "left_anti").select("doc", _packed(F.col("a"), F.col("n")).alias("p"), F.lit(True).alias("goes"))
+        left = claims.join(odd, "doc", "left_semi").join(refuted, ["doc", "a", "n", "f", "fa"], "left_anti").select("doc", going)
         again = self._pass(self.docs.join(odd, "doc", "left_semi"), left).where("n_words IS NOT NULL").drop("a", "n", "sha")
         return results.join(odd.withColumnRenamed("doc", "_id"), "_id", "left_anti").union(again)
 
     def _pass(self, docs: DataFrame, listed: DataFrame) -> DataFrame:
-        lists = written(listed.groupBy("doc").agg(F.collect_list(F.struct("p", "goes")).alias("at")), "removed-lists")
-        return joined(docs, lists, "doc", "left", 64, 16 * F.size("at")).select("doc", "text", "at").mapInArrow(_passed, _PASSED)
+        lists = written(listed.groupBy("doc").agg(F.collect_list("p").alias("at")), "removed-lists")
+        return joined(docs, lists, "doc", "left", 48, 8 * F.size("at")).select("doc", "text", "at").mapInArrow(_passed, _PASSED)
 
     def close(self) -> None:
         self.stretches.close()
