@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large-star")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        under = written(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        under = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(under, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(moved.union(under.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for old in (now, least, large, under):
+        for old in (now, large):
             delete(spark, old)
         now, (before, state) = after, (state, _state(after))
         if before == state:
