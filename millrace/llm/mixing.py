@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import ROW, delete, joined, keyed, may_broadcast, written
+from millrace.llm.shared import delete, free, joined, keyed, may_broadcast, written
 
 #: Weights of the sources in order, repeating; how often a source's words may be repeated at most.
 WEIGHTS, CAP = (1.0, 2.0, 3.0), 3
@@ -174,6 +174,8 @@ def _settled(rounded: DataFrame, cap: int, more: tuple[str, ...] = ()) -> DataFr
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each row as often as it has copies, with all its columns. Rows are told apart by their place, so ids may repeat or be null."""
-    docs = keyed(docs)
-    copies = written(mix(docs, id_col, more=tuple(ROW), **options).where(F.col("copies") > 0).select(*ROW, F.col("copies").alias("_copies")), "mix-copies")
-    return joined(docs, copies, ROW, "inner", 32).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies", *ROW)
+    docs, row = keyed(docs)
+    copies, copy = free(docs, "_copies", "_copy")
+    taken = mix(docs, id_col, more=tuple(row), **options).where(F.col("copies") > 0).select(*row, F.col("copies").cast("int").alias(copies))
+    each = joined(docs, written(taken, "mix-copies"), row, "inner", 32).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return each.drop(copy, copies, *row)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import portions, strings
-from millrace.llm.shared import ROW, joined, keyed, written
+from millrace.llm.shared import joined, keyed, written
 
 #: Shrinkage of the class covariances to the pooled one, and of that to its diagonal, at least; rows a class needs.
 TO_POOLED, TO_DIAGONAL, MINIMUM = 0.02, 0.02, 3
@@ -187,8 +187,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows that score 0.5 or more, with all their columns."""
-    docs = keyed(docs)
-    found = _scan(docs, id_col, text_col, tuple(ROW))
+    docs, row = keyed(docs)
+    found = _scan(docs, id_col, text_col, tuple(row))
     model = fit(found, labels.where(~held_out(id_col)), id_col, label_col)
-    gone = scored(found, model, tuple(ROW)).where("score < 0.5").select(*ROW)
-    return joined(docs, written(gone, "quality-rejected"), ROW, "left_anti", 32).drop(*ROW)
+    gone = scored(found, model, tuple(row)).where("score < 0.5").select(*row)
+    return joined(docs, written(gone, "quality-rejected"), row, "left_anti", 32).drop(*row)

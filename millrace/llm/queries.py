@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.digests import edited_digests
+from millrace.llm.divergence import audit
 from millrace.llm.exact import exact_groups
+from millrace.llm.minhash import similar_documents
 from millrace.llm.mixing import mix
+from millrace.llm.negatives import hard_negatives
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import classify
 from millrace.llm.shared import table
@@ -121,6 +124,69 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+o AS (SELECT doc, lang, source, unnest(terms) AS item FROM d),
+kept AS (SELECT lang, item, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+l AS (SELECT lang, item, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM kept),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, item, count(*) AS n FROM o SEMI JOIN kept USING (lang, item) GROUP BY ALL),
+dense AS (SELECT lang, source, item, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, item)),
+p AS (SELECT lang, source, item, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w) AS p FROM dense WINDOW w AS (PARTITION BY lang, source)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN l USING (lang, item) WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) END AS shingles FROM d),
+n AS (SELECT doc_id, shingles, len(shingles)::BIGINT AS n_shingles FROM s),
+sets AS (SELECT min(doc_id) AS node, n_shingles, unnest(any_value(shingles)) AS shingle FROM n GROUP BY list_sort(shingles), n_shingles),
+met AS (SELECT a.node AS u, b.node AS v, any_value(a.n_shingles) + any_value(b.n_shingles) AS total, count(*) AS shared
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.node < b.node AND 100 * a.n_shingles >= 80 * b.n_shingles AND 100 * b.n_shingles >= 80 * a.n_shingles GROUP BY ALL),
+link AS (SELECT u, v FROM met WHERE 100 * shared >= 80 * (total - shared)),
+ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reached AS (SELECT DISTINCT u AS node, u AS root FROM ways UNION SELECT ways.v, root FROM reached JOIN ways ON reached.node = ways.u WHERE root < ways.v),
+roots AS (SELECT node, min(root) AS component FROM reached GROUP BY node),
+classes AS (SELECT n.doc_id, n.n_shingles, CASE WHEN n.n_shingles = 0 THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY list_sort(n.shingles)) END AS node FROM n)
+SELECT doc_id, n_shingles, coalesce(component, classes.node) AS component_id, doc_id = coalesce(component, classes.node) AS kept
+FROM classes LEFT JOIN roots ON classes.node = roots.node AND n_shingles > 0
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM (FROM e WHERE vec_id % 100 = 0) a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -139,5 +205,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
+    "op12_minhash": op12_minhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_divergence": OP11_SQL, "op12_minhash": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -63,18 +63,28 @@ def joined(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, byt
     return left.join(F.broadcast(right) if may_broadcast(right, bytes_a_row, more) else right, on, how)
 
 
-#: The columns that tell the rows of a ``keyed`` table apart: a hash of the file's path, and the row's place in the file.
-ROW = ["_row_file", "_row_at"]
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of ``docs``: as given, or with underscores behind until none of ``docs`` is called so."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ROW, the same each time it is read; one that has them stays as it is. What isn't read from Parquet files as it stands is written first."""
-    if set(ROW) <= set(docs.columns):
-        return docs
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns that tell its rows apart, a hash of the file's path and the row's place in it, the same each time it is read; and their names, which none of its own columns has.
+
+    What isn't read from Parquet files as it stands is written first.
+    """
+    row = free(docs, "_row_file", "_row_at")
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
         docs = written(docs, "keyed")
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+    place = docs.metadataColumn("_metadata")  # also where a column of the table has that name
+    return docs.select(F.xxhash64(place["file_path"]).alias(row[0]), place["row_index"].alias(row[1]), "*"), row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
