@@ -156,7 +156,7 @@ def radix_top(rows: DataFrame, group: list[str], k: int, digit: int = DIGIT) ->
         delete(spark, bar)
         bar, left = after, low
     # bar: a group's k-th largest value, how many of the rows with it belong to the k, and how many there are
-    cut, size, done = written(bar.select(*group, "top", "need", "c", F.lit(None).cast("string").alias("cut")), "radix-cut"), BYTES, 0
+    cut, size, done = written(bar.select(*group, "top", "need", "c", F.lit(None).cast("string").alias("cut"), F.lit(0).alias("wide")), "radix-cut"), BYTES, 0
     code = F.hex(F.encode("item", "UTF-8"))
     tied = written(joined(rows, bar.where("c > need").select(*group, "top"), group, "inner", 128).where("value = top").select(*group, code.alias("code")), "radix-tied")
     while True:
@@ -166,10 +166,10 @@ def radix_top(rows: DataFrame, group: list[str], k: int, digit: int = DIGIT) ->
         within = joined(tied, open_, group, "inner", 256).where(F.substring("code", 1, 2 * done) == F.col("cut"))
         bins = within.groupBy(*group, F.substring("code", 1, 2 * (done + size)).alias("digit")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"))
         found = _narrowed(bins, group, F.col("digit").asc(), False).select(*group, F.col("digit").alias("_cut"), F.col("need").alias("_need"), F.col("c").alias("_c"))
-        after = cut.join(found, group, "left").select(*group, "top", F.coalesce("_need", "need").alias("need"), F.coalesce("_c", "c").alias("c"), F.coalesce("_cut", "cut").alias("cut"))
+        after = cut.join(found, group, "left").select(*group, "top", F.coalesce("_need", "need").alias("need"), F.coalesce("_c", "c").alias("c"), F.coalesce("_cut", "cut").alias("cut"), F.when(F.col("_cut").isNotNull(), 2 * (done + size)).otherwise(F.col("wide")).alias("wide"))
         cut, done, size = written(after, "radix-cut"), done + size, size * 2
-    chosen = joined(rows, cut.select(*group, "top", "cut"), group, "inner", 256)
-    within = F.col("cut").isNull() | (F.expr("substring(code, 1, length(cut))") <= F.col("cut"))
+    chosen = joined(rows, cut.select(*group, "top", "cut", "wide"), group, "inner", 256)
+    within = F.col("cut").isNull() | (F.expr("substring(code, 1, wide)") <= F.col("cut"))  # a cut may be an item that ends before its width
     chosen = chosen.withColumn("code", code).where((F.col("value") > F.col("top")) | ((F.col("value") == F.col("top")) & within)).select(*group, "item", "value")
     return _ranked(chosen, group)
 

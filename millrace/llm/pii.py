@@ -50,6 +50,16 @@ PATTERNS = {
     "secret": r"(?i)(?<![a-z0-9])(?:(?:[a-z0-9]{1,12}[_-]){0,2}+(?:token|secret|password|passwd|key)[\"']?\x20*+[=:]\x20*+[\"']?[a-z0-9/+_.-]{16,}+|AKIA[0-9A-Z]{16}+(?![a-z0-9])|gh[pousr]_[a-z0-9]{36,}+)",
 }
 KINDS = list(PATTERNS)
+#: What each match of a kind holds, sought once before its pattern is run; all but e-mail addresses have a digit too.
+SIGNS = {
+    "ip": r"[0-9]\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11}",
+    "phone": r"\+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "tel": r"[0-9]{3}[\x20.-][0-9]{4}",
+    "secret": r"(?i)token|secret|passw|key|AKIA|gh[pousr]_",
+}
 #: What a confirmed span scores alone, and the words nearby that raise it by CONTEXT.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "tel": 0.3, "secret": 0.8}
 WORDS = {
@@ -136,22 +146,27 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     international phone numbers; ``spans`` adds IBANs, keys and tokens (of 16 characters at least, letters and digits, eight different ones) and, where words nearby
     support them, social security and national phone numbers; but for IBANs none that overlaps a base span.
     """
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return _found(rows, "_id").select(F.col("_id").alias(id_col), "f.base", "f.spans")
+
+
+def _found(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of each row, and ``f``: base and all spans of its ``_text``."""
     text = F.col("_text")
-    signs = {"email": text.contains("@"), "phone": text.contains("+") & text.rlike("[0-9]")}
     found = []
     for kind, pattern in PATTERNS.items():
-        there = signs.get(kind, F.col("_digit"))
+        there = F.col(f"_signs.{kind}")
         found += [F.when(there, F.split(text, pattern, -1)).alias(f"{kind}_gaps"), F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"{kind}_hits")]
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = _once(rows, "_digit", text.rlike("[0-9]"), "_id", "_text")
-    rows = _once(rows, "m", F.struct(*found), "_id")
-    rows = _once(rows, "s", F.struct(*[_spans(k, F.col(f"m.{k}_gaps"), F.col(f"m.{k}_hits")).alias(k) for k in KINDS]), "_id")
+    digit = text.rlike("[0-9]")
+    signs = [(digit & text.rlike(SIGNS[k]) if k in SIGNS else text.contains("@")).alias(k) for k in KINDS]
+    rows = _once(rows, "_signs", F.struct(*signs), "_text", *[k for k in keep if k != "_text"])
+    rows = _once(rows, "m", F.struct(*found), *keep)
+    rows = _once(rows, "s", F.struct(*[_spans(k, F.col(f"m.{k}_gaps"), F.col(f"m.{k}_hits")).alias(k) for k in KINDS]), *keep)
     base = F.concat(*[F.col(f"s.{k}") for k in BASE])
     more = F.concat(*[F.col(f"s.{k}") for k in KINDS if k not in BASE])
-    rows = _once(rows, "b", F.struct(F.array_sort(base).alias("base"), more.alias("more")), "_id")
+    rows = _once(rows, "b", F.struct(F.array_sort(base).alias("base"), more.alias("more")), *keep)
     free = F.filter(F.col("b.more"), lambda s: (s["kind"] == "iban") | ~F.exists(F.col("b.base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = _once(rows, "f", F.struct(F.col("b.base").alias("base"), F.array_sort(F.concat(F.col("b.base"), free)).alias("spans")), "_id")
-    return rows.select(F.col("_id").alias(id_col), "f.base", "f.spans")
+    return _once(rows, "f", F.struct(F.col("b.base").alias("base"), F.array_sort(F.concat(F.col("b.base"), free)).alias("spans")), *keep)
 
 
 def listed(spans: Column) -> Column:
@@ -159,10 +174,15 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the text with each span, but for those that overlap an earlier one, replaced by its kind in brackets. Ids must be distinct."""
-    found = find_pii(docs, id_col, text_col).where(F.size("spans") > 0).select(id_col, "spans")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All rows and columns, with each span of the text, but for those that overlap an earlier one, replaced by its kind in brackets.
+
+    A row's spans are applied where they are found, so ids don't matter and nothing is shuffled. A null text stays null.
+    """
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    own = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*own).withColumn("_text", F.coalesce(F.col(next(k for k, c in own.items() if c == text_col)), F.lit("")))
+    rows = _found(rows, *own, "_text")
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at")))
-    done = F.aggregate(F.col("spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
-    return docs.join(found, id_col, "left").select(id_col, F.when(F.col("spans").isNotNull(), done).otherwise(text).alias(text_col))
+    done = F.aggregate(F.col("f.spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    return rows.select(*[F.when(F.col(k).isNotNull(), done).alias(c) if c == text_col else F.col(k).alias(c) for k, c in own.items()])

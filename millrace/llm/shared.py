@@ -32,10 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once to the shared folder and read back: its lineage ends there."""
+#: Rows of a small table that one file takes, where a bound of their number is known.
+ROWS_A_FILE = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df``, written once to the shared folder and read back: its lineage ends there. ``rows``: a bound of its rows, from which follows how many files are enough."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

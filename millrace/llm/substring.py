@@ -7,7 +7,8 @@ serves: the gram's hash, 128 bits of the whole stretch, document, first window,
 one word in eight starts one.
 
 A batch becomes a sorted immutable run: entries dealt and sorted by the gram's hash, written as a bucketed table. It is
-merge-joined with the earlier runs bucket by bucket; no run is shuffled again. Stretches that are equal repeat as a whole.
+merge-joined with the earlier runs bucket by bucket; no run is shuffled again. Its texts are kept in the same way, dealt by document: whatever is
+later asked of some documents' texts (lists of places by document) comes to them, so a text goes through one shuffle in its life. Stretches that are equal repeat as a whole.
 Where a gram stands in different stretches, some windows may still be equal, so the windows of each such stretch's first
 occurrence are hashed one by one (128 bits) from the texts. Runs are compacted in levels: as soon as ``fan_out`` runs have
 sizes of one power of ``fan_out``, they are merged into one, again bucket by bucket, which keeps the first occurrence of every stretch.
@@ -22,12 +23,14 @@ its entries would fill an eighth of a bucket) isn't dealt by its hash: its windo
 their own, dealt by the window's hash. Which grams are hot is read from the entries whose hash is divisible by
 64; it moves entries from one kind of run to the other and changes no result.
 
-Only documents with an old stretch that a batch's grams meet in another form are read again, and of their files only
-the range of ids that these span.
+Only documents with an old stretch that a batch's grams meet in another form are read again, from the batches whose ids these span.
 
-Defined cases: a null text has no words. Rows without an id are returned as they are and lend no window. Rows that repeat an id must
-repeat its text and count as one document, so none of them is removed for another (if their texts differ, nothing fails, but what
-is removed from them is open). Texts under WINDOW words stay whole. An
+An index with a path outlives its session: runs, texts and hot grams are segments under one log (``millrace.sources.segments``), and
+a batch is committed as a whole. ``SubstringIndex.open(spark, path)`` goes on where the last commit ended; a batch that failed midway left nothing.
+
+Defined cases: a null text has no words. Rows without an id are returned as they are and lend no window. Rows that repeat an id
+count as one document, so none of them is removed for another. If their texts differ, only words that all of them have at the same place, and that
+repeat an earlier place of another document or their own, are removed from them; whatever the digests of one of them refute stays in all. Texts under WINDOW words stay whole. An
 empty table gives an empty result.
 """
 
@@ -35,7 +38,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.encoding import portions, strings
 from millrace.llm.shared import delete, joined, new_path, written
+from millrace.sources.segments import SegmentStore
 
 #: Runs of one level that are merged into one of the next.
 WINDOW, GRAM, FAN_OUT = 20, 6, 2
@@ -291,25 +294,26 @@ def _rest(words: list[bytes], start: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 
 class Runs:
-    """Sorted immutable runs: tables bucketed and sorted by a key, of rows told apart by ``same``, each at its first (doc, a). They are merged in levels."""
+    """Sorted immutable runs, segments of a store: bucketed and sorted by a key, of rows told apart by ``same``, each at its first (doc, a). They are merged in levels."""
+
+    def __init__(self, store: SegmentStore, group: str, same: list[str], fan_out: int) -> None:
+        self.store, self.group, self.same, self.fan_out, self.merges = store, group, same, max(2, fan_out), 0
+
+    @property
+    def sizes(self) -> dict[str, int]:
+        return {s["folder"]: s["rows"] for s in self.store.segments(self.group)}
 
-    def __init__(self, spark: SparkSession, same: list[str], fan_out: int) -> None:
-        self.spark, self.same, self.fan_out = spark, same, max(2, fan_out)
-        self.buckets, self.sizes, self.merges = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions"))), {}, 0
+    @property
+    def buckets(self) -> int:
+        own = self.store.state["groups"].get(self.group)
+        return own["buckets"] if own else min(100_000, int(self.store.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def add(self, rows: DataFrame, dealt: bool = False) -> DataFrame | None:
         """Writes a run (dealt: its rows lie in their buckets already); the run, or None if there is no row."""
-        name, key = f"millrace_run_{uuid.uuid4().hex}", self.same[0]
-        rows = rows if dealt else rows.repartition(self.buckets, key)
-        rows.write.bucketBy(self.buckets, key).sortBy(key).option("path", new_path(self.spark, "run")).option("compression", "zstd").saveAsTable(name)
-        self.sizes[name] = self.spark.table(name).count()
-        if self.sizes[name]:
-            return self.spark.table(name)
-        self._drop(name)
-        return None
+        return self.store.add(self.group, rows, self.same[0], (self.same[0],), dealt)
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(r) for r in self.sizes]
+        return self.store.tables(self.group)
 
     def compact(self) -> None:
         """Merges runs while ``fan_out`` of them are of one level; each then holds every row once, at its first occurrence."""
@@ -320,27 +324,13 @@ class Runs:
             full = next((names for _, names in sorted(levels.items()) if len(names) >= self.fan_out), None)
             if full is None:
                 return
-            rows = self.spark.table(full[0])
-            for name in full[1:]:
-                rows = rows.union(self.spark.table(name))
+            rows = _union([self.store.table(self.group, name) for name in full])
             rest = [c for c in rows.columns if c not in (*self.same, "doc", "a")]
             first = rows.groupBy(*self.same).agg(F.min(F.struct("doc", "a")).alias("f"), *[F.first(c).alias(c) for c in rest])
             self.add(first.select(*self.same, "f.doc", "f.a", *rest), dealt=True)
             self.merges += 1
             for name in full:
-                self._drop(name)
-
-    def _drop(self, name: str) -> None:
-        files = self.spark.table(name).inputFiles()
-        self.spark.sql(f"DROP TABLE {name}")
-        if files:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        self.sizes.pop(name, None)
-
-    def close(self) -> None:
-        for name in list(self.sizes):
-            self._drop(name)
+                self.store.drop(self.group, name)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -351,16 +341,37 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 class SubstringIndex:
-    """Runs of earlier batches, and what each batch repeats. ``docs``: every document ingested so far or to come.
+    """Runs of earlier batches, their texts, and what each batch repeats.
 
+    ``docs``: where batches given as conditions come from. ``path``: the index's folder, if it is to stay; else ``close`` removes it.
     ``hot_least``: entries of one gram in a batch from which it may be hot.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_out: int = FAN_OUT, hot_least: int = HOT_LEAST) -> None:
-        self.spark: SparkSession = docs.sparkSession
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        self.stretches, self.windows = Runs(self.spark, ["h", "s1", "s2"], fan_out), Runs(self.spark, ["w1", "w2"], fan_out)
-        self.hot_least, self.hot, self.spent = hot_least, None, []
+    def __init__(self, docs: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", fan_out: int = FAN_OUT, hot_least: int = HOT_LEAST, path: str | None = None, spark: SparkSession | None = None) -> None:
+        self.spark: SparkSession = spark or docs.sparkSession
+        self.id_col, self.text_col = id_col, text_col
+        self.docs = None if docs is None else self._named(docs)
+        self.stays, self.store, self.hot_least, self.spent = path is not None, SegmentStore(self.spark, path or new_path(self.spark, "index")), hot_least, []
+        self.stretches, self.windows = Runs(self.store, "stretches", ["h", "s1", "s2"], fan_out), Runs(self.store, "windows", ["w1", "w2"], fan_out)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options) -> SubstringIndex:
+        """The index that was committed at ``path``, by this session or another; an empty one if there is none."""
+        return cls(None, path=path, spark=spark, **options)
+
+    def _named(self, docs: DataFrame) -> DataFrame:
+        return docs.select(F.col(self.id_col).cast("long").alias("doc"), F.coalesce(F.col(self.text_col), F.lit("")).alias("text"))
+
+    @property
+    def highest(self) -> int | None:
+        """The largest id of all batches."""
+        return max((s["high"] for s in self.store.segments("texts")), default=None)
+
+    @property
+    def hot(self) -> DataFrame | None:
+        """The grams that are hot."""
+        found = self.store.tables("hot")
+        return _union(found) if found else None
 
     def _hot(self, raw: DataFrame) -> DataFrame | None:
         """Grams of the batch that are hot but were not yet; None if there is none. A bucket holds HOT_SHARE of the least of them at most, so there are few."""
@@ -370,24 +381,36 @@ class SubstringIndex:
         if self.hot_least >= SAMPLED:
             entries_, least = entries_.where(F.pmod("s1", F.lit(SAMPLED)) == 0), least // SAMPLED
         found = entries_.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
-        if self.hot is not None:
-            found = found.join(self.hot, "h", "left_anti")
-        found = written(found, "run-hot")
-        return None if found.isEmpty() else found
+        if (known := self.hot) is not None:
+            found = found.join(known, "h", "left_anti")
+        return self.store.add("hot", found, "h")
 
     def ingest(self, batch) -> DataFrame:
-        """Adds the documents that fulfil the condition ``batch``, whose ids are above all before; what they repeat: n words from a in doc, as from fa in f."""
-        raw = written(self.docs.where(F.col("doc").isNotNull() & batch).mapInArrow(_scan, _ENTRY), "run-raw")
+        """Adds a batch: a table, or the documents that fulfil a condition (on ``doc``). Its ids must be above all before; rows without one are left out.
+
+        What it repeats comes back: n words from a in doc, as from fa in f.
+        """
+        new = (self._named(batch) if isinstance(batch, DataFrame) else self.docs.where(batch)).where("doc IS NOT NULL")
+        before = self.highest
+        texts = self.store.add("texts", new, "doc")
+        if texts is None:
+            return self.spark.createDataFrame([], _REPEAT)
+        low, high = texts.agg(F.min("doc"), F.max("doc")).first()
+        self.store.segments("texts")[-1].update(low=low, high=high)
+        if before is not None and low <= before:
+            self.store.drop("texts", self.store.segments("texts")[-1]["folder"])
+            raise ValueError(f"ids of a batch must be above {before}")
+        batch = F.lit(True) if before is None else F.col("doc") > before
+        raw = written(texts.mapInArrow(_scan, _ENTRY), "run-raw")
         own = raw.where("h IS NULL").select("doc", "a", "n", "f", "fa")
         entries_ = raw.where("h IS NOT NULL").select("h", "s1", "s2", "doc", "a", "n")
         newly, at, hot_listed = self._hot(raw), F.struct("doc", "a"), None
         if newly is not None:
             old = [joined(r, newly, "h", "left_semi", 8).select("doc", "a", "n") for r in self.stretches.tables()]
-            self.hot = newly if self.hot is None else written(self.hot.union(newly), "run-hot")
-        if self.hot is not None:
-            hot = joined(entries_, self.hot, "h", "left_semi", 8).select("doc", "a", "n")
+        if (all_hot := self.hot) is not None:
+            hot = joined(entries_, all_hot, "h", "left_semi", 8).select("doc", "a", "n")
             hot_listed = _union([hot, *old]) if newly is not None else hot
-            entries_ = joined(entries_, self.hot, "h", "left_anti", 8)
+            entries_ = joined(entries_, all_hot, "h", "left_anti", 8)
         earlier = self.stretches.tables()
         new = self.stretches.add(entries_)
         repeats, listed = [own], []
@@ -413,6 +436,8 @@ class SubstringIndex:
         self.spent = []
         self.stretches.compact()
         self.windows.compact()
+        self.store.commit()
+        self.store.vacuum()
         return repeats
 
     def _by_window(self, listed: DataFrame, batch) -> DataFrame:
@@ -421,7 +446,8 @@ class SubstringIndex:
         low, high, any_hot = lists.agg(F.min("doc"), F.max("doc"), F.max("hot")).first()
         if low is None:
             return self.spark.createDataFrame([], _REPEAT)
-        texts = joined(self.docs.where(F.col("doc").between(low, high)), lists, "doc", "inner", 48, 8 * F.size("at")).select("doc", "text", "at", "hot")
+        read = [t for s, t in zip(self.store.segments("texts"), self.store.tables("texts"), strict=True) if s["low"] <= high and s["high"] >= low]
+        texts = _union([_listed(t, lists, "inner").select("doc", "text", "at", "hot") for t in read])
         found = written(texts.mapInArrow(_windows, "w1 long, w2 long, doc long, a int, hot boolean"), "run-windows")
         firsts = found.groupBy("w1", "w2").agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("c"), F.max("hot").alias("hot"))
         earliest = firsts.where("c > 1").select("w1", "w2", "first")
@@ -448,7 +474,7 @@ class SubstringIndex:
         asked = claims.select(F.col("f").alias("doc"), _packed(F.col("fa"), F.col("n")).alias("p")).distinct()
         going = _packed(F.col("a"), F.col("n")).bitwiseOR(F.lit(_GOES)).alias("p")
         both = claims.select("doc", going).union(asked)
-        passed = written(self._pass(self.docs, both), "passed")
+        passed = written(self._pass(self._texts(), both), "passed")
         shown = passed.where("n_words IS NULL").groupBy("_id", "a", "n").agg(F.min("sha").alias("sha"), F.max("sha").alias("other"))
         shown = written(shown.where("sha = other").select("_id", "a", "n", "sha"), "claims-digests")
         own = claims.join(shown.select(F.col("_id").alias("doc"), "a", "n", F.col("sha").alias("own")).hint("merge"), ["doc", "a", "n"], "left")
@@ -459,16 +485,30 @@ class SubstringIndex:
             return results
         odd = written(refuted.select("doc").distinct(), "claims-odd")
         left = claims.join(odd, "doc", "left_semi").join(refuted, ["doc", "a", "n", "f", "fa"], "left_anti").select("doc", going)
-        again = self._pass(self.docs.join(odd, "doc", "left_semi"), left).where("n_words IS NOT NULL").drop("a", "n", "sha")
-        return results.join(odd.withColumnRenamed("doc", "_id"), "_id", "left_anti").union(again)
+        again = self._pass([_listed(t, odd, "left_semi") for t in self._texts()], left).where("n_words IS NOT NULL").drop("a", "n", "sha")
+        return results.join(odd.withColumnRenamed("doc", "_id"), "_id", "left_anti").union(written(again, "passed-again"))
 
-    def _pass(self, docs: DataFrame, listed: DataFrame) -> DataFrame:
+    def _texts(self) -> list[DataFrame]:
+        """All documents: those ingested, or before any is, those that the index was made for."""
+        return self.store.tables("texts") or [self.docs]
+
+
+    def _pass(self, texts: list[DataFrame], listed: DataFrame) -> DataFrame:
         lists = written(listed.groupBy("doc").agg(F.collect_list("p").alias("at")), "removed-lists")
-        return joined(docs, lists, "doc", "left", 48, 8 * F.size("at")).select("doc", "text", "at").mapInArrow(_passed, _PASSED)
+        return _union([_listed(t, lists, "left").select("doc", "text", "at").mapInArrow(_passed, _PASSED) for t in texts])
 
     def close(self) -> None:
-        self.stretches.close()
-        self.windows.close()
+        """Ends the use of the index; one without a path of its own goes with all its files."""
+        if self.stays:
+            self.store.close()
+        else:
+            self.store.remove()
+            self.store.state["groups"] = {}
+
+
+def _listed(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Texts with what is listed for their documents. The lists are dealt to the buckets of texts and hashed there; texts are neither moved nor sorted, at whatever size."""
+    return texts.join(lists.hint("shuffle_hash"), "doc", how)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fan_out: int = FAN_OUT, hot_least: int = HOT_LEAST) -> DataFrame:
@@ -481,6 +521,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
             batch = (F.lit(True) if low is None else doc > low) & (F.lit(True) if high is None else doc <= high)
             gone.append(index.ingest(batch))
+        kept = index.without(_union(gone)) if index.highest is not None else None
     finally:
         index.close()
-    return index.without(_union(gone)).withColumnRenamed("_id", id_col)
+    rest = index.docs.where("doc IS NULL").select("doc", "text", F.lit(None).cast("array<long>").alias("at")).mapInArrow(_passed, _PASSED).drop("a", "n", "sha")
+    return (rest if kept is None else kept.union(rest)).withColumnRenamed("_id", id_col)
