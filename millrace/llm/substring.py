@@ -324,10 +324,18 @@ class Runs:
             full = next((names for _, names in sorted(levels.items()) if len(names) >= self.fan_out), None)
             if full is None:
                 return
-            rows = _union([self.store.table(self.group, name) for name in full])
-            rest = [c for c in rows.columns if c not in (*self.same, "doc", "a")]
-            first = rows.groupBy(*self.same).agg(F.min(F.struct("doc", "a")).alias("f"), *[F.first(c).alias(c) for c in rest])
-            self.add(first.select(*self.same, "f.doc", "f.a", *rest), dealt=True)
+            # runs come in ascending order of documents, so of equal rows the older run's are first: each run adds what no older one has
+            key, older = self.same[0], []
+            for table in [self.store.table(self.group, name) for name in full]:
+                rows = table
+                for old in older:
+                    known = old.select(key, *[F.col(c).alias(f"_{c}") for c in self.same[1:]])
+                    alike = rows[key] == known[key]
+                    for c in self.same[1:]:
+                        alike &= rows[c] + F.lit(0) == known[f"_{c}"] + F.lit(0)  # no join keys, since only a join by the key leaves the runs where they are
+                    rows = rows.join(known, alike, "left_anti")
+                older.append(rows)
+            self.add(_union(older), dealt=True)
             self.merges += 1
             for name in full:
                 self.store.drop(self.group, name)
@@ -370,8 +378,7 @@ class SubstringIndex:
     @property
     def hot(self) -> DataFrame | None:
         """The grams that are hot."""
-        found = self.store.tables("hot")
-        return _union(found) if found else None
+        return self.store.rows("hot")
 
     def _hot(self, raw: DataFrame) -> DataFrame | None:
         """Grams of the batch that are hot but were not yet; None if there is none. A bucket holds HOT_SHARE of the least of them at most, so there are few."""
