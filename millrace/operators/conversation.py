@@ -50,7 +50,7 @@ def context(records: DataFrame, budget: int, key: str = "conv_id", uuid: str = "
     """
     once = Window.partitionBy(key, uuid).orderBy(time, F.col(score).desc())
     rows = records.withColumn("_once", F.row_number().over(once)).where("_once = 1").drop("_once")
-    rows = rows.withColumn("_system", F.lower(role) == "system").withColumn("_group", F.coalesce(F.col(call), F.col(uuid)) if call else F.col(uuid))
+    rows = rows.withColumn("_system", F.coalesce(F.lower(role) == "system", F.lit(False))).withColumn("_group", F.coalesce(F.col(call), F.col(uuid)) if call else F.col(uuid))
     room = rows.groupBy(key).agg((F.lit(budget) - F.sum(F.when(F.col("_system"), F.col(tokens)).otherwise(0))).alias("_room"), F.sum(tokens).alias("_all"))
     rows = rows.join(room, key)
     groups = rows.where(~F.col("_system")).groupBy(key, "_group").agg(F.sum(tokens).alias("n"), F.max(score).alias("s"), F.max(time).alias("t"), F.first("_room").alias("_room"), F.first("_all").alias("_all"))

@@ -111,14 +111,32 @@ def rouge_l(reference: Column, hypothesis: Column) -> Column:
     return of(reference, hypothesis)
 
 
-def best_rouge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = 256) -> DataFrame:
-    """Each text's best ROUGE-L F1 over all items (a bounded table, sent to every task): ``id_col``, ``item_col``, ``rouge``; ties go to the smaller item.
+def best_rouge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = 256, most_bytes: int = 8 << 20) -> DataFrame:
+    """Each text's best ROUGE-L F1 over all items: ``id_col``, ``item_col``, ``rouge``; ties go to the smaller item.
 
+    Items are counted by bytes first and sent to every task ``most_bytes`` at a time, so more of them mean more scans and not more memory.
     The subsequences of a block of items are computed at once: their words lie side by side in one number, with a free bit after each item for its carry.
     """
+    items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // most_bytes))
+    if parts == 1:
+        return _best_of_items(docs.select(F.col(id_col).cast("long"), text_col), items, id_col, text_col, item_col, block).drop("_row")
+    from millrace.operators.dedup import _cut
+
+    rows = _cut(docs.select(F.col(id_col).cast("long"), text_col))
+    found = [_best_of_items(rows, items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i), id_col, text_col, item_col, block) for i in range(parts)]
+    both = found[0]
+    for more in found[1:]:
+        both = both.union(more)
+    better = F.max(F.struct("rouge", (-F.col(item_col)).alias("item")))
+    return both.groupBy("_row", id_col).agg(better.alias("b")).select(id_col, (-F.col("b.item")).alias(item_col), F.col("b.rouge").alias("rouge"))
+
+
+def _best_of_items(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, block: int) -> DataFrame:
+    """The same with items that are few enough to be held, and ``_row``, which tells the rows apart."""
     import pyarrow as pa
 
-    known = sorted((r[0], (r[1] or "").split()) for r in items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), text_col).collect())
+    known = sorted((r.item, r.text.split()) for r in items.collect())
     known = docs.sparkSession.sparkContext.broadcast(known)
 
     def scan(batches):
@@ -134,9 +152,9 @@ def best_rouge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 best = int(score.argmax()) if len(score) else None
                 items_.append(None if best is None else int(ids[best]))
                 scores.append(0.0 if best is None else float(score[best]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items_, pa.int64()), pa.array(scores, pa.float64())], names=[id_col, item_col, "rouge"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(items_, pa.int64()), pa.array(scores, pa.float64())], names=[id_col, "_row", item_col, "rouge"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(scan, f"`{id_col}` long, `{item_col}` long, rouge double")
+    return docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row")).mapInArrow(scan, f"`{id_col}` long, _row long, `{item_col}` long, rouge double")
 
 
 def _side_by_side(texts: list[list[str]]) -> tuple[dict[str, int], int, np.ndarray, np.ndarray]:

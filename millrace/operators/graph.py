@@ -124,28 +124,61 @@ def keyword_neighbours(nodes: DataFrame, edges: DataFrame, keywords: DataFrame,
     return found.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("src", "dst", "type"))).where(F.col("n") <= k).drop("n")
 
 
-def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float, restart: float = 0.1, seed: int = 0, doubling: int = 4, neighbour_aware: bool = False) -> DataFrame:
+def label_quotas(nodes: DataFrame, label: str, wanted: int) -> DataFrame:
+    """``label``, ``quota``: the labels' shares of ``wanted`` nodes, whole numbers within one of the exact shares (largest remainders first, then the label)."""
+    from pyspark.sql import Window
+
+    by = nodes.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # a row for each label
+    own = by.select("label", F.floor(F.lit(wanted) * F.col("n") / total).alias("low"), F.pmod(F.lit(wanted) * F.col("n"), total).alias("rest"))
+    place = F.row_number().over(Window.orderBy(F.col("rest").desc(), F.col("label").asc_nulls_last()))
+    left = F.lit(wanted) - F.sum("low").over(Window.partitionBy())
+    return own.select("label", (F.col("low") + (place <= left).cast("int")).cast("long").alias("quota"))
+
+
+def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float, restart: float = 0.1, seed: int = 0, doubling: int = 4, neighbour_aware: bool = False, label: str | None = None, weight: str | None = None, hub: int = 10_000) -> DataFrame:
     """Ids met by seeded random walks with restarts until a share of the nodes is met, or all that can be reached.
 
-    A walker stands at each start. Each round it goes back to its start with the chance ``restart``, else to a neighbour: the one with the
-    smallest seeded hash, or, if aware of common neighbours, with the hash weighed by how few neighbours the two share.
+    A walker stands at each start. Each round it goes back to its start with the chance ``restart``, else to a neighbour: the winner of a seeded race, in which an edge is the faster the
+    larger its ``weight`` (a column of ``edges``; null and negative count as 0, which is never taken if another can be), times, if aware of common neighbours, the share of the neighbour's neighbours that the two haven't in common.
+    Nodes of more than ``hub`` edges are split into parts that race on their own before the parts' winners do.
     After each ``doubling`` rounds there are twice as many walkers at each start, so rounds grow with the logarithm of the number wanted.
+
+    ``label``: a column of ``nodes`` by which the sample is stratified. Each label has a quota, its share of the wanted number; the walks go on until every quota is met by the first
+    nodes of its label that they came to, or all reachable ones.
     """
+    from pyspark.sql import Window
+
     spark = nodes.sparkSession
     kind = dict(nodes.dtypes)["id"]
-    e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = _cut(e)
-    degree = _cut(e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))) if neighbour_aware else None
+    own = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    both = edges.select("src", "dst", own.alias("pull")).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), own.alias("pull")))
+    e = both.groupBy("src", "dst").agg(F.sum("pull").alias("pull") if weight else F.lit(1.0).alias("pull"))
+    degree = _cut(e.groupBy("src").agg(F.count(F.lit(1)).alias("k")))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("k") / hub)).cast("int")
+    e = _cut(e.join(degree, "src").select("src", "dst", "pull", F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part"), parts.alias("parts")))
     wanted = int(nodes.count() * ratio)
+    labelled = nodes.select("id", (F.col(label) if label else F.lit(None).cast("string")).alias("label")).dropDuplicates(["id"])
+    quotas = label_quotas(nodes, label, wanted) if label else spark.createDataFrame([(None, wanted)], "label string, quota long")
+    quotas = _cut(quotas)
+
+    def short(found: DataFrame) -> DataFrame:
+        """The labels whose quota the found ids don't fill, with how many there are."""
+        have = found.select("id").join(labelled, "id").groupBy("label").agg(F.count(F.lit(1)).alias("have"))
+        have = have.select(F.col("label").alias("_l"), "have")
+        each = quotas.join(have, F.col("label").eqNullSafe(F.col("_l")), "left").select("label", "quota", F.coalesce("have", F.lit(0)).alias("have"))
+        return each.where("have < quota")
+
     at = spark.createDataFrame([(i, s, s) for i, s in enumerate(starts)], f"walker int, start {kind}, id {kind}")
-    met = _cut(at.select("id").distinct())
-    reach = front = met
-    while reach.count() < wanted and not front.isEmpty():
+    met = _cut(at.groupBy("id").agg(F.lit(-1).alias("step")))
+    reach = front = _cut(met.select("id"))
+    while not front.isEmpty() and not short(reach).isEmpty():
         front = _cut(e.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(reach, "id", "left_anti"))
         reach = _cut(reach.union(front))
-    wanted = min(wanted, reach.count())
+    lacking = short(reach).select(F.col("label").alias("_l"), F.col("have").alias("most"))
+    quotas = _cut(quotas.join(lacking, F.col("label").eqNullSafe(F.col("_l")), "left").select("label", F.coalesce("most", "quota").alias("quota")))
     step = -1
-    while met.count() < wanted:
+    while not short(met).isEmpty():
         step += 1
         if step and step % doubling == 0:
             count = len(starts) << (step // doubling - 1)
@@ -153,16 +186,49 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
         chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker"), F.lit(1_000_000)) / 1e6
         move = at.withColumn("back", chance < restart)
         draw = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker", "dst"), F.lit(1_000_000)) + 1) / 1e6
-        near = move.join(e.select(F.col("src").alias("id"), "dst"), "id", "left").withColumn("w", F.lit(1.0))
+        dealt = move.join(degree.select(F.col("src").alias("id"), parts.alias("parts")), "id", "left")
+        dealt = dealt.select("walker", "start", "id", "back", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        near = dealt.join(e.select(F.col("src").alias("id"), "dst", "pull", "part"), ["id", "part"], "left").withColumn("w", F.col("pull"))
         if neighbour_aware:
             # Neighbours in common are counted for the walkers' own moves only, never for all pairs of nodes.
             steps = near.select("walker", "id", "dst").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("third")), "dst")
             shared = steps.join(e.select(F.col("src").alias("id"), F.col("dst").alias("third")), ["id", "third"], "left_semi").groupBy("walker", "dst").agg(F.count(F.lit(1)).alias("c"))
-            near = near.drop("w").join(shared, ["walker", "dst"], "left").join(degree.withColumnRenamed("src", "dst"), "dst", "left").withColumn("w", 1 - F.coalesce("c", F.lit(0)) / F.coalesce("k", F.lit(1)))
-        next_ = near.groupBy("walker", "start", "back").agg(F.min_by("dst", -F.log(draw) / F.greatest(F.col("w"), F.lit(1e-6))).alias("dst"))
+            near = near.drop("w").join(shared, ["walker", "dst"], "left").join(degree.withColumnRenamed("src", "dst"), "dst", "left").withColumn("w", F.col("pull") * (1 - F.coalesce("c", F.lit(0)) / F.coalesce("k", F.lit(1))))
+        race = -F.log(draw) / F.greatest(F.col("w"), F.lit(1e-6))
+        first = near.groupBy("walker", "start", "back", "part").agg(F.min_by(F.struct("dst", race.alias("t")), race).alias("b"))
+        next_ = first.groupBy("walker", "start", "back").agg(F.min_by("b.dst", "b.t").alias("dst"))
         at = _cut(next_.select("walker", "start", F.when(F.col("back") | F.col("dst").isNull(), F.col("start")).otherwise(F.col("dst")).alias("id")))
-        met = _cut(met.union(at.select("id")).distinct())
-    return met
+        met = _cut(met.union(at.select("id", F.lit(step).alias("step"))).groupBy("id").agg(F.min("step").alias("step")))
+    if not label:
+        return met.select("id")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("step", F.xxhash64(F.lit(seed), "id"), "id"))
+    first = met.join(labelled, "id").withColumn("n", place)
+    kept = first.join(quotas.withColumnRenamed("label", "_l"), F.col("label").eqNullSafe(F.col("_l"))).where(F.col("n") <= F.col("quota"))
+    return kept.select("id", "label")
+
+
+def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, directed: bool = True) -> None:
+    """The graph as a folder of JSON lines in node-link form: ``nodes`` (``id`` and what else a node has), ``links`` (``source``, ``target`` and what else an edge has) and ``graph``, its flags with both schemas.
+
+    Each part is written by the tasks that hold its rows; there is no row or task of the whole graph. The flags come last, so a folder without them is no graph.
+    """
+    links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), *[c for c in edges.columns if c not in ("src", "dst")])
+    nodes.write.option("ignoreNullFields", False).json(f"{path}/nodes")
+    links.write.option("ignoreNullFields", False).json(f"{path}/links")
+    head = [(directed, True, nodes.schema.json(), links.schema.json())]
+    nodes.sparkSession.createDataFrame(head, "directed boolean, multigraph boolean, nodes string, links string").coalesce(1).write.json(f"{path}/graph")
+
+
+def read_node_link(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges (``src``, ``dst``, ...) of a folder that ``write_node_link`` wrote, with the types they had."""
+    import json
+
+    from pyspark.sql import types as T
+
+    head = spark.read.schema("directed boolean, nodes string, links string").json(f"{path}/graph").first()
+    read = lambda part, schema: spark.read.schema(T.StructType.fromJson(json.loads(schema))).json(f"{path}/{part}")
+    links = read("links", head.links)
+    return read("nodes", head.nodes), links.select(F.col("source").alias("src"), F.col("target").alias("dst"), *[c for c in links.columns if c not in ("source", "target")])
 
 
 def register_views(nodes: DataFrame, edges: DataFrame, prefix: str = "") -> None:

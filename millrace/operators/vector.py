@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from millrace.functions.filters import payload_matches
 from millrace.functions.similarity import cosine_or_zero, inner_product, literal, normalised, similarity, squared_distance
 
-#: Queries that one step sends to every task.
-QUERIES = 20_000
+#: Bytes of queries that one step sends to every task, and parts of a list of an inverted file, which its queries meet one by one.
+BYTES, SALTS = 16 << 20, 8
 METRICS = {"cosine": cosine_or_zero, "dot": inner_product, "l2": lambda a, b: -F.sqrt(squared_distance(a, b))}
 
 
@@ -37,7 +37,7 @@ def above(found: DataFrame, threshold: float) -> DataFrame:
 def top_k_by_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_col: str = "query") -> DataFrame:
     """The k best rows for each query; ranks are limited before the shuffle.
 
-    Queries are sent to every task only up to QUERIES of them. A larger table is dealt into that many parts by its ids, which take
+    Queries are sent to every task only up to BYTES of them. A larger table is dealt into parts by its ids, which take
     their turns, so each step still sends a bounded table and keeps k rows a query.
     """
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
@@ -46,7 +46,7 @@ def top_k_by_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
         pairs = vectors.join(F.broadcast(part), how="cross").withColumn("score", METRICS[metric](F.col(vector_col), F.col(query_col)))
         return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
-    parts = -(-queries.count() // QUERIES)
+    parts = -(-(queries.agg(F.sum(8 * F.size(query_col) + 64)).first()[0] or 0) // BYTES)
     if parts <= 1:
         return best(queries)
     found = [best(queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == i)) for i in range(parts)]
@@ -131,9 +131,11 @@ class InvertedFile:
         own = normalised(F.col(query_col))
         near = F.array_sort(F.array(*[F.struct((-inner_product(own, literal(c))).alias("s"), F.lit(j).alias("j")) for j, c in enumerate(self.centres)]))
         asked = queries.withColumn("_near", F.explode(F.transform(F.slice(near, 1, probes), lambda x: x["j"])))
-        pairs = self.table.join(asked, self.table["list"] == asked["_near"]).withColumn("score", cosine_or_zero(F.col(self.vector_col), F.col(query_col)))
+        rows = self.table.withColumn("_salt", F.pmod(F.xxhash64(self.id_col), F.lit(SALTS)))
+        asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large list isn't one task's
+        pairs = rows.join(asked, (rows["list"] == asked["_near"]) & (rows["_salt"] == asked["_part"])).withColumn("score", cosine_or_zero(F.col(self.vector_col), F.col(query_col)))
         order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), self.id_col)
-        return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("_near")
+        return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("_near", "_salt", "_part")
 
 
 class QuantisedFile(InvertedFile):

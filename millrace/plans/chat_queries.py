@@ -43,7 +43,13 @@ def _(spark, d):
     return C.packed(_units(spark, d), 200, unit="turn").select("conv_id", "turn")
 
 
-@query("context_create")
+@query("context_create", """
+WITH RECURSIVE u AS (SELECT conv_id, turn, conv_id || '-' || turn AS uuid, len(string_split(coalesce(text, ''), ' '))::BIGINT AS n, (turn * 7) % 5 AS s, coalesce(lower(role) = 'system', false) AS lead FROM conversations),
+r AS (SELECT conv_id, 300 - coalesce(sum(n) FILTER (lead), 0) AS room, sum(n) AS total FROM u GROUP BY conv_id),
+o AS (SELECT u.*, room, total, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn DESC, uuid) AS k FROM u JOIN r USING (conv_id) WHERE NOT lead),
+f AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS used, NULL::VARCHAR AS uuid, false AS kept FROM r
+  UNION ALL SELECT f.conv_id, o.k, CASE WHEN f.used + o.n <= o.room THEN (f.used + o.n)::BIGINT ELSE f.used END, o.uuid, o.total <= 300 OR f.used + o.n <= o.room FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1)
+SELECT conv_id, uuid, row_number() OVER (PARTITION BY conv_id ORDER BY lead DESC, turn, s DESC, uuid) - 1 AS position FROM u WHERE lead OR uuid IN (SELECT uuid FROM f WHERE kept)""")
 def _(spark, d):
     return C.context(_units(spark, d), 300).select("conv_id", "uuid", "position")
 

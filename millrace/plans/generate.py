@@ -12,7 +12,7 @@ from millrace.functions.filters import InstructionFilter, scores_reach
 from millrace.functions.schemas import type_from_json_schema
 from millrace.operators.curation import few_shot
 from millrace.operators.dedup import _cut
-from millrace.operators.evaluation import rouge_filter
+from millrace.operators.rouge_join import unlike
 
 Model = Callable[[list[str]], list[str]]
 
@@ -55,8 +55,8 @@ def self_instruct(seeds: DataFrame, model: Model, rounds: int, candidates: int =
         examples = few_shot(seeds.select("instruction"), machine, "instruction", seed=seed + r)
         prompt = few_shot_prompt(examples).select("prompt", F.explode(F.sequence(F.lit(1), F.lit(candidates))).alias("i"))
         new = asked(prompt.select(F.concat("prompt", F.lit(" ("), "i", F.lit(")")).alias("prompt")), model).select(F.col("answer").alias("instruction")).distinct()
-        existing = [x.instruction for x in seeds.select("instruction").union(machine).collect()]
-        machine = _cut(machine.union(rouge_filter(new.where(filters.passes(F.col("instruction"))), existing, threshold, "instruction").select("instruction")))
+        existing = seeds.select("instruction").union(machine)
+        machine = _cut(machine.union(unlike(new.where(filters.passes(F.col("instruction"))), existing, threshold, "instruction").select("instruction")))
     return machine
 
 

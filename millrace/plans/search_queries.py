@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import similarity as S
 from millrace.operators import dedup, retrieval, vector
 from millrace.plans.catalog import query, table
+from millrace.plans.index_queries import keyword_index
 
 #: A query vector that needs no table: 64 numbers by rule.
 PROBE = [((7 * i) % 13 - 6) / 10 for i in range(64)]
@@ -193,7 +194,7 @@ s AS (SELECT id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS
 @query("bm25_topk", f"""{_BM25}
 SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY score DESC, id LIMIT 50""")
 def _(spark, d):
-    return _shown(retrieval.bm25_top_k(table(spark, d, "documents"), _QUERY, 50))
+    return _shown(keyword_index(spark, d).search(_QUERY, 50))
 
 
 @query("rrf_fusion", """
@@ -215,7 +216,7 @@ SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, id)
 def hybrid_retrieval(spark, d):
     """Documents by their embedding and by their words, fused."""
     by_vector = vectors(spark, d).select("id", S.cosine_or_zero(F.col("vector"), S.literal(PROBE)).alias("score"))
-    found = retrieval.hybrid(by_vector, retrieval.bm25_scores(table(spark, d, "documents"), _QUERY), 20, threshold=0.1)
+    found = retrieval.hybrid(by_vector, keyword_index(spark, d).search(_QUERY, 50).select("id", "score"), 20, threshold=0.1)
     return found.select("id", F.round("score", 9).alias("score"), "rank")
 
 

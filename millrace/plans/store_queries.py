@@ -10,10 +10,10 @@ from millrace.functions import parsing as X
 from millrace.functions import text as T
 from millrace.operators import graph as G
 from millrace.operators import verify as V
-from millrace.operators.vector import upsert
 from millrace.plans import generate
 from millrace.plans.catalog import query, table
-from millrace.sources import readers, sheets
+from millrace.plans.file_queries import folder
+from millrace.sources import readers, sheets, sinks
 from millrace.streaming import streams
 
 
@@ -62,12 +62,18 @@ def _(spark, d):
 @query("hub_upsert", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN 0::DOUBLE ELSE p_retailprice END AS price FROM part")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("price"))
-    return upsert(p, p.where("p_partkey % 3 = 0").withColumn("price", F.lit(0.0)), "p_partkey")
+    hub = sinks.Hub(spark, folder(spark))
+    hub.add("parts", p, "p_partkey")
+    hub.update("parts", p.where("p_partkey % 3 = 0").withColumn("price", F.lit(0.0)))
+    return hub.records("parts")
 
 
 @query("hub_delete", "SELECT p_partkey FROM part WHERE p_partkey <> 7")
 def _(spark, d):
-    return table(spark, d, "part").where(~F.col("p_partkey").eqNullSafe(F.lit(7))).select("p_partkey")
+    hub = sinks.Hub(spark, folder(spark))
+    hub.add("parts", table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    hub.delete("parts", 7)
+    return hub.records("parts").select("p_partkey")
 
 
 @query("dataset_validated", "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND role = 'user'")
@@ -177,7 +183,7 @@ def _(spark, d):
     return streams.windowed_counts(table(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-@query("generate_stub")
+@query("generate_stub", "SELECT item_id, text AS prompt, 'answer to ' || length(text) || ' characters' AS answer FROM benchmark")
 def _(spark, d):
     rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"))
     return generate.asked(rows, lambda prompts: [f"answer to {len(p)} characters" for p in prompts])

@@ -43,18 +43,18 @@ def _(spark, d):
 
 
 @query("filter_failed_names", f"""
-SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT {_WORDS} BETWEEN 5 AND 200 THEN 'length' END, CASE WHEN contains(lower(text), 'password') THEN 'keyword' END,
-  CASE WHEN NOT regexp_matches(text, '^[A-Za-z]') THEN 'non_english' END], lambda x: x IS NOT NULL), ',') AS failed FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT {_WORDS} BETWEEN 5 AND 200 THEN 'length' END, CASE WHEN coalesce(contains(lower(text), 'password'), true) THEN 'keyword' END,
+  CASE WHEN NOT coalesce(regexp_matches(text, '^[A-Za-z]'), false) THEN 'non_english' END], lambda x: x IS NOT NULL), ',') AS failed FROM documents""")
 def _(spark, d):
     own = P.InstructionFilter({"length": {}, "keyword": {"keywords": ["password"]}, "non_english": {}})
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(own.failed(F.col("text")), ",").alias("failed"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(own.failed(F.col("text")), ",").alias("failed"))
 
 
 @query("filter_first_failure", f"""
-SELECT doc_id, CASE WHEN NOT {_WORDS} BETWEEN 5 AND 200 THEN 'length' WHEN NOT regexp_matches(text, '^[A-Za-z]') THEN 'non_english' ELSE '' END AS failed FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, CASE WHEN NOT {_WORDS} BETWEEN 5 AND 200 THEN 'length' WHEN NOT coalesce(regexp_matches(text, '^[A-Za-z]'), false) THEN 'non_english' ELSE '' END AS failed FROM documents""")
 def _(spark, d):
     own = P.InstructionFilter({"length": {}, "non_english": {}}, stop_on_first_failure=True)
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(own.failed(F.col("text")), ",").alias("failed"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(own.failed(F.col("text")), ",").alias("failed"))
 
 
 _QUALITY = r"(length({0}) - length(replace({0}, '.', '')) >= 2 AND (length({0}) - length(regexp_replace({0}, '[^\p{{L}}\p{{N}}\s\x0B\x85\p{{Z}}]', '', 'g'))) / nullif(length({0}), 0)::DOUBLE <= 0.3)"
@@ -78,9 +78,15 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", P.task_content_ok(F.col("text"), 10, output=True).alias("ok"))
 
 
-@query("task_result_insufficient", f"WITH t AS (SELECT conv_id, turn, {_trim('text')} AS t FROM conversations) SELECT conv_id, turn FROM t WHERE NOT coalesce(t <> '' AND NOT ({_FAILS}), false)")
+#: Results that own up to a failure in different ways, or are blank, beside plain ones.
+_RESULTS = f"(SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN ' ' || chr(9) WHEN 1 THEN '  {P.FAILURE_STARTS[0].upper()}: ' || text WHEN 2 THEN text || ' {P.FAILURE_PHRASES[0]}' WHEN 3 THEN NULL ELSE text END AS text FROM conversations)"
+
+
+@query("task_result_insufficient", f"WITH t AS (SELECT conv_id, turn, {_trim('text')} AS t FROM {_RESULTS}) SELECT conv_id, turn FROM t WHERE NOT coalesce(t <> '' AND NOT ({_FAILS}), false)")
 def _(spark, d):
-    return table(spark, d, "conversations").where(~P.task_content_ok(F.col("text"), 1, output=True)).select("conv_id", "turn")
+    kind, text = F.col("conv_id") % 6, F.col("text")
+    said = F.when(kind == 0, " \t").when(kind == 1, F.concat(F.lit(f"  {P.FAILURE_STARTS[0].upper()}: "), text)).when(kind == 2, F.concat(text, F.lit(f" {P.FAILURE_PHRASES[0]}"))).when(kind > 3, text)
+    return table(spark, d, "conversations").where(~P.task_content_ok(said, 1, output=True)).select("conv_id", "turn")
 
 
 @query("payload_filter", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '1' OR (event_type = 'click' AND json_valid(props))")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.dedup import _cut
+
 
 def column_number(letters: str) -> int:
     n = 0
@@ -29,12 +31,24 @@ def range_address(reference: str) -> tuple[int, int, int, int]:
     return min(r1, r2), min(c1, c2), max(r1, r2), max(c1, c2)
 
 
+def numbered(df: DataFrame, order: str, name: str = "row") -> DataFrame:
+    """Rows with their number, from 1, in order of a column (nulls first). Ranges of the order are sorted by tasks of their own; what comes together is one count for each range."""
+    at = [c for c in ("_at", "_at_", "_at__") if c not in df.columns][0]
+    placed = _cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)  # the number of a row begins with its range's number
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    here = F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(starts, part == F.col("_part")).withColumn(name, here.cast("int")).drop(at, "_part", "_before")
+
+
 def cells(df: DataFrame, sheet: str, order: str) -> DataFrame:
     """A table as cells; its rows are numbered in order of a column."""
     names = [c for c in df.columns]
-    rows = df.withColumn("row", F.row_number().over(Window.orderBy(order)))
+    rows = numbered(df, order, "_row")
     each = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("col"), F.col(c).cast("string").alias("value")) for i, c in enumerate(names)]))
-    return rows.select(F.lit(sheet).alias("sheet"), "row", each.alias("c")).select("sheet", "row", "c.col", "c.value")
+    return rows.select(F.lit(sheet).alias("sheet"), F.col("_row").alias("row"), each.alias("c")).select("sheet", "row", "c.col", "c.value")
 
 
 def _in(sheet: str):

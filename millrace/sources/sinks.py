@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.vector import upsert
+from millrace.sources.versions import Files, VersionedTable
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
@@ -16,10 +16,20 @@ def clean_numbers(df: DataFrame) -> DataFrame:
 
 
 def save_json(df: DataFrame, path: str) -> None:
-    """JSON lines in one file of a folder; the commit of the files is atomic."""
+    """JSON lines in one file of a folder. A reader may meet the folder while it is replaced; ``save_results`` has no such moment."""
     clean_numbers(df).coalesce(1).write.mode("overwrite").json(path)
 
 
+def save_results(df: DataFrame, path: str, key: str | None = None) -> int:
+    """Results as a versioned table at ``path``, NaN and infinities as null: made if there is none, else those with the same key replaced and others added (without a key, all replaced). Readers see
+    the version before or after, whatever fails in between. The new version."""
+    table = VersionedTable(df.sparkSession, path)
+    if not table.version():
+        VersionedTable.create(df.sparkSession, path, clean_numbers(df), key)
+        return 1
+    return table.upsert(clean_numbers(df)) if key else table.replace(clean_numbers(df))
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -46,53 +56,39 @@ def markdown_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class Hub:
-    """Named datasets of records below a folder: add, update, delete, list."""
+    """Named datasets of records below a folder, each a versioned table: add, update, delete, list, with a card and a history."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def _fs(self, path: str):
-        own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return own, own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def dataset(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/{name}")
 
     def exists(self, name: str) -> bool:
-        path, fs = self._fs(self._path(name))
-        return fs.exists(path)
+        return self.dataset(name).version() > 0
 
     def names(self) -> list[str]:
-        path, fs = self._fs(self.root)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        return [n for n in self.files.names(self.root) if n[0] not in "._" and self.exists(n)]
 
     def drop(self, name: str) -> None:
-        path, fs = self._fs(self._path(name))
-        fs.delete(path, True)
-
-    def add(self, name: str, records: DataFrame) -> None:
-        """Fails if the dataset is there."""
-        records.write.mode("errorifexists").parquet(self._path(name))
-
-    def records(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
-
-    def _swap(self, name: str, rows: DataFrame) -> None:
-        """Writes beside and renames, since a table can't be overwritten while it is read."""
-        side = f"{self.root}/.{name}.next"
-        rows.write.mode("overwrite").parquet(side)
-        (old, fs), (new, _) = self._fs(self._path(name)), self._fs(side)
-        fs.delete(old, True)
-        fs.rename(new, old)
-
-    def update(self, name: str, records: DataFrame, id_col: str = "id") -> None:
-        """Upserts by id, the new record winning."""
-        if not self.exists(name):
-            raise ValueError(f"no dataset {name!r}")
-        self._swap(name, upsert(self.records(name), records, id_col))
+        self.files.delete(f"{self.root}/{name}")
+
+    def add(self, name: str, records: DataFrame, id_col: str = "id", card: str = "") -> None:
+        """Fails if the dataset is there. Records with an ``id_col``, which must be distinct, can be updated by it."""
+        VersionedTable.create(self.spark, f"{self.root}/{name}", records, id_col if id_col in records.columns else None, card=card)
+
+    def records(self, name: str, version: int | None = None) -> DataFrame:
+        return self.dataset(name).read(version)
+
+    def card(self, name: str) -> str:
+        return self.dataset(name).card()
+
+    def update(self, name: str, records: DataFrame, expected: int | None = None) -> int:
+        """Upserts by the dataset's id, the new record winning; the new version. Fails if there is no such dataset, or if ``expected`` isn't its last version."""
+        return self.dataset(name).upsert(records, expected)
 
-    def delete(self, name: str, record_id, id_col: str = "id") -> None:
-        self._swap(name, self.records(name).where(~F.col(id_col).eqNullSafe(F.lit(record_id))))
+    def delete(self, name: str, record_id, expected: int | None = None) -> int:
+        return self.dataset(name).delete([record_id], expected=expected)
 
 
 class KeyValueLog:
