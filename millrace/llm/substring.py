@@ -335,6 +335,9 @@ class Runs:
                         alike &= rows[c] + F.lit(0) == known[f"_{c}"] + F.lit(0)  # no join keys, since only a join by the key leaves the runs where they are
                     rows = rows.join(known, alike, "left_anti")
                 older.append(rows)
+            # grouped (each row is one already), so that the plan reads the oldest run by its buckets too
+            rest = [c for c in older[0].columns if c not in self.same]
+            older[0] = older[0].groupBy(*self.same).agg(*[F.first(c).alias(c) for c in rest]).select(older[0].columns)
             self.add(_union(older), dealt=True)
             self.merges += 1
             for name in full:
@@ -455,7 +458,7 @@ class SubstringIndex:
             return self.spark.createDataFrame([], _REPEAT)
         read = [t for s, t in zip(self.store.segments("texts"), self.store.tables("texts"), strict=True) if s["low"] <= high and s["high"] >= low]
         texts = _union([_listed(t, lists, "inner").select("doc", "text", "at", "hot") for t in read])
-        found = written(texts.mapInArrow(_windows, "w1 long, w2 long, doc long, a int, hot boolean"), "run-windows")
+        found = written(texts.mapInArrow(_windows, "w1 long, w2 long, doc long, a int, hot boolean").coalesce(self.stretches.buckets), "run-windows")
         firsts = found.groupBy("w1", "w2").agg(F.min(F.struct("doc", "a")).alias("first"), F.count(F.lit(1)).alias("c"), F.max("hot").alias("hot"))
         earliest = firsts.where("c > 1").select("w1", "w2", "first")
         if any_hot:
@@ -502,7 +505,7 @@ class SubstringIndex:
 
     def _pass(self, texts: list[DataFrame], listed: DataFrame) -> DataFrame:
         lists = written(listed.groupBy("doc").agg(F.collect_list("p").alias("at")), "removed-lists")
-        return _union([_listed(t, lists, "left").select("doc", "text", "at").mapInArrow(_passed, _PASSED) for t in texts])
+        return _union([_listed(t, lists, "left").select("doc", "text", "at").mapInArrow(_passed, _PASSED) for t in texts]).coalesce(self.stretches.buckets)
 
     def close(self) -> None:
         """Ends the use of the index; one without a path of its own goes with all its files."""
