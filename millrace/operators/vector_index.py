@@ -56,7 +56,7 @@ class VectorLists:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.log, self.files = Log(spark, f"{self.path}/log"), Files(spark)
-        self.state = {"folders": [], "rows": 0, "fitted": 0, "lists": {}, "probes": None} | self.log.read()
+        self.state = {"folders": {}, "rows": 0, "fitted": 0, "lists": {}, "probes": None} | self.log.read()
         self._centres = None
 
     @property
@@ -86,16 +86,16 @@ class VectorLists:
         if not self.state["version"]:
             if rows.isEmpty():
                 return
-            self._publish(rows, self.fit(vectors, vector_col, **fit), [], {})
+            self._publish(rows, self.fit(vectors, vector_col, **fit), {}, {})
         else:
             self._publish(rows, None, self.state["folders"], self.state["lists"])
 
     def refit(self, **fit) -> None:
         """All rows in lists anew, as many as their number now asks for."""
         rows = self.rows().select("id", "vector")
-        self._publish(rows, self.fit(rows, **fit), [], {})
+        self._publish(rows, self.fit(rows, **fit), {}, {})
 
-    def _publish(self, rows: DataFrame, centres: np.ndarray | None, folders: list[str], counts: dict[str, int]) -> None:
+    def _publish(self, rows: DataFrame, centres: np.ndarray | None, folders: dict[str, list[int]], counts: dict[str, int]) -> None:
         own, change = self.centres if centres is None else centres, {}
         width = own.shape[1]
 
@@ -111,9 +111,10 @@ class VectorLists:
             self.spark.createDataFrame(made, "list int, centre array<double>").write.parquet(f"{self.path}/{change['centres']}")
         # rebalanced: a list's rows come into few files, and a large list isn't one task's
         rows.mapInArrow(assign, "id long, vector array<double>, list int").hint("rebalance", "list").write.partitionBy("list").parquet(f"{self.path}/{folder}")
-        new = {str(r["list"]): r["count"] for r in self._read([folder]).groupBy("list").count().collect()}
+        own = self._open([f"{self.path}/{folder}"], f"{self.path}/{folder}")
+        new = {str(r["list"]): r["count"] for r in own.groupBy("list").count().collect()}
         counts = {j: counts.get(j, 0) + new.get(j, 0) for j in {*counts, *new}}
-        state = self.state | change | {"folders": [*folders, folder], "lists": counts, "rows": sum(counts.values())}
+        state = self.state | change | {"folders": folders | {folder: sorted(int(j) for j in new)}, "lists": counts, "rows": sum(counts.values())}
         if centres is not None:
             state["fitted"], self._centres = state["rows"], np.asarray(centres)
         self.state = state | {"version": self.log.commit(state, self.state["version"])}
@@ -123,17 +124,19 @@ class VectorLists:
         """Whether the table has four times the rows that its lists were made for."""
         return self.state["rows"] > 4 * self.state["fitted"]
 
-    def _read(self, folders: list[str], lists: Sequence[int] | None = None) -> DataFrame:
-        out = None
-        for folder in folders:
-            rows = self.spark.read.schema("id long, vector array<double>, list int").parquet(f"{self.path}/{folder}")
-            rows = rows if lists is None else rows.where(F.col("list").isin([int(j) for j in lists]))
-            out = rows if out is None else out.union(rows)
-        return out
+    def _open(self, paths: list[str], base: str) -> DataFrame:
+        return self.spark.read.schema("id long, vector array<double>, list int").option("basePath", base).parquet(*paths)
 
     def rows(self, lists: Sequence[int] | None = None) -> DataFrame:
-        """``id``, ``vector``, ``list`` of the given lists, or of all; no files of others are read."""
-        return self._read(self.state["folders"], lists)
+        """``id``, ``vector``, ``list`` of the given lists, or of all; no folders of others are listed or read."""
+        wanted, out = None if lists is None else {int(j) for j in lists}, None
+        for folder, own in self.state["folders"].items():
+            base = f"{self.path}/{folder}"
+            paths = [base] if wanted is None else [f"{base}/list={j}" for j in own if j in wanted]
+            if paths:
+                part = self._open(paths, base)
+                out = part if out is None else out.union(part)
+        return self.spark.createDataFrame([], "id long, vector array<double>, list int") if out is None else out
 
     def nearest_lists(self, queries: np.ndarray, probes: int) -> np.ndarray:
         """The numbers of the lists nearest each unit vector."""

@@ -72,7 +72,7 @@ class _InOrder(StatefulProcessor):
         new = [tuple(None if pd.isna(v) else v for v in r) for part in rows for r in part[["at_micros", "at_order", *self.fold.fields]].itertuples(index=False)]
         if new:
             self.waiting.appendList([(int(r[0]), int(r[1]), *r[2:]) for r in new])
-            self._wake(min(int(r[0]) for r in new))
+            self._wake(min(int(r[0]) for r in new), timerValues)
         yield pd.DataFrame(columns=self.names)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -88,13 +88,13 @@ class _InOrder(StatefulProcessor):
             self.waiting.appendList(later)
         due = self.fold.due(state)
         if (then := min([e[0] for e in later] + ([] if due is None else [due]), default=None)) is not None:
-            self._wake(then)
+            self._wake(then, timerValues)
         yield pd.DataFrame([(key[0], *r) for r in out], columns=self.names)
 
-    def _wake(self, at: int) -> None:
-        """A timer at the first whole millisecond behind ``at``, if none is earlier."""
+    def _wake(self, at: int, timerValues: Any) -> None:
+        """A timer at the first whole millisecond behind ``at``, if none to come is earlier."""
         ms = at // 1000 + 1
-        if not any(t <= ms for t in self.handle.listTimers()):
+        if not any(timerValues.getCurrentWatermarkInMs() < t <= ms for t in self.handle.listTimers()):
             self.handle.registerTimer(ms)
 
     def close(self) -> None:
