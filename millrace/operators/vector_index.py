@@ -8,7 +8,7 @@ sample of rows, and keeps it with the index.
 
 ``NeighbourGraph`` holds for every vector its nearest others, found by descent: exact neighbours within blocks of rows that
 are close by a random direction, then rounds in which each node introduces its neighbours (and those it is a neighbour of) to each other, until hardly an
-edge changes. A search starts at ENTRIES nodes and walks all queries at once: each round follows the edges of the best nodes not yet followed,
+edge changes. A search starts at ENTRIES times the root of the number of nodes (groups of near vectors may have no edge to others) and walks all queries at once: each round follows the edges of the best nodes not yet followed,
 until each query's beam has been.
 
 Scores are cosines; 0 for zero vectors. Null vectors aren't indexed, rows without an id neither in the graph. Vectors of another length than the first raise. Ties go to
@@ -33,8 +33,8 @@ from millrace.sources.versions import Files, Log
 
 #: Sampled vectors for each list, and at most; lists at most; rows of a list and queries that one task multiplies.
 SAMPLE, MOST_SAMPLED, MOST_LISTS, ROWS, QUERIES = 64, 100_000, 8192, 8192, 2048
-#: Neighbours of a node, rounds at most, share of edges whose change is worth another round; rows of a block that are all compared at first; nodes that a search starts from.
-DEGREE, ROUNDS, STILL, BLOCK, ENTRIES = 24, 12, 0.002, 512, 32
+#: Neighbours of a node, rounds at most, share of edges whose change is worth another round; rows of a block that are all compared at first; nodes that a search starts from, times the root of their number, and their bytes at most.
+DEGREE, ROUNDS, STILL, BLOCK, ENTRIES, ENTRY_BYTES = 24, 12, 0.002, 512, 4, 8 << 20
 _HITS = "query_id long, id long, score double, list int"
 
 
@@ -238,7 +238,7 @@ class NeighbourGraph:
                 break
         out = edges.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("near"))
         self.store.add("edges", out.withColumnRenamed("u", "id"), "id", ("id",))
-        entries = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(ENTRIES).select("id", "vector")
+        entries = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(1, min(32 + ENTRIES * math.isqrt(n), ENTRY_BYTES // (8 * max(1, width))))).select("id", "vector")
         self.store.add("entries", entries, "id")
         self.store.commit(nodes=n, degree=degree)
         return changed
@@ -285,7 +285,7 @@ class NeighbourGraph:
         asked = _cut(queries.where(F.col(query_col).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), normalised(F.col(query_col)).alias("query")))
         score = F.round(cosine_or_zero(F.col("vector"), F.col("query")), 12).alias("score")
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-        first = asked.crossJoin(F.broadcast(entries)).select("query_id", "id", score, F.lit(True).alias("open"))  # ENTRIES rows
+        first = asked.crossJoin(F.broadcast(entries)).select("query_id", "id", score, F.lit(True).alias("open"))  # of ENTRY_BYTES at most
         seen = _cut(first)
         held = _cut(seen.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(beam, k)).drop("n"))
         while True:
