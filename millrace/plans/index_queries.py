@@ -166,10 +166,10 @@ WITH m AS (SELECT conv_id, turn, sum(coalesce(contains(lower(text), 'the'), fals
 SELECT conv_id, min(turn) AS turn FROM m WHERE a >= 2 OR b >= 2 GROUP BY conv_id""")
 def _(spark, d):
     """When a conversation's words end it, over turns that come out of order."""
-    rows = table(spark, d, "conversations").select("conv_id", F.timestamp_seconds("turn").alias("ts"), "text")
+    rows = table(spark, d, "conversations").select("conv_id", F.timestamp_seconds(F.col("turn") + 1_000_000_000).alias("ts"), "text")
     stream, root = _live(spark, rows, "conv_id", "ts")
     found = ordered.in_order(stream, "conv_id", "ts", ordered.WordsMet("text", {"the": 2, "die": 2}), "30 days")
-    return _run(found, root).select("conv_id", F.floor(F.col("at") / 1_000_000).alias("turn"))
+    return _run(found, root).select("conv_id", (F.floor(F.col("at") / 1_000_000) - 1_000_000_000).alias("turn"))
 
 
 @query("growing_lines", "SELECT conv_id, turn, text FROM conversations")

@@ -3,7 +3,8 @@
 A ``Fold`` says what an event does to a key's state and what comes out. ``in_order`` runs it over a stream whose events come out of order: a key's events wait in a list
 state until the watermark has passed them, then the state steps through them by time; a timer at the earliest waiting event wakes the key. A state may
 also change by itself at a time it names (a lease that ends), for which another timer stands. ``folded`` runs the same fold over a table, so
-both give the same rows for all events up to the watermark. Events later than the watermark when they come are left out, as in any operator with a watermark.
+both give the same rows for all events up to the watermark. Events later than the watermark when they come are left out, as in any operator with a watermark; it
+begins at 1970-01-01, so events of that moment or before are too.
 
 State lives in RocksDB: set ``spark.sql.streaming.stateStore.providerClass`` to ``PROVIDER`` before the stream starts.
 """
