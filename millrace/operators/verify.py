@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import math
 import signal
 import time
 from collections.abc import Callable, Iterator
@@ -18,11 +17,11 @@ from millrace.functions.text import physics_number, tolerance, value_and_unit
 
 
 def close(a, b, tolerance: float = 1e-6) -> bool:
-    """Equality with a tolerance for numbers, through lists, tuples, dictionaries and sets."""
+    """Equality with an absolute tolerance for numbers, through lists, tuples, dictionaries and sets. Whole numbers of any size are told apart."""
     if isinstance(a, bool) or isinstance(b, bool):
         return a is b
     if isinstance(a, int | float) and isinstance(b, int | float):
-        return (math.isnan(a) and math.isnan(b)) or abs(a - b) <= tolerance * max(1, abs(b))
+        return a == b or (a != a and b != b) or abs(a - b) <= tolerance
     if type(a) is not type(b):
         return False
     if isinstance(a, list | tuple):
