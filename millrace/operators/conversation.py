@@ -187,9 +187,9 @@ def token_count(messages: DataFrame, count: Column, key: str = "conv_id", per_me
 
 
 def image_tokens(width: Column, height: Column, low: Column) -> Column:
-    """85 in low detail; else the picture is fitted in 2048, its shorter side brought to 768, and costs 85 and 170 a tile of 512."""
+    """85 in low detail; else the picture is fitted in 2048, its shorter side brought to 768, and costs 85 and 170 a tile of 512. Null if a side vanishes when it is fitted."""
     shrink = F.greatest(F.lit(1.0), F.greatest(width, height) / 2048.0)
     w, h = F.floor(width / shrink), F.floor(height / shrink)
     scale = F.least(w, h) / 768.0
-    tiles = F.ceil(F.floor(h / scale) / 512.0) * F.ceil(F.floor(w / scale) / 512.0)
+    tiles = F.ceil(F.floor(F.try_divide(h, scale)) / 512.0) * F.ceil(F.floor(F.try_divide(w, scale)) / 512.0)
     return F.when(low, F.lit(85)).otherwise(85 + 170 * tiles).cast("long")
