@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.dedup import _cut, few
 
@@ -81,11 +83,17 @@ def kpis(log: DataFrame, roots: DataFrame | None = None, task: str = "task_id",
     return sums.select("*", (F.col("created") - F.col("completed") - F.col("failed")).alias("pending"), F.try_divide(F.col("completed"), F.col("seconds")).alias("per_second"), (F.try_divide(F.col("completed"), F.col("seconds")) * 60).alias("per_minute"))
 
 
-def utilisation(log: DataFrame, roots: DataFrame | None = None, task: str = "task_id", kind: str = "event_type", worker: str = "worker_id") -> DataFrame:
-    """``worker_id``, ``handled``, ``share`` (per cent, two places): tasks completed or failed by each worker."""
+@F.pandas_udf(T.StringType())
+def _percent(x: pd.Series) -> pd.Series:
+    """Two places of the number's exact binary value, as C prints it; Java's formatter rounds its shortest decimal form (0.125 and 1.005 up)."""
+    return x.map(lambda v: f"{v:.2f}%", na_action="ignore")
+
+
+def utilisation(log: DataFrame, roots: DataFrame | None = None, task: str = "task_id", kind: str = "event_type", worker: str = "worker_id", unnamed: bool = False) -> DataFrame:
+    """``worker_id``, ``handled``, ``share`` (per cent, two places): tasks completed or failed by each worker, and if ``unnamed`` those of no worker."""
     rows = log.where(F.col(kind).isin("task_completed", "task_failed"))
     if roots is not None:
         rows = rows.join(roots.select(task), task, "left_anti")
     by = rows.groupBy(worker).agg(F.count(F.lit(1)).alias("handled"))
     total = F.sum("handled").over(Window.partitionBy())
-    return by.select(worker, "handled", F.format_string("%.2f%%", 100.0 * F.col("handled") / total).alias("share")).where(F.col(worker).isNotNull())
+    return by.select(worker, "handled", _percent(100.0 * F.col("handled") / total).alias("share")).where(F.col(worker).isNotNull() | F.lit(unnamed))
