@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import graph_identifier, relation_name
@@ -136,12 +136,41 @@ def label_quotas(nodes: DataFrame, label: str, wanted: int) -> DataFrame:
     return own.select("label", (F.col("low") + (place <= left).cast("int")).cast("long").alias("quota"))
 
 
+#: Walkers that are sent to the graph's tasks; more are shuffled with it.
+WALKERS = 100_000
+
+
+def _drawn(*by) -> Column:
+    """A number from 0 up to, but not, 1 that follows from the values alone."""
+    return F.shiftrightunsigned(F.xxhash64(*by), 12) / float(1 << 52)
+
+
+def _wheels(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a draw of an edge by its weight looks up, whatever the degree: ``src``, ``wheel`` (its parts, each a span of the node's weight), and the edges of each part by slot.
+
+    A part of m edges has m slots of equal width, and an edge stands in all that its span meets: 2 m rows at most, of which a draw meets two on average.
+    """
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("src", "part").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+    spans = e.withColumn("hi", F.sum(F.greatest(F.col("pull"), F.lit(1e-6))).over(own))
+    spans = _cut(spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy("src", "part").orderBy("dst")), F.lit(0.0))).select("src", "part", "dst", "lo", "hi"))
+    whole = _cut(spans.groupBy("src", "part").agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("m")))
+    slot = lambda x: F.least(F.floor(F.col(x) / F.col("total") * F.col("m")), F.col("m") - 1)
+    slots = spans.join(whole, ["src", "part"]).select("src", "part", "dst", "lo", "hi", F.explode(F.sequence(slot("lo"), slot("hi"))).alias("slot"))
+    upto = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    turned = whole.withColumn("end", F.sum("total").over(upto))
+    wheel = turned.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("end", "part", "total", "m"))).alias("wheel"))
+    return _cut(wheel), _cut(slots.where("hi > lo"))
+
+
 def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float, restart: float = 0.1, seed: int = 0, doubling: int = 4, neighbour_aware: bool = False, label: str | None = None, weight: str | None = None, hub: int = 10_000) -> DataFrame:
     """Ids met by seeded random walks with restarts until a share of the nodes is met, or all that can be reached.
 
     A walker stands at each start. Each round it goes back to its start with the chance ``restart``, else to a neighbour: the winner of a seeded race, in which an edge is the faster the
     larger its ``weight`` (a column of ``edges``; null and negative count as 0, which is never taken if another can be), times, if aware of common neighbours, the share of the neighbour's neighbours that the two haven't in common.
-    Nodes of more than ``hub`` edges are split into parts that race on their own before the parts' winners do.
+    Nodes of more than ``hub`` edges are split into parts that race on their own before the parts' winners do. If not aware of common neighbours, a race is decided by one draw
+    from the node's summed weights, with the same chances, so that a step costs a walker two rows and not all edges of its node.
     After each ``doubling`` rounds there are twice as many walkers at each start, so rounds grow with the logarithm of the number wanted.
 
     ``label``: a column of ``nodes`` by which the sample is stratified. Each label has a quota, its share of the wanted number; the walks go on until every quota is met by the first
@@ -158,7 +187,7 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
     parts = F.greatest(F.lit(1), F.ceil(F.col("k") / hub)).cast("int")
     e = _cut(e.join(degree, "src").select("src", "dst", "pull", F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part"), parts.alias("parts")))
     wanted = int(nodes.count() * ratio)
-    labelled = nodes.select("id", (F.col(label) if label else F.lit(None).cast("string")).alias("label")).dropDuplicates(["id"])
+    labelled = _cut(nodes.select("id", (F.col(label) if label else F.lit(None).cast("string")).alias("label")).dropDuplicates(["id"]))
     quotas = label_quotas(nodes, label, wanted) if label else spark.createDataFrame([(None, wanted)], "label string, quota long")
     quotas = _cut(quotas)
 
@@ -177,28 +206,67 @@ def walk_sample(nodes: DataFrame, edges: DataFrame, starts: list, ratio: float,
         reach = _cut(reach.union(front))
     lacking = short(reach).select(F.col("label").alias("_l"), F.col("have").alias("most"))
     quotas = _cut(quotas.join(lacking, F.col("label").eqNullSafe(F.col("_l")), "left").select("label", F.coalesce("most", "quota").alias("quota")))
-    step = -1
-    while not short(met).isEmpty():
-        step += 1
-        if step and step % doubling == 0:
-            count = len(starts) << (step // doubling - 1)
-            at = _cut(at.union(at.select((F.col("walker") + count).cast("int").alias("walker"), "start", "id")))
+    if not neighbour_aware:
+        wheels, slots = _wheels(e)
+        at = _cut(at.join(wheels.select(F.col("src").alias("id")), "id", "left_semi").select("walker", "start", "id"))  # a start without an edge has been met
+
+    def race(at: DataFrame, step: int) -> DataFrame:
+        """Where each walker goes: all edges of its node are compared."""
         chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker"), F.lit(1_000_000)) / 1e6
         move = at.withColumn("back", chance < restart)
         draw = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "walker", "dst"), F.lit(1_000_000)) + 1) / 1e6
         dealt = move.join(degree.select(F.col("src").alias("id"), parts.alias("parts")), "id", "left")
         dealt = dealt.select("walker", "start", "id", "back", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        near = dealt.join(e.select(F.col("src").alias("id"), "dst", "pull", "part"), ["id", "part"], "left").withColumn("w", F.col("pull"))
-        if neighbour_aware:
-            # Neighbours in common are counted for the walkers' own moves only, never for all pairs of nodes.
-            steps = near.select("walker", "id", "dst").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("third")), "dst")
-            shared = steps.join(e.select(F.col("src").alias("id"), F.col("dst").alias("third")), ["id", "third"], "left_semi").groupBy("walker", "dst").agg(F.count(F.lit(1)).alias("c"))
-            near = near.drop("w").join(shared, ["walker", "dst"], "left").join(degree.withColumnRenamed("src", "dst"), "dst", "left").withColumn("w", F.col("pull") * (1 - F.coalesce("c", F.lit(0)) / F.coalesce("k", F.lit(1))))
-        race = -F.log(draw) / F.greatest(F.col("w"), F.lit(1e-6))
-        first = near.groupBy("walker", "start", "back", "part").agg(F.min_by(F.struct("dst", race.alias("t")), race).alias("b"))
+        near = dealt.join(e.select(F.col("src").alias("id"), "dst", "pull", "part"), ["id", "part"], "left")
+        # Neighbours in common are counted for the walkers' own moves only, never for all pairs of nodes.
+        steps = near.select("walker", "id", "dst").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("third")), "dst")
+        shared = steps.join(e.select(F.col("src").alias("id"), F.col("dst").alias("third")), ["id", "third"], "left_semi").groupBy("walker", "dst").agg(F.count(F.lit(1)).alias("c"))
+        near = near.join(shared, ["walker", "dst"], "left").join(degree.withColumnRenamed("src", "dst"), "dst", "left").withColumn("w", F.col("pull") * (1 - F.coalesce("c", F.lit(0)) / F.coalesce("k", F.lit(1))))
+        won = -F.log(draw) / F.greatest(F.col("w"), F.lit(1e-6))
+        first = near.groupBy("walker", "start", "back", "part").agg(F.min_by(F.struct("dst", won.alias("t")), won).alias("b"))
         next_ = first.groupBy("walker", "start", "back").agg(F.min_by("b.dst", "b.t").alias("dst"))
-        at = _cut(next_.select("walker", "start", F.when(F.col("back") | F.col("dst").isNull(), F.col("start")).otherwise(F.col("dst")).alias("id")))
-        met = _cut(met.union(at.select("id", F.lit(step).alias("step"))).groupBy("id").agg(F.min("step").alias("step")))
+        return _cut(next_.select("walker", "start", F.when(F.col("back") | F.col("dst").isNull(), F.col("start")).otherwise(F.col("dst")).alias("id")))
+
+    def draw(at: DataFrame, step: int) -> DataFrame:
+        """The same by two draws: of the part, and of the edge in it. Every walker finds one row of each table, which stay where they are while the walkers are few."""
+        sent = F.broadcast if len(starts) << max(0, step // doubling) <= WALKERS else (lambda rows: rows)
+        drawn = lambda what: _drawn(F.lit(seed), F.lit(step), F.col("walker"), F.lit(what))
+        move = wheels.withColumnRenamed("src", "id").join(sent(at.withColumn("back", drawn("back") < restart)), "id")
+        place = drawn("part") * F.element_at("wheel", -1)["end"]
+        move = move.withColumn("p", F.filter("wheel", lambda x: x["end"] > place)[0])
+        move = move.withColumn("x", drawn("edge") * F.col("p.total"))
+        move = move.select("walker", "start", "back", "trail", "id", F.col("p.part").alias("part"), "x", F.least(F.floor(F.col("x") / F.col("p.total") * F.col("p.m")), F.col("p.m") - 1).alias("slot"))
+        a, b = sent(move).alias("a"), slots.alias("b")
+        on = (F.col("a.id") == F.col("b.src")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("b.lo") <= F.col("a.x")) & (F.col("a.x") < F.col("b.hi"))
+        to = F.when(F.col("a.back"), F.col("a.start")).otherwise(F.col("b.dst"))
+        return b.join(a, on).select("a.walker", "a.start", to.alias("id"), F.concat("a.trail", F.array(F.struct(F.lit(step).alias("step"), to.alias("id")))).alias("trail"))
+
+    step = -1
+    while not short(met).isEmpty():
+        # The rounds between two doublings are one plan; what an unlabelled sample has too much of then is taken off.
+        many = 1 if neighbour_aware else doubling
+        if step >= 0 and (step + 1) % doubling == 0:
+            count = len(starts) << ((step + 1) // doubling - 1)
+            at = _cut(at.union(at.select((F.col("walker") + count).cast("int").alias("walker"), "start", "id")))
+        if neighbour_aware:
+            at = race(at, step + 1)
+            new = at.select("id", F.lit(step + 1).alias("step"))
+        else:
+            moved = at.withColumn("trail", F.array().cast(f"array<struct<step: int, id: {kind}>>"))
+            for i in range(many):
+                moved = draw(moved, step + 1 + i)
+            moved = _cut(moved)
+            at, new = moved.drop("trail"), moved.select(F.explode("trail").alias("t")).select("t.id", "t.step")
+        step += many
+        met = _cut(met.union(new).groupBy("id").agg(F.min("step").alias("step")))
+    if not label and not neighbour_aware:
+        quota = quotas.first()["quota"]
+        total, last = 0, -1
+        for row in met.join(labelled, "id").groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy("step").collect():  # a row for each round
+            total, last = total + row.n, row.step
+            if total >= quota:
+                break
+        met = met.where(F.col("step") <= last)
     if not label:
         return met.select("id")
     place = F.row_number().over(Window.partitionBy("label").orderBy("step", F.xxhash64(F.lit(seed), "id"), "id"))
