@@ -20,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.encoding import ENCODED_AT_ONCE, encoder, portions, strings
+from millrace.llm.encoding import encoder, portions, strings
 from millrace.llm.shared import may_broadcast, written
 
+#: Distinct chunks that a worker remembers: in the pipeline, packing runs beside a heap that the stages before have filled.
+KEPT = 200_000
 PIECES = "part long, nth long, exponent int, doc_id long, start long, length long, doc_tokens long, tokens binary"
 
 
@@ -37,9 +39,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, longest: i
         raise ValueError("longest must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seen = encoder(tokenizer_path, spaces), TaskContext.get().partitionId(), np.zeros(64, np.int64)
+        own, part, seen = encoder(tokenizer_path, spaces, KEPT), TaskContext.get().partitionId(), np.zeros(64, np.int64)
         for batch in batches:
-            for rows in portions(batch, 1, ENCODED_AT_ONCE):
+            for rows in portions(batch, 1):
                 ids, n = own.encode(strings(rows.column(1)))
                 raw = np.insert(ids, np.cumsum(n), end_id).astype("<u4").tobytes()
                 lengths = [binary_pieces(int(x) + 1, longest) for x in n]
