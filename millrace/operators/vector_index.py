@@ -6,10 +6,9 @@ nearest its queries and of no other. Batches are added under the log of versions
 their lists. How many lists a search must probe depends on how clustered the data are: ``probes_for`` finds it from true neighbours of a
 sample of rows, and keeps it with the index.
 
-``NeighbourGraph`` holds for every vector its nearest others, found by descent: exact neighbours within blocks of rows that
-are close by a random direction, then rounds in which each node introduces its neighbours (and those it is a neighbour of) to each other, until hardly an
-edge changes. A search starts at ENTRIES times the root of the number of nodes (groups of near vectors may have no edge to others) and walks all queries at once: each round follows the edges of the best nodes not yet followed,
-until each query's beam has been.
+``NeighbourGraph`` holds for every vector its nearest others: first those in the cells of its two nearest pivots, then, in rounds until hardly an edge changes, the members of each cell
+meet all neighbours that any of them has. Near nodes share neighbours, so a cell fetches a vector once for all its members, and sends back each node's best only. A search starts at ENTRIES times the root of the number of nodes (groups of near vectors may have no edge to others) and walks all queries at once: each round follows the edges of the best nodes not yet followed,
+until each query's beam has been. Only the beams are kept: what has fallen out of one would fall out again.
 
 Scores are cosines; 0 for zero vectors. Null vectors aren't indexed, rows without an id neither in the graph. Vectors of another length than the first raise. Ties go to
 the smaller id. Searches of an empty index are empty.
@@ -27,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.similarity import cosine_or_zero, doubles, normalised
-from millrace.operators.dedup import _cut
+from millrace.operators.dedup import _cut, _folder
 from millrace.sources.segments import SegmentStore
 from millrace.sources.versions import Files, Log
 
 #: Sampled vectors for each list, and at most; lists at most; rows of a list and queries that one task multiplies.
 SAMPLE, MOST_SAMPLED, MOST_LISTS, ROWS, QUERIES = 64, 100_000, 8192, 8192, 2048
-#: Neighbours of a node, rounds at most, share of edges whose change is worth another round; rows of a block that are all compared at first; nodes that a search starts from, times the root of their number, and their bytes at most.
-DEGREE, ROUNDS, STILL, BLOCK, ENTRIES, ENTRY_BYTES = 24, 12, 0.002, 512, 4, 8 << 20
+#: Neighbours of a node, rounds at most, share of edges whose change is worth another round; rows of a cell on average and at most, and pivots at most; nodes that a search starts from, times the root of their number, and their bytes at most.
+DEGREE, ROUNDS, STILL, CELL, MOST_CELL, PIVOTS, ENTRIES, ENTRY_BYTES = 24, 12, 0.002, 256, 2048, 4096, 4, 8 << 20
 _HITS = "query_id long, id long, score double, list int"
 
 
@@ -217,7 +216,7 @@ class NeighbourGraph:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.store = spark, SegmentStore(spark, path)
 
-    def build(self, vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", degree: int = DEGREE, rounds: int = ROUNDS, directions: int = 3, seed: int = 0) -> list[int]:
+    def build(self, vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 0) -> list[int]:
         """Indexes all vectors; ids must be distinct. Returns how many edges each round changed."""
         if self.store.version:
             raise FileExistsError("the graph is built already")
@@ -228,12 +227,16 @@ class NeighbourGraph:
         n, width = nodes.count(), len(nodes.first()["vector"])
         if nodes.select("id").distinct().count() < n:
             raise ValueError("ids repeat")
-        drawn = np.random.default_rng(seed).normal(size=(directions, width))
-        edges, changed = _cut(_nearest_of(self._in_blocks(nodes, drawn, degree), degree)), []
+        cells = _cut(self._cells(nodes, n, seed))
+        short = nodes.select("id", F.col("vector").cast("array<float>").alias("vector"))
+        edges, old = self._best(self._meeting(short, cells.select("id", "cell", "sub").distinct(), None, degree), degree)
+        changed = []
         for step in range(rounds):
-            before = edges
-            edges = _cut(_nearest_of(before.union(self._introduced(nodes, before, degree, step)), degree))
-            changed.append(edges.join(before.select("u", "v"), ["u", "v"], "left_anti").count())
+            own = cells.where(F.col("nth") == step % 2).select("id", "cell", "sub")
+            edges, path = self._best(edges.withColumn("fresh", F.lit(False)).unionByName(self._meeting(short, own, edges, degree)), degree)
+            self.store.files.delete(old)
+            old = path
+            changed.append(edges.where("fresh").count())
             if changed[-1] <= STILL * n * degree:
                 break
         out = edges.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("near"))
@@ -241,41 +244,52 @@ class NeighbourGraph:
         entries = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(1, min(32 + ENTRIES * math.isqrt(n), ENTRY_BYTES // (8 * max(1, width))))).select("id", "vector")
         self.store.add("entries", entries, "id")
         self.store.commit(nodes=n, degree=degree)
+        self.store.files.delete(old)
         return changed
 
-    def _in_blocks(self, nodes: DataFrame, directions: np.ndarray, degree: int) -> DataFrame:
-        """Edges (u, v, s) to the nearest among BLOCK rows in a row along each direction."""
+    def _cells(self, nodes: DataFrame, n: int, seed: int) -> DataFrame:
+        """``id``, ``nth`` (0, 1), ``cell``, ``sub``: the cells of each node's two nearest pivots; larger ones than MOST_CELL are dealt into parts."""
+        sample = nodes.orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(min(PIVOTS, -(-n // CELL))).collect()
+        pivots = np.array([r["vector"] for r in sample])
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(start, BLOCK)
-                    ids, x = part.column(0).to_numpy(), _unit(part.column(1))
-                    yield _edges(ids, x, degree)
-
-        out = None
-        for d in directions:
-            along = F.aggregate(F.zip_with("vector", F.lit([float(x) for x in d]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-            placed = nodes.select("id", "vector", along.alias("at"))
-            own = placed.repartitionByRange("at", "id").sortWithinPartitions("at", "id").select("id", "vector").mapInArrow(compare, "u long, v long, s double")
-            out = own if out is None else out.union(own)
-        return out
-
-    def _introduced(self, nodes: DataFrame, edges: DataFrame, degree: int, step: int) -> DataFrame:
-        """Edges between the neighbours of a node: those it has, and of those that have it ``degree`` (others each round)."""
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    own = batch.column(0)[row].values
-                    yield _edges(own.field(0).to_numpy(), _unit(own.field(1)), max(4, degree // 3))
-
-        back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        order = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(step), "v"), "v")
-        back = back.withColumn("n", F.row_number().over(order)).where(F.col("n") <= degree).drop("n")
-        hood = edges.select("u", "v").union(back).union(edges.select("u", F.col("u").alias("v"))).distinct()
-        with_vectors = hood.join(nodes.withColumnRenamed("id", "v"), "v")
-        return with_vectors.groupBy("u").agg(F.collect_list(F.struct("v", "vector")).alias("own")).select("own").mapInArrow(meet, "u long, v long, s double")
+                for start in range(0, batch.num_rows, MOST_CELL):
+                    part = batch.slice(start, MOST_CELL)
+                    near = np.argsort(-(_unit(part.column(1)) @ pivots.T), axis=1, kind="stable")[:, :2]
+                    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(near)), near.shape[1])))
+                    nth = np.tile(np.arange(near.shape[1], dtype=np.int32), len(near))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(nth), pa.array(near.ravel().astype(np.int32))], names=["id", "nth", "cell"])
+
+        placed = _cut(nodes.select("id", "vector").mapInArrow(place, "id long, nth int, cell int"))
+        if len(pivots) == 1:
+            placed = placed.union(placed.withColumn("nth", F.lit(1)))
+        parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MOST_CELL).cast("int").alias("parts"))  # a row for each pivot
+        return placed.join(F.broadcast(parts), "cell").select("id", "nth", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("sub"))
+
+    def _meeting(self, nodes: DataFrame, cells: DataFrame, edges: DataFrame | None, degree: int) -> DataFrame:
+        """Edges of the members (id, cell, sub) of each cell to the nearest of them and of the nodes that any of them has an edge to; and of these visitors to the nearest members."""
+        few = max(4, degree // 4)
+
+        def meet(cell: pa.Table) -> pa.Table:
+            ids, inside = cell.column("id").to_numpy(), cell.column("inside").to_numpy(zero_copy_only=False)
+            x = cell.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            made = [*_nearest(ids[inside], x[inside], ids, x, degree), *_nearest(ids[~inside], x[~inside], ids[inside], x[inside], few)]
+            u, v, score = (np.concatenate(c) for c in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            return pa.table([pa.array(u), pa.array(v), pa.array(score.astype(np.float64)), pa.array(np.ones(len(u), bool))], names=["u", "v", "s", "fresh"])
+
+        there = cells.withColumn("inside", F.lit(True))
+        if edges is not None:
+            visits = edges.join(cells.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "cell", "sub", F.lit(False).alias("inside"))
+            there = there.unionByName(visits).groupBy("id", "cell", "sub").agg(F.max("inside").alias("inside"))
+        return there.join(nodes, "id").groupBy("cell", "sub").applyInArrow(meet, "u long, v long, s double, fresh boolean")
+
+    def _best(self, edges: DataFrame, degree: int) -> tuple[DataFrame, str]:
+        """The ``degree`` best edges of each node, written, and where."""
+        order, path = Window.partitionBy("u").orderBy(F.col("s").desc(), "v"), _folder(self.spark)
+        each = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))  # dealt once, by u
+        each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= degree).drop("n").write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema("u long, v long, s double, fresh boolean").parquet(path), path
 
     def search_many(self, queries: DataFrame, k: int, beam: int = 96, query_id: str = "query_id", query_col: str = "query") -> DataFrame:
         """``query_id``, ``id``, ``score``, ``rank``. ``beam``: nodes that a query keeps, and follows, at a time; at least k."""
@@ -285,33 +299,30 @@ class NeighbourGraph:
         asked = _cut(queries.where(F.col(query_col).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), normalised(F.col(query_col)).alias("query")))
         score = F.round(cosine_or_zero(F.col("vector"), F.col("query")), 12).alias("score")
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-        first = asked.crossJoin(F.broadcast(entries)).select("query_id", "id", score, F.lit(True).alias("open"))  # of ENTRY_BYTES at most
-        seen = _cut(first)
-        held = _cut(seen.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(beam, k)).drop("n"))
-        while True:
-            front = held.where("open").select("query_id", "id")
-            if front.isEmpty():
-                break
-            near = edges.join(front, "id").select("query_id", F.explode("near").alias("id")).distinct()
-            new = near.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
-            new = _cut(nodes.join(new, "id").join(asked, "query_id").select("query_id", "id", score, F.lit(True).alias("open")))
-            seen = _cut(seen.union(new))
-            both = held.withColumn("open", F.lit(False)).union(new)
-            held = _cut(both.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(beam, k)).drop("n"))
+        beams = lambda rows: _cut(rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(beam, k)).drop("n"))
+        held = beams(asked.crossJoin(F.broadcast(entries)).select("query_id", "id", score, F.lit(True).alias("open")))  # of ENTRY_BYTES at most
+        # queries go to the vectors, in parts of ENTRY_BYTES, so that no vector is moved for each query that meets it
+        count, width = asked.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
+        parts = max(1, -(-count * 8 * (width or 1) // ENTRY_BYTES))
+        part = lambda rows, i: rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        while not held.where("open").isEmpty():
+            near = edges.join(held.where("open").select("query_id", "id"), "id").select("query_id", F.explode("near").alias("id")).distinct()
+            near = near.join(held.select("query_id", "id"), ["query_id", "id"], "left_anti")
+            near, both = near if parts == 1 else _cut(near), held.withColumn("open", F.lit(False))
+            for i in range(parts):
+                met = nodes.join(part(near, i), "id").join(F.broadcast(part(asked, i)), "query_id")
+                both = both.union(met.select("query_id", "id", score, F.lit(True).alias("open")))
+            held = beams(both)
         return held.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def _edges(ids: np.ndarray, x: np.ndarray, most: int) -> pa.RecordBatch:
-    """From each row to the ``most`` nearest others of the block."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    most = min(most, len(ids) - 1)
-    near = np.argpartition(-s, most - 1, axis=1)[:, :most] if most > 0 else np.zeros((len(ids), 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(s, near, 1).ravel())], names=["u", "v", "s"])
-
-
-def _nearest_of(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` best edges of each node."""
-    order = Window.partitionBy("u").orderBy(F.col("s").desc(), "v")
-    each = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
-    return each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= degree).drop("n")
+def _nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From each row to the ``most`` nearest others, some rows at a time."""
+    most = min(most, len(others) - 1)
+    for start in range(0, len(ids) if most > 0 else 0, CELL):
+        own = ids[start : start + CELL]
+        s = x[start : start + CELL] @ y.T
+        s[own[:, None] == others[None, :]] = -2
+        near = np.argpartition(-s, most - 1, axis=1)[:, :most]
+        u, v, score = np.repeat(own, most), others[near].ravel(), np.take_along_axis(s, near, 1).ravel()
+        yield u[u != v], v[u != v], score[u != v]
