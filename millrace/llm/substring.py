@@ -36,6 +36,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -86,9 +87,12 @@ def _word_digests(words: list[bytes]) -> np.ndarray:
 
 
 class Words:
-    """Words of several texts in a row, with hashes of stretches of them in two independent lanes."""
+    """Words of several texts in a row, with hashes of stretches of them in two independent lanes.
 
-    def __init__(self, texts: list[bytes]) -> None:
+    ``spans`` (text, first place, end): only words in one of these are digested and hashed, the others are counted; ``at`` gives the place of a word among them.
+    """
+
+    def __init__(self, texts: list[bytes], spans: tuple[np.ndarray, ...] | None = None) -> None:
         data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         white = _WHITE[data]
         starts = np.nonzero(white[:-1] & ~white[1:])[0] + 1
@@ -96,9 +100,16 @@ class Words:
         begin = 1 + np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         self.first = np.searchsorted(starts, begin)  # of each text, and one more
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.n = len(starts)
+        letters = data[~white]
+        if spans is not None:
+            text, a, end = spans
+            place = lambda x: np.bincount(np.minimum(self.first[text] + x, self.first[text + 1]), minlength=len(starts) + 1)
+            within = np.cumsum(place(a) - place(end))[: len(starts)] > 0
+            self.at = np.cumsum(within) - 1
+            letters, lengths, self.text = letters[np.repeat(within, lengths)], lengths[within], self.text[within]
+        self.n = len(lengths)
         at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(at), pa.py_buffer(data[~white])]).dictionary_encode()
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
         each = _word_digests(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if self.n else np.zeros((0, 2), np.uint64)
         self.of = {(1, lane): each[:, lane].copy() for lane in range(2)}
 
@@ -234,13 +245,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both hashes of every window of the listed stretches (columns: doc, text, list of packed (a, n), whether hot)."""
     for batch in batches:
         for rows in portions(batch, 1):
-            words = Words(_encoded(rows, 1))
             text, a, n, _ = _unpacked(rows.column(2))
+            words = Words(_encoded(rows, 1), (text, a, a + n + WINDOW - 1))
             each = np.concatenate(([0], np.cumsum(n)))
             text, place = np.repeat(text, n), np.repeat(a - each[:-1], n) + np.arange(each[-1])
             start = words.first[text] + place
             inside = start + WINDOW <= words.first[text + 1]
-            text, place, start = pa.array(text[inside]), place[inside], start[inside]
+            text, place, start = pa.array(text[inside]), place[inside], words.at[start[inside]]
             halves = [pa.array(words.hashes(WINDOW, i)[start].view(np.int64)) if len(start) else pa.nulls(0, pa.int64()) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*halves, rows.column(0).take(text), pa.array(place.astype(np.int32)), rows.column(3).take(text)], names=["w1", "w2", "doc", "a", "hot"])
 
@@ -412,7 +423,8 @@ class SubstringIndex:
             raise ValueError(f"ids of a batch must be above {before}")
         batch = F.lit(True) if before is None else F.col("doc") > before
         raw = written(texts.mapInArrow(_scan, _ENTRY), "run-raw")
-        own = raw.where("h IS NULL").select("doc", "a", "n", "f", "fa")
+        own = written(raw.where("h IS NULL").select("doc", "a", "n", "f", "fa"), "run-own")
+        self.spent[:0] = [raw, own]
         entries_ = raw.where("h IS NOT NULL").select("h", "s1", "s2", "doc", "a", "n")
         newly, at, hot_listed = self._hot(raw), F.struct("doc", "a"), None
         if newly is not None:
@@ -441,18 +453,37 @@ class SubstringIndex:
         if listed:
             repeats.append(self._by_window(_union(listed), batch))
         repeats = written(_union(repeats), "run-repeats")
-        for table in (raw, *self.spent):
-            delete(self.spark, table)
-        self.spent = []
+        self._delete_spent()
         self.stretches.compact()
         self.windows.compact()
         self.store.commit()
         self.store.vacuum()
         return repeats
 
+    def _delete_spent(self) -> None:
+        for table in self.spent:
+            delete(self.spark, table)
+        self.spent = []
+        self._free_shuffles()
+
+    def _free_shuffles(self) -> None:
+        """Shuffle files of finished jobs go when the driver has collected what refers to them, which a driver with memory left would put off to the end."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def only_texts(self) -> None:
+        """Drops all runs from the index, for one that takes no further batch."""
+        for group in ("stretches", "windows", "hot"):
+            for s in self.store.segments(group):
+                self.store.drop(group, s["folder"])
+        self.store.vacuum()
+        self._free_shuffles()
+
     def _by_window(self, listed: DataFrame, batch) -> DataFrame:
         """Of the listed stretches (doc, a, n, hot), the windows that repeat an earlier one; those that are hot are met with their runs and added to them."""
         lists = written(listed.groupBy("doc", "hot").agg(F.collect_list(_packed(F.col("a"), F.col("n"))).alias("at")), "run-unlike")
+        delete(self.spark, self.spent.pop(0))  # the raw entries: all of them are in runs or lists now
+        self._free_shuffles()
         low, high, any_hot = lists.agg(F.min("doc"), F.max("doc"), F.max("hot")).first()
         if low is None:
             return self.spark.createDataFrame([], _REPEAT)
@@ -531,6 +562,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
             batch = (F.lit(True) if low is None else doc > low) & (F.lit(True) if high is None else doc <= high)
             gone.append(index.ingest(batch))
+        index.only_texts()
         kept = index.without(_union(gone)) if index.highest is not None else None
     finally:
         index.close()
