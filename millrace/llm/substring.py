@@ -40,6 +40,7 @@ import gc
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -341,10 +342,9 @@ class Runs:
                 rows = table
                 for old in older:
                     known = old.select(key, *[F.col(c).alias(f"_{c}") for c in self.same[1:]])
-                    alike = rows[key] == known[key]
-                    for c in self.same[1:]:
-                        alike &= rows[c] + F.lit(0) == known[f"_{c}"] + F.lit(0)  # no join keys, since only a join by the key leaves the runs where they are
-                    rows = rows.join(known, alike, "left_anti")
+                    # one condition over both sides, so that it is no join key: only a join by the key leaves the runs where they are. Dealt by more, each task would hold, and write, rows of all buckets
+                    unlike = reduce(Column.bitwiseOR, [rows[c].bitwiseXOR(known[f"_{c}"]) for c in self.same[1:]])
+                    rows = rows.join(known, (rows[key] == known[key]) & (unlike == 0), "left_anti")
                 older.append(rows)
             # grouped (each row is one already), so that the plan reads the oldest run by its buckets too
             rest = [c for c in older[0].columns if c not in self.same]
@@ -438,14 +438,14 @@ class SubstringIndex:
         repeats, listed = [own], []
         if new is not None:
             grams = new.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-            met = _union([new, *[r.join(grams, "h", "left_semi") for r in earlier]])  # bucketed by h throughout: neither this nor the grouping shuffles
+            met = _union([new, *[r.join(grams.hint("shuffle_hash"), "h", "left_semi") for r in earlier]])  # bucketed by h throughout: neither this nor the grouping shuffles
             firsts, gram = met.groupBy("h", "s1", "s2").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), Window.partitionBy("h")
-            unlike = F.min(F.struct("s1", "s2")).over(gram) != F.max(F.struct("s1", "s2")).over(gram)
+            unlike = F.count(F.lit(1)).over(gram) > 1  # a row is a stretch
             firsts = written(firsts.select("*", unlike.alias("unlike")).where("c > 1 OR unlike"), "run-firsts")
             self.spent.append(firsts)
             known = firsts.where("c > 1").select("h", F.col("s1").alias("k1"), F.col("s2").alias("k2"), "first")
             # equal halves as one condition that is no join key, since only a join by h alone leaves the run where it is
-            again = new.join(known, "h").where((F.col("s1").bitwiseXOR(F.col("k1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("k2"))) == 0) & (at > F.col("first")))
+            again = new.join(known.hint("shuffle_hash"), "h").where((F.col("s1").bitwiseXOR(F.col("k1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("k2"))) == 0) & (at > F.col("first")))
             repeats.append(again.select("doc", "a", (F.col("n") + WINDOW - 1).alias("n"), F.col("first.doc").alias("f"), F.col("first.a").alias("fa")))
             listed.append(firsts.where("unlike").select("first.doc", "first.a", "n", F.lit(False).alias("hot")))
         if hot_listed is not None:
